@@ -5,9 +5,10 @@ to the place that makes the sum over residual gaps of the squared number of open
 Pieces are dealt evenly, whatever their document, into groups of about GROUP; each group is packed
 by itself, longest pieces first, so the work spreads and a group leaves only its last bins open.
 
-Words repeat, so each Python worker keeps ids of up to CACHE chunks of non-white-space text; the
-tokenizer never joins across white space, which a test checks against whole texts. The cache is a
-speed-up only: chunks beyond it are tokenised each time.
+Words repeat, so each Python worker keeps the ids of up to CACHE chunks of non-white-space text.
+The tokenizer never joins across white space, nor letters with the punctuation after them, and
+ignores case, which a test checks against whole texts; an unknown chunk is thus looked up as its
+letters and its tail first. The cache is a speed-up only: chunks beyond it are tokenised each time.
 
 Results for odd input: null and empty texts give one piece holding the end id; repeated rows are
 packed once each; an empty table gives no rows.
@@ -15,8 +16,11 @@ packed once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,27 +29,55 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import text_of, written
 
-LENGTH, END, GROUP, CACHE, BATCH = 4096, 1, 50_000, 400_000, 500
+LENGTH, END, GROUP, CACHE, BATCH = 4096, 1, 50_000, 1_000_000, 1000
 TOKENIZER = "word_bpe_49k.json"
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|-]*)")
+_END = np.array([END], "<u4").tobytes()
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
 
 
-def token_arrays(texts: list[str], tokenizer, cache: dict) -> list[np.ndarray]:
+def _encoded(chunks: list[str], tokenizer) -> dict[str, bytes]:
+    """Ids of chunks, as bytes. Chunks of letters only are one unit each, so they can share one call."""
+    plain = [c for c in chunks if _PLAIN.fullmatch(c)]
+    other = [c for c in chunks if not _PLAIN.fullmatch(c)]
+    out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+    if plain:
+        e = tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ids, starts = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
+        if len(starts) != len(plain):
+            return out | {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in plain}
+        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        out.update((c, raw[cuts[k] : cuts[k + 1]]) for k, c in enumerate(plain))
+    return out
+
+
+def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[np.ndarray]:
     """Ids of each text. White space separates chunks whose ids don't depend on one another."""
     split = [t.split() for t in texts]
-    missing = list({c for chunks in split for c in chunks if c not in cache})
-    fresh = dict(zip(missing, (e.ids for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-    if len(cache) + len(fresh) <= CACHE:
+    missing = set().union(*split).difference(cache)
+    parts = {c: (m[1].lower(), m[2]) if (m := _WORD.fullmatch(c)) else (c, "") for c in missing}
+    pieces = {p for pair in parts.values() for p in pair if p}
+    known = {"": b""} | {p: cache[p] for p in pieces if p in cache}
+    known |= (made := _encoded([p for p in pieces if p not in known], tokenizer))
+    fresh = {c: known[a] + known[b] for c, (a, b) in parts.items()}
+    look = cache
+    if len(cache) + len(made) + len(fresh) <= CACHE:
+        cache.update(made)
         cache.update(fresh)
-        fresh = cache
-    out = []
-    for chunks in split:
-        ids: list[int] = []
-        for c in chunks:
-            ids += cache.get(c) or fresh.get(c, ())
-        out.append(np.array([*ids, END], np.uint32))
-    return out
+    elif fresh:
+        look = ChainMap(fresh, cache)
+    return [np.frombuffer(b"".join(map(look.__getitem__, chunks)) + _END, "<u4") for chunks in split]
+
+
+@cache
+def _loaded(name: str):
+    """The tokenizer and the cache of this Python worker, which serves many tasks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name)), {}
 
 
 def tokenised(name: str, length: int):
@@ -53,17 +85,14 @@ def tokenised(name: str, length: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        tokenizer, cache = Tokenizer.from_file(public_tokenizers.path(name)), {}
+        tokenizer, known = _loaded(name)
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 part, out = pdf.iloc[at : at + BATCH], []
-                for doc_id, ids in zip(part["doc_id"], token_arrays(part["t"].tolist(), tokenizer, cache), strict=True):
+                for doc_id, ids in zip(part["doc_id"], token_arrays(part["t"].tolist(), tokenizer, known), strict=True):
                     for k, start in enumerate(range(0, len(ids), length)):
                         piece = ids[start : start + length]
-                        out.append((doc_id, k, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
+                        out.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())))
                 df = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 df["doc_id"] = df["doc_id"].astype("Int64")
                 yield df
