@@ -1,6 +1,421 @@
-"""The registered queries over pages, links, versions, subtitles and request logs, and their SQL."""
+"""The registered queries over pages, links, versions, subtitles and request logs, and their SQL.
+
+Lines of `documents` stand in for content blocks, `conversations` for subtitle files, and `events`
+for request logs; every query reads its tables whole.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions import gates as G
+from pagemill.functions import text as X
+from pagemill.functions import urls as U
+from pagemill.operators import blocks as B
+from pagemill.operators import captures as K
+from pagemill.operators import html_nodes as H
+from pagemill.operators import links as L
+from pagemill.operators import requests as R
+from pagemill.operators import subtitles as S
+from pagemill.operators import versions as V
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+SKIP, STOP, SECTION_STOP = ["the", "de", "la"], ["tion in", "la de"], ["que", "of"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- SQL twins of the text columns
+
+
+def s_list(items: list[str]) -> str:
+    return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + ")"
+
+
+def s_collapse(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{X.SPACE}', ' ', 'g'))"
+
+
+def s_key(x: str) -> str:
+    return s_collapse(f"translate(lower({s_collapse(x)}), '*_`#>[]()', '         ')")
+
+
+def s_slug(x: str) -> str:
+    s = rf"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\s-]', '', 'g'))"
+    s = rf"regexp_replace(regexp_replace({s}, '\s+', '-', 'g'), '-+', '-', 'g')"
+    return f"coalesce(nullif(regexp_replace({s}, '^-|-$', '', 'g'), ''), 'untitled-article')"
+
+
+def s_any(x: str, needles: list[str]) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(x, n.replace("'", "''")) for n in needles) + ")"
+
+
+def s_begins(x: str, markers: list[str]) -> str:
+    return "(" + " OR ".join("{0} = '{1}' OR starts_with({0}, '{1} ')".format(x, m.replace("'", "''")) for m in markers) + ")"
+
+
+def s_ui_noise(t: str, k: str) -> str:
+    menu = rf"trim(regexp_replace(replace({k}, '*', ' '), '\s+', ' ', 'g'))"
+    return rf"""({k} IN {s_list(G.UI_TEXTS)} OR starts_with({k}, '© ') OR regexp_matches({k}, '^(en|id|home|menu)$') OR {s_any(k, G.UI_PARTS)} OR {s_any(t, ["history←priornext→", "history<priornext>"])}
+  OR {k} = 'advertisement' OR starts_with({k}, 'advertisement ') OR regexp_matches({k}, '^[a-z0-9.-]+\s+is\s+blocked$') OR regexp_matches(trim({t}), '(?i)^\[[^\]]+\]\(https?://[^)]+\)$')
+  OR regexp_matches(trim({t}), '(?i)^-\s+\[[^\]]+›\]\(https?://[^)]+\)$') OR regexp_matches({menu}, '^({G.MENU_WORDS})(\s+\*?\s*({G.MENU_WORDS}))*$'))"""
+
+
+# --- pages
+
+
+def s_entities(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+S_PAGES = rf"""a AS (SELECT page_id, url, {s_collapse(s_entities("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title,
+  {s_collapse(s_entities("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))} AS h1,
+  list_transform(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:], lambda p: {s_collapse(s_entities("regexp_replace(split_part(p, '</p>', 1), '<[^>]*>', '', 'g')"))}) AS p FROM pages),
+b AS (SELECT page_id, url, title, coalesce(nullif(h1, ''), title) AS article_title, p FROM a),
+c AS (SELECT *, array_to_string(list_filter(p, lambda x: x <> '' AND x <> article_title AND lower(x) NOT IN {s_list(G.NOISE_TEXTS)} AND NOT {s_any("lower(x)", G.SCRIPT_MARKERS)}), chr(10) || chr(10)) AS body FROM b),
+s AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '[^a-z0-9.-]', '-', 'g') AS site, length(body) > 250 AND NOT {s_any("lower(body)", G.SCRIPT_MARKERS)} AS is_article FROM c)"""
+
+
+@query(f"WITH {S_PAGES} SELECT site, count(*) AS pages, count(*) FILTER (is_article) AS articles, CAST(sum(length(body)) AS BIGINT) AS body_chars FROM s GROUP BY site")
+def site_articles(spark, d):
+    df = H.articles(table(spark, d, "pages"))
+    df = df.select(U.site_folder(F.col("url")).alias("site"), "article_body_text")
+    return df.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(G.is_article_page(F.col("article_body_text"))).alias("articles"), F.sum(F.length("article_body_text")).alias("body_chars"))
+
+
+@query(rf"""WITH {S_PAGES} SELECT page_id, title, article_title, {s_slug('article_title')} AS slug, site, md5(body) AS body_md5, is_article, {s_any("lower(title || chr(10) || body)", G.BLOCKED)} AS blocked,
+  length(trim(body)) < 120 AND (trim(body) = '' OR (lower(trim(body)) = lower(trim(title)) AND title <> '' AND lower(trim(article_title)) = lower(trim(title)))) AS unreadable FROM s""")
+def page_articles(spark, d):
+    df = H.articles(table(spark, d, "pages"))
+    t, a, b = F.col("title"), F.col("article_title"), F.col("article_body_text")
+    return df.select("page_id", "title", "article_title", X.slugify(a).alias("slug"), U.site_folder(F.col("url")).alias("site"), F.md5(b).alias("body_md5"), G.is_article_page(b).alias("is_article"), G.is_blocked(t, b).alias("blocked"), G.is_unreadable(t, a, b).alias("unreadable"))
+
+
+@query(rf"""WITH {S_PAGES} SELECT page_id, count(*) AS blocks, md5(string_agg(x, chr(10) ORDER BY i)) AS blocks_md5 FROM (SELECT page_id, article_title, unnest(p) AS x, unnest(range(len(p))) AS i FROM s)
+  WHERE x <> '' AND x <> article_title AND lower(x) NOT IN {s_list(G.NOISE_TEXTS)} AND NOT {s_any("lower(x)", G.SCRIPT_MARKERS)} GROUP BY page_id""")
+def page_raw_blocks(spark, d):
+    df = H.raw_blocks(H.parsed_pages(table(spark, d, "pages"))).filter("type = 'text'")
+    made = df.groupBy("page_id").agg(F.count("*").alias("blocks"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("b"))
+    return made.select("page_id", "blocks", F.md5(F.array_join(F.transform("b", lambda x: x["text"]), "\n")).alias("blocks_md5"))
+
+
+S_LINKS = r"""h AS (SELECT page_id, url AS page_url, unnest(x) AS href, unnest(range(len(x))) AS place FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages)),
+u AS (SELECT *, lower(regexp_extract(page_url, '^([A-Za-z]+://[^/?#]+)', 1)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM h WHERE href <> '' AND NOT starts_with(href, '#')),
+f AS (SELECT page_id, page_url, url, min(place) AS place FROM u GROUP BY ALL),
+e AS (SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY place) AS link_pos, url FROM f)"""
+
+
+@query(f"WITH {S_LINKS} SELECT page_id, page_url, link_pos, url FROM e WHERE link_pos <= 400")
+def link_edges(spark, d):
+    return L.link_edges(L.page_links(H.articles(table(spark, d, "pages"))))
+
+
+@query(f"""WITH {S_LINKS}, o AS (SELECT page_url AS url, count(*) AS n FROM e GROUP BY 1), i AS (SELECT url, count(*) AS n FROM e GROUP BY 1)
+  SELECT url, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM o FULL JOIN i USING (url)""")
+def link_degree(spark, d):
+    return L.link_degree(L.link_edges(L.page_links(H.articles(table(spark, d, "pages")))))
+
+
+@query()
+def crawl_select(spark, d):
+    """Each page links to the next two of its host; a walk from every host's first page."""
+    pages = table(spark, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("host").orderBy("page_id")
+    near = pages.select(F.col("url").alias("src"), F.array(F.lead("url", 2).over(w), F.lead("url", 1).over(w)).alias("next"))
+    edges = near.select("src", F.posexplode("next").alias("link_pos", "dst")).filter("dst is not null")
+    roots = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("root")).select("root")
+    return L.crawl_select(pages.select("url", (F.col("page_id") % 7 != 3).alias("ok")), edges, roots)
+
+
+@query(rf"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '[^a-z0-9.-]', '-', 'g') AS site, url || '::' || page_id AS key, false AS archived, true AS supported,
+  lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) = 'http://ththre.example.com' AS in_scope FROM pages""")
+def url_rules(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.site_folder(u).alias("site"), U.request_key(u, F.col("page_id")).alias("key"), U.is_archive_host(U.host(u)).alias("archived"), U.is_supported_href(u).alias("supported"), U.queue_scope(u, F.lit("http://ththre.example.com/")).alias("in_scope"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages)
+  SELECT page_id, host, CASE WHEN ends_with(host, '.example.com') THEN 'com' WHEN ends_with(host, '.example.net') THEN 'net' ELSE 'none' END AS rule FROM p""")
+def host_rules(spark, d):
+    rules = spark.createDataFrame([("example.com", "com", 1), ("example.net", "net", 2)], "host string, rule string, rank int")
+    pages = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("h"))
+    return U.host_rule(pages, "h", rules, "none").select("page_id", F.col("h").alias("host"), "rule")
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '[^a-z0-9.-]', '-', 'g') <> 'ththre.example.com'")
+def purge_site(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", U.site_folder(F.col("url")).alias("site"))
+    return V.purge_site(pages, "http://ththre.example.com/x").select("page_id", "url")
+
+
+@query()
+def arbitrate_captures(spark, d):
+    """Captures of a URL: the page itself as direct, and its text as rendered and mirror form for some."""
+    a = H.articles(table(spark, d, "pages")).select("page_id", "url", "title", "article_title", F.col("article_body_text").alias("body"))
+    direct = a.withColumn("variant", F.lit("direct")).withColumn("body", F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.col("body")))
+    other = a.filter("page_id % 2 = 0").withColumn("variant", F.when(F.col("page_id") % 4 == 0, "rendered").otherwise("mirror"))
+    return K.arbitrate_captures(direct.unionByName(other).select("url", "variant", "title", "article_title", "body"))
+
+
+@query(rf"""SELECT doc_id AS page_id, {s_collapse("split_part(text, chr(10), 1)")} AS title, {s_collapse("text")} AS body FROM documents WHERE length({s_collapse("text")}) >= 10 AND doc_id % 5 <> 0""")
+def structured_articles(spark, d):
+    t = F.regexp_replace("text", "\n+", " ")
+    kind = F.when(F.col("doc_id") % 5 == 0, "WebSite").otherwise("NewsArticle")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.array(F.lit("{broken"), F.to_json(F.struct(kind.alias("@type"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"), t.alias("articleBody")))).alias("jsonld"))
+    return K.structured_article(docs).select("page_id", "title", "body")
+
+
+@query(f"SELECT url, title, {s_collapse('text')} AS body FROM (SELECT 'doc:' || doc_id AS url, 'Doc ' || doc_id AS title, text FROM documents) WHERE {s_collapse('text')} <> ''")
+def rendered_articles(spark, d):
+    docs = table(spark, d, "documents")
+    raw = F.concat(F.lit("Title: Doc "), F.col("doc_id").cast("string"), F.lit("\n\nMarkdown Content:\n"), F.regexp_replace("text", r"\s*\n\s*", "\n"))
+    return K.rendered_article(docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), raw.alias("raw_text")))
+
+
+# --- blocks
+
+
+def lines(spark, d) -> DataFrame:
+    df = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    image = F.col("pos") % 6 == 4
+    tag = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("h"), (1 + (F.col("page_id") + F.col("pos")) % 4).cast("string"))).when(F.col("pos") % 7 == 3, "li").otherwise("p")
+    none = F.lit(None).cast("string")
+    return df.select("page_id", "pos", F.when(image, "image").otherwise("text").alias("type"), F.when(~image, tag).alias("tag"), F.when(~image, F.col("text")).alias("text"), F.when(image, F.concat(F.lit("/i"), F.col("pos").cast("string"), F.when(F.col("pos") % 4 == 0, ".svg").otherwise(".png"))).alias("src"), none.alias("alt"), none.alias("caption"))
+
+
+S_LINES = f"""d AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS a FROM documents),
+l0 AS (SELECT page_id, unnest(a) AS x, CAST(unnest(range(len(a))) AS INTEGER) AS pos FROM d),
+l AS (SELECT page_id, pos, CASE WHEN pos % 6 = 4 THEN 'image' ELSE 'text' END AS type, CASE WHEN pos % 6 = 4 THEN NULL WHEN pos % 5 = 0 THEN 'h' || (1 + (page_id + pos) % 4) WHEN pos % 7 = 3 THEN 'li' ELSE 'p' END AS tag,
+  CASE WHEN pos % 6 <> 4 THEN x END AS text, CASE WHEN pos % 6 = 4 THEN '/i' || pos || CASE WHEN pos % 4 = 0 THEN '.svg' ELSE '.png' END END AS src FROM l0),
+k0 AS (SELECT *, {s_key("text")} AS key, CASE WHEN starts_with(tag, 'h') THEN CAST(tag[2] AS INTEGER) END AS level FROM l),
+k AS (SELECT *, type = 'text' AND NOT ({s_collapse("text")} = '' OR {s_ui_noise("coalesce(text, '')", "key")} OR coalesce(level IS NOT NULL AND length(text) >= 24 AND (ends_with(text, '…') OR ends_with(text, '...')), false)) AS live FROM k0)"""
+_LEVELS = " OR ".join(f"coalesce(max(CASE WHEN start AND level = {i} THEN pos END) OVER r >= coalesce(max(CASE WHEN head AND NOT start AND level <= {i} THEN pos END) OVER r, -1), false)" for i in range(1, 7))
+S_SKIP = f"""{S_LINES}, m AS (SELECT *, live AND level IS NOT NULL AS head, live AND level IS NOT NULL AND {s_begins("key", SKIP)} AS start FROM k),
+hid AS (SELECT *, {_LEVELS} AS hidden FROM m WINDOW r AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)), b6 AS (SELECT * FROM hid WHERE NOT (hidden AND type = 'text'))"""
+S_STOP = f"""{S_SKIP}, st AS (SELECT *, min(CASE WHEN live AND ({s_any("key", STOP)} OR (level IS NOT NULL AND {s_begins("key", SECTION_STOP)})) THEN pos END) OVER (PARTITION BY page_id) AS stop FROM b6),
+b7 AS (SELECT * FROM st WHERE stop IS NULL OR pos < stop)"""
+S_LONG = f"""{S_STOP}, b8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, CASE WHEN type = 'text' AND length(key) >= 24 THEN key ELSE '#' || pos END ORDER BY pos) AS nth FROM b7 WHERE type = 'image' OR live) WHERE nth = 1)"""
+S_ADJ = f"""{S_LONG}, b9 AS (SELECT * FROM (SELECT *, lag(type) OVER w AS pt, lag(key) OVER w AS pk FROM b8 WINDOW w AS (PARTITION BY page_id ORDER BY pos)) WHERE NOT coalesce(type = 'text' AND key <> '' AND pt = 'text' AND pk = key, false))"""
+S_IMG = f"""{S_ADJ}, b5 AS (SELECT * FROM b9 WHERE NOT (type = 'image' AND ends_with(src, '.svg'))),
+f10 AS (SELECT *, min(CASE WHEN type = 'text' THEN pos END) OVER (PARTITION BY page_id) AS first FROM b5),
+b10 AS (SELECT * FROM (SELECT *, count(*) FILTER (type = 'image' AND pos < first) OVER (PARTITION BY page_id) AS early FROM f10) WHERE NOT coalesce(type = 'image' AND pos < first AND early >= 3, false)),
+f11 AS (SELECT * EXCLUDE (first, early), min(CASE WHEN type = 'text' AND NOT starts_with(tag, 'h') THEN pos END) OVER (PARTITION BY page_id) AS first FROM b10),
+b11 AS (SELECT * FROM (SELECT *, count(*) FILTER (type = 'image' AND pos < first) OVER (PARTITION BY page_id) AS early FROM f11) WHERE NOT coalesce(type = 'image' AND pos < first AND early >= 3, false))"""
+_LIVE = "type = 'image' or live"
+
+
+@query(f"WITH {S_LINES} SELECT page_id, pos, key, live, {s_slug('text')} AS slug, lower(text) IN {s_list(G.NOISE_TEXTS)} OR {s_any('lower(text)', G.SCRIPT_MARKERS)} AS noise FROM k WHERE type = 'text'")
+def text_rules(spark, d):
+    t = F.col("text")
+    return B.mark_blocks(lines(spark, d)).filter("type = 'text'").select("page_id", "pos", "key", "live", X.slugify(t).alias("slug"), G.is_noise_text(t).alias("noise"))
+
+
+@query(f"WITH {S_SKIP} SELECT page_id, pos, key FROM b6")
+def skipped_sections(spark, d):
+    return B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP).select("page_id", "pos", "key")
+
+
+@query(f"WITH {S_STOP} SELECT page_id, pos, key FROM b7")
+def stopped_blocks(spark, d):
+    return B.stop_at_marker(B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP), STOP, SECTION_STOP).select("page_id", "pos", "key")
+
+
+@query(f"WITH {S_LONG} SELECT page_id, pos, key FROM b8")
+def deduped_long_blocks(spark, d):
+    df = B.stop_at_marker(B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP), STOP, SECTION_STOP).filter(_LIVE)
+    return B.dedupe_long_blocks(df).select("page_id", "pos", "key")
+
+
+@query(f"WITH {S_ADJ} SELECT page_id, pos, key FROM b9")
+def deduped_adjacent_blocks(spark, d):
+    df = B.stop_at_marker(B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP), STOP, SECTION_STOP).filter(_LIVE)
+    return B.dedupe_adjacent_blocks(B.dedupe_long_blocks(df)).select("page_id", "pos", "key")
+
+
+@query(f"WITH {S_IMG} SELECT page_id, pos, type, tag, md5(coalesce(text, src)) AS content FROM b11")
+def cleaned_blocks(spark, d):
+    return B.clean_blocks(lines(spark, d), SKIP, STOP, SECTION_STOP).select("page_id", "pos", "type", "tag", F.md5(F.coalesce("text", "src")).alias("content"))
+
+
+@query(f"""WITH {S_LINES}, n AS (SELECT *, count(*) FILTER (type = 'image') OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS no, {s_collapse('text')} AS c FROM l),
+r AS (SELECT page_id, pos, CASE WHEN type = 'image' THEN '![Image ' || no || '](' || src || ')' WHEN c = '' AND NOT starts_with(tag, 'h') AND tag <> 'li' THEN '' WHEN starts_with(tag, 'h') THEN repeat('#', greatest(2, CAST(tag[2] AS INTEGER))) || ' ' || c WHEN tag = 'li' THEN '- ' || c ELSE c END AS md FROM n)
+SELECT page_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY pos)) AS md5, count(*) AS blocks FROM r WHERE md <> '' GROUP BY page_id""")
+def rendered_markdown(spark, d):
+    blocks = lines(spark, d)
+    md = B.blocks_to_markdown(blocks)
+    n = blocks.filter((F.col("type") == "image") | (B.render_block_md(F.col("tag"), F.col("text")) != "")).groupBy("page_id").agg(F.count("*").alias("blocks"))
+    return md.join(n, "page_id").select("page_id", F.md5("markdown").alias("md5"), "blocks")
+
+
+@query(f"WITH {S_LINES} SELECT page_id, count(*) FILTER (type = 'image') AS images, count(*) FILTER (type = 'text') AS texts FROM l GROUP BY page_id")
+def block_counts(spark, d):
+    return lines(spark, d).groupBy("page_id").agg(F.count_if(F.col("type") == "image").alias("images"), F.count_if(F.col("type") == "text").alias("texts"))
+
+
+@query("SELECT event_id, strftime(ts, '%-m/%-d/%Y, %-I:%M:%S %p') AS shown, strftime(ts, '%Y-%m-%d_%H-%M-%S-') || lpad(CAST(CAST(floor(microsecond(ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 'Z' AS slug FROM events")
+def dates(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", X.display_date(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("shown"), X.timestamp_slug(ts).alias("slug"))
+
+
+# --- versions and runs
+
+
+def history(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("source").alias("site"), F.col("lang").alias("slug"), F.when(F.col("doc_id") % 2 == 0, "md").otherwise("txt").alias("ext"), F.col("doc_id").alias("collected_at"), F.concat(F.lit("DATE: "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("content"), F.md5("text").alias("signature"))
+
+
+S_HIST = "h AS (SELECT source AS site, lang AS slug, CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'txt' END AS ext, doc_id AS collected_at, text, md5(text) AS signature FROM documents)"
+
+
+@query(f"WITH {S_HIST} SELECT site, slug, max(collected_at) AS collected_at, max_by(signature, collected_at) AS signature FROM h GROUP BY ALL")
+def latest_versions(spark, d):
+    return V.latest_version(history(spark, d).select("site", "slug", "collected_at", "signature"))
+
+
+@query(f"WITH {S_HIST}, n AS (SELECT site, slug, max(collected_at) AS m FROM h WHERE collected_at % 3 = 0 GROUP BY ALL), o AS (SELECT h.site, h.slug, h.signature FROM h JOIN n ON h.site = n.site AND h.slug = n.slug AND h.collected_at = n.m) SELECT h.site, h.slug, collected_at FROM h LEFT JOIN o ON h.site = o.site AND h.slug = o.slug WHERE collected_at % 3 <> 0 AND (o.signature IS NULL OR o.signature <> h.signature)")
+def new_versions(spark, d):
+    h = history(spark, d).select("site", "slug", "collected_at", "signature")
+    return V.new_versions(h.filter("collected_at % 3 != 0"), V.latest_version(h.filter("collected_at % 3 = 0"))).select("site", "slug", "collected_at")
+
+
+@query(f"WITH {S_HIST} SELECT site, slug, collected_at FROM (SELECT *, lag(signature) OVER (PARTITION BY site, slug ORDER BY collected_at) AS o FROM h) WHERE o IS NULL OR o <> signature")
+def changed_versions(spark, d):
+    return V.changed_versions(history(spark, d).select("site", "slug", "collected_at", "signature"))[["site", "slug", "collected_at"]]
+
+
+@query(f"WITH {S_HIST}, c AS (SELECT *, row_number() OVER (PARTITION BY site, slug, ext ORDER BY collected_at DESC) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY site, slug, ext, text ORDER BY collected_at DESC) AS m FROM c WHERE n <= 20) SELECT site, slug, ext, collected_at FROM k WHERE m = 1")
+def retained_history(spark, d):
+    return V.dedupe_history(V.cap_history(history(spark, d), 20)).select("site", "slug", "ext", "collected_at")
+
+
+def run_pages(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("order"), (F.col("event_type") == "click").alias("is_article"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("site"), F.col("event_type").alias("title"), F.unix_micros(F.col("ts").cast("timestamp")).alias("collected_at"))
+
+
+S_RUNS = "p AS (SELECT user_id AS run_id, event_id AS ord, event_type = 'click' AS is_article, 's' || (user_id % 7) AS site, event_type AS title, epoch_us(ts) AS collected_at FROM events), r AS (SELECT site, run_id AS id, count(*) AS crawled_pages, count(*) FILTER (is_article) AS article_files, min(collected_at) AS created_at FROM p GROUP BY ALL)"
+
+
+def runs(spark, d) -> DataFrame:
+    p = run_pages(spark, d)
+    return V.run_record(p).withColumnRenamed("run_id", "id").withColumn("site", F.concat(F.lit("s"), (F.col("id") % 7).cast("string")))
+
+
+@query(f"WITH {S_RUNS} SELECT run_id, ord AS \"order\" FROM (SELECT *, bool_or(is_article) OVER (PARTITION BY run_id) AS any_article, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS n FROM p) WHERE is_article OR (NOT any_article AND n = 1)")
+def exportable_pages(spark, d):
+    return V.exportable_pages(run_pages(spark, d)).select("run_id", "order")
+
+
+@query(rf"WITH {S_RUNS}, s AS (SELECT *, {s_slug('title')} AS slug FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY run_id, site, slug ORDER BY ord) AS n FROM s) SELECT run_id, ord AS \"order\", CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS dir FROM n".replace('\\"', '"'))
+def article_dirs(spark, d):
+    return V.assign_article_dirs(run_pages(spark, d)).select("run_id", "order", "dir")
+
+
+@query(f"WITH {S_RUNS} SELECT id, site, crawled_pages, article_files, created_at FROM r")
+def run_records(spark, d):
+    return runs(spark, d)
+
+
+@query(f"WITH {S_RUNS} SELECT site, count(*) AS runs, CAST(sum(crawled_pages) AS BIGINT) AS crawled_pages, CAST(sum(article_files) AS BIGINT) AS article_files FROM r GROUP BY site")
+def site_summary(spark, d):
+    return V.site_summary(runs(spark, d))
+
+
+@query(f"WITH {S_RUNS} SELECT id, site, crawled_pages, article_files, created_at FROM r ORDER BY created_at DESC, id DESC LIMIT 20")
+def list_runs(spark, d):
+    return V.list_runs(runs(spark, d))
+
+
+@query(f"WITH {S_RUNS}, t AS (SELECT * FROM r ORDER BY created_at DESC, id DESC LIMIT 100) SELECT id, site FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, id DESC) AS n FROM t) WHERE n <= 9")
+def cap_runs(spark, d):
+    return V.cap_runs(runs(spark, d), 100, 9).select("id", "site")
+
+
+@query(f"WITH {S_RUNS} SELECT id, CASE WHEN id % 4 = 0 THEN 'new' ELSE site END AS site FROM r")
+def upsert_runs(spark, d):
+    r = runs(spark, d).select("id", "site")
+    return V.upsert_runs(r, r.filter("id % 4 = 0").withColumn("site", F.lit("new")))
+
+
+# --- request logs
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS allowed, 0::BIGINT AS wait, [t] AS acc FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((live[1] + 129600000000 - t) / 1000000) AS BIGINT)) END, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.acc, lambda x: e.t - x < 129600000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, allowed, wait AS retry_after_s FROM r""")
+def rate_limit(spark, d):
+    return R.rate_limit(table(spark, d, "events"), 36 * 3600, 3)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type || '::' || user_id % 5 AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type || '::' || user_id % 5 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, event_id, n, false AS hit, t + 21600000000 AS until FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e.event_id, e.n, e.t < r.until, CASE WHEN e.t < r.until THEN r.until ELSE e.t + 21600000000 END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, event_id, hit FROM r""")
+def ttl_cache_hits(spark, d):
+    key = F.concat(F.col("event_type"), F.lit("::"), (F.col("user_id") % 5).cast("string"))
+    return R.ttl_cache_hits(table(spark, d, "events").select(key.alias("key"), "event_id", "ts"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS key, epoch_us(ts) AS created_us FROM events WHERE ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 200")
+def live_entries(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("created_at"))
+    return R.live_entries(e, F.lit("2024-01-20 00:00:00").cast("timestamp"), 21600, 200).select("key", F.unix_micros("created_at").alias("created_us"))
+
+
+# --- subtitles
+
+
+def subtitle_files(spark, d, vtt: bool = False) -> DataFrame:
+    """One file per conversation: a cue per turn, its text the turn's first line, every third one said twice."""
+    c = table(spark, d, "conversations")
+    said = F.concat(F.lit("<i>"), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("</i>"))
+    cue = F.concat(F.lit("" if vtt else "7\n"), F.lit("00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":05" + (".250" if vtt else ",250") + " --> 01:00:00"), F.lit("\n"), said, F.lit("\n\n"))
+    cue = F.when(F.col("turn") % 3 == 1, F.concat(cue, cue)).otherwise(cue)
+    made = c.groupBy(F.col("conv_id").alias("video_id"), F.lit("en").alias("lang")).agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("x")))).alias("a"))
+    return made.select("video_id", "lang", F.concat(F.lit("WEBVTT\nKind: captions\n\n" if vtt else ""), F.array_join(F.transform("a", lambda x: x["x"]), "")).alias("raw"))
+
+
+S_CUES = f"""c AS (SELECT conv_id AS video_id, turn, '00:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':05' AS start, {s_collapse("split_part(text, chr(10), 1)")} AS text, unnest(range(CASE WHEN turn % 3 = 1 THEN 2 ELSE 1 END)) AS rep FROM conversations),
+u AS (SELECT * FROM c WHERE text <> ''), n AS (SELECT *, lag(start) OVER w AS ps, lag(text) OVER w AS pt FROM u WINDOW w AS (PARTITION BY video_id ORDER BY turn, rep)), q AS (SELECT * FROM n WHERE ps IS NULL OR ps <> start OR pt <> text)"""
+
+
+@query(f"WITH {S_CUES} SELECT video_id, start, text, count(*) AS n FROM u GROUP BY ALL")
+def srt_cues(spark, d):
+    return S.srt_cues(subtitle_files(spark, d)).groupBy("video_id", "start", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S_CUES} SELECT video_id, start, text, count(*) AS n FROM u GROUP BY ALL")
+def vtt_cues(spark, d):
+    return S.vtt_cues(subtitle_files(spark, d, vtt=True)).groupBy("video_id", "start", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S_CUES}, t AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY turn, rep) AS p FROM q) SELECT video_id, md5(string_agg(text, chr(10) ORDER BY turn, rep)) AS transcript FROM t WHERE p IS NULL OR p <> text GROUP BY video_id")
+def transcript_plain(spark, d):
+    return S.transcript_plain(S.normalize_cues(S.srt_cues(subtitle_files(spark, d)))).select("video_id", F.md5("transcript").alias("transcript"))
+
+
+@query(f"WITH {S_CUES} SELECT video_id, md5(string_agg('[' || start || '] ' || text, chr(10) ORDER BY turn, rep)) AS transcript FROM q GROUP BY video_id")
+def transcript_timestamped(spark, d):
+    return S.transcript_timestamped(S.normalize_cues(S.vtt_cues(subtitle_files(spark, d, vtt=True)))).select("video_id", F.md5("transcript").alias("transcript"))
