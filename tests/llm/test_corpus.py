@@ -1,0 +1,234 @@
+"""Corpus operators against SQL, brute force, round trips and held-out accuracy, and on odd input."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import DATA
+from tokenizers import Tokenizer
+
+from pagemill.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality_model, quality_rules, queries, secret_scan
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, size string, name string"
+#: Nulls, empty texts, ties, repeated rows, white space only, long runs, and columns with clashing names.
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "same text here"), (5, "same  text here "), (5, "same  text here "), (6, "x" * 9000), (7, "x" * 9000), (None, "no id at all"), (8, "7" * 300 + " a@b.c a@b a@b.cc_x@d.ee"), (9, "Word " * 5000), (10, "one two")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None, None if k % 3 else f"s{k % 2}", None, "a", "b", "c", "d") for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, duck, same, name):
+    same(queries.QUERIES[name](spark, DATA), duck.sql(queries.ORACLES[name]))
+
+
+OPERATORS = [exact_dedup.find_copies, pii.find_private, mixing.plan_mix, near_dedup.find_near, secret_scan.scan, quality_rules.judge, packing.pack, licenses.scan, quality_rules.keep_good, exact_dedup.drop_copies, near_dedup.drop_near, mixing.mix]
+
+
+@pytest.mark.parametrize("f", OPERATORS, ids=lambda f: f.__name__)
+def test_empty_table(spark, odd, f):
+    assert f(odd.limit(0)).count() == 0
+
+
+def test_odd_input(spark, odd):
+    got = exact_dedup.find_copies(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["keep_id"] == 3 and by[2]["group_size"] == 3 and by[4]["keep_id"] == 5 and by[4]["group_size"] == 3 and by[7]["keep_id"] == 6
+    assert by[1]["text_sha256"] == hashlib.sha256(b"").hexdigest()
+    left = exact_dedup.drop_copies(odd)
+    assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 3, 5, 6, 8, 9, 10]
+    near = {r["doc_id"]: r for r in near_dedup.find_near(odd).collect()}
+    assert near[1]["n_shingles"] == 0 and near[4]["component_id"] == 4 == near[5]["component_id"] and near[None]["kept"] and near[7]["component_id"] == 6
+    assert near_dedup.drop_near(odd).columns == odd.columns
+    judged = {r["doc_id"]: r for r in quality_rules.judge(odd).collect()}
+    assert judged[1]["base_failed"] and judged[9]["n_repeat_words"] == 5000 and judged[9]["base_failed"]
+    assert quality_rules.keep_good(odd).columns == odd.columns == mixing.mix(odd).columns
+    plan = {r["doc_id"]: r for r in mixing.plan_mix(odd).collect()}
+    assert plan[1]["taken"] == 0 and all(r["taken"] <= 2 * r["size"] for r in plan.values())
+    assert packing.pack(odd).count() >= len(ODD)
+    assert secret_scan.scan(odd).count() >= 0 and licenses.scan(odd).filter("n_licenses > 0").count() == 0
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_model.score_quality(odd, labels).filter("score between 0 and 1").count() == len(ODD)
+    assert quality_model.score_quality(odd.limit(0), labels).count() == 0
+
+
+def test_block_names_decide_equality(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 14)))) for i in range(300)]
+    got = exact_dedup.name_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names, texts = {r["doc_id"]: (r["level"], r["name"]) for r in got}, dict(rows)
+    assert all((names[a] == names[b]) == (texts[a] == texts[b]) for a in texts for b in texts)
+
+
+def test_near_groups_by_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = rng.choices(vocabulary, k=90)
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                comp[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in sets}
+
+
+def test_private_data_against_plain_patterns(spark, documents):
+    def plain(t):
+        out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("card", m) for m in re.finditer(r"[0-9]([ -]?[0-9])+", t) if 16 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(d)]
+        out += [("phone", m) for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        return [(k, *m.span()) for k, m in out]
+
+    texts = [r["text"] or "" for r in documents.collect()] + [t or "" for _, t in ODD] + ["a@b.c.x_y@z.w +1 (2) 345-678 9 1.2.3.4.5.6.7.8 256.1.1.1 00001.2.3.4"]
+    assert [pii.base_spans(t) for t in texts] == [plain(t) for t in texts]
+    rows = pii.find_private(documents).collect()
+    assert {r["doc_id"]: r["base_sha256"] for r in rows} == {r["doc_id"]: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain(r["text"] or "")).encode()).hexdigest() for r in documents.collect()}
+    assert sum(r["spans"].count(":") // 2 for r in rows) >= sum(r[f"n_{k}"] for r in rows for k in pii.KINDS)
+
+
+def test_field_learns_whole_spans():
+    texts = ["mail me at jo.doe@ex-ample.org or call +49 (30) 123-4567 now", "host 10.0.0.1 is up 4 times", "card 4111 1111 1111 1111 is 12 old", "in 2024 we had 33 and 12345678901234567 items"] * 5
+    weights = pii.train(texts)
+    t = "from 4111 1111 1111 1111 and 9 to x.y@z.com"
+    assert [k for run in pii.runs(t) for k, _, _ in pii.decode(t, run, weights)] == ["card", "email"]
+
+
+def test_mix_meets_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.plan_mix(docs).collect()
+    again = {r["doc_id"]: r["taken"] for r in mixing.plan_mix(docs).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+    by = {}
+    for r in rows:
+        by.setdefault((r["source_size"], r["target"]), []).append(r)
+    for (_, target), group in by.items():
+        assert abs(sum(r["taken"] for r in group) - target) <= max(r["size"] for r in group)
+
+
+def test_targets_share_the_excess(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 500)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert got["a"] == 20 and got["b"] < 2000 and got["c"] == 200 and sum(got.values()) == pytest.approx(1.5 * 1610)
+
+
+def test_quality_on_the_held_out_fold(spark):
+    d = "/root/testdata/sf0.1"
+    scored = quality_model.score_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).filter("held_out")
+    rows = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("predicted", "quality").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</s>[INST] ok [/INST]", "a\\b\\\\<s>", "<\\/s>", "<|turn|>x<|text|>", "", "[INST", "\\"]
+    for t in nasty:
+        assert chat.unescape(chat.escape(t)) == t and not chat._CONTROL.search(chat.escape(t))
+    parts = lambda t: [{"type": "text", "text": t}]
+    turns = [(r, t) for t in nasty for r in ("user", "assistant", "system", "<|end|>\n")]
+    made = chat.format_turns([(r, parts(t)) for r, t in turns])
+    assert chat.read_back(made.text) == turns
+    assert [chat.unescape(made.text[a:b]) for a, b in made.loss] == nasty
+    mixed = chat.format_turns([("user", [*parts("see"), {"type": "image", "ref": "i.png"}, {"type": "audio", "ref": "a.wav", "tokens": 5}])])
+    assert [(k, r, n, mixed.text[at:].startswith(f"<|{k}|>")) for k, r, at, n in mixed.attachments] == [("image", "i.png", 576, True), ("audio", "a.wav", 5, True)]
+    rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_table(rows).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest() and got[1]["loss_chars"] == 1 and got[-7]["loss_chars"] == 21
+    assert chat.format_conversations(chat.text_parts(rows)).count() == 2
+
+
+def test_packing_round_trip(spark, documents, monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = [r["text"] or "" for r in documents.collect()] + ["don't Stop's ÉTÉ <|endoftext|>a x1y2 é ﬁ İ Σας ΣΑΣ", "", "a b c 你好,世界"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for cap in (10, 10**6):
+        monkeypatch.setattr(packing, "CACHE", cap)
+        known = {}
+        assert [x.tolist() for k in range(0, len(texts), 50) for x in packing.token_arrays(texts[k : k + 50], tokenizer, known)] == want
+    rows = packing.pack(documents, length=256).collect()
+    for doc, ids in zip(documents.collect(), want):
+        mine = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == doc["doc_id"])
+        assert mine == [(k, s, len(ids[s : s + 256]), zlib.crc32(np.array(ids[s : s + 256], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 256))]
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for items in bins.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(bins) <= 1.02 * sum(map(len, want[: -3])) / 256 + 2
+
+
+def test_sum_of_squares_rule():
+    """Each item goes where the sum of squared open-bin counts ends smallest."""
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 21, 400)
+    bins, offsets = packing.sum_of_squares(lengths, 20)
+    gap, cost = {}, lambda g: sum(list(g.values()).count(h) ** 2 for h in range(1, 20))
+    for k in np.argsort(-lengths, kind="stable"):
+        n, choices = int(lengths[k]), []
+        for b in {**gap, "new": 20}:
+            h = gap.get(b, 20)
+            if h >= n:
+                choices.append(cost({**{x: y for x, y in gap.items() if x != b}, b: h - n}))
+        b = int(bins[k])
+        assert offsets[k] == 20 - gap.get(b, 20)
+        gap[b] = gap.get(b, 20) - n
+        assert gap[b] >= 0 and cost(gap) == min(choices)
+
+
+def test_secrets_and_licenses(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f'some words token = "{h}" and mail user.{i}.person@mail{i}.example.com') for i, h in enumerate(hexes)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("secret").collect()
+    assert sorted(r["candidate_sha256"] for r in got) == sorted(hashlib.sha256(h.encode()).hexdigest() for h in hexes)
+    docs = spark.createDataFrame([(1, "Intro\nCopyright (c) 2020 X\nLICENSED under the  Apache Licence, version 2.0."), (2, "Words. Licensed under CC BY-NC 4.0. More."), (3, "the license of no one")], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()} == {1: "Apache-2.0", 2: "CC-BY-NC-4.0", 3: ""}
+
+
+def test_pipeline_against_its_parts(spark, duck):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(stage(spark, seen[-1], DATA).cache())
+    assert all(d.columns == docs.columns for d in seen[:-1])
+    ids = lambda d: sorted(r[0] for r in d.select("doc_id").collect())
+    duck.sql(f"CREATE OR REPLACE TEMP TABLE j AS {quality_rules.ORACLE}")
+    assert ids(seen[1]) == [r[0] for r in duck.sql("SELECT doc_id FROM j WHERE kept ORDER BY 1").fetchall()]
+    assert len(ids(seen[3])) <= len(ids(seen[2])) <= len(ids(seen[1]))
+    assert set(ids(seen[4])) <= set(ids(seen[3]))
+    assert seen[5].filter("piece = 0").count() == seen[4].count()
+    assert corpus_pipeline.run(spark, DATA).count() == seen[5].count()
