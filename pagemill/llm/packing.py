@@ -21,15 +21,16 @@ import zlib
 from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import text_of, written
+from pagemill.llm.common import small_batches, text_of, written
 
-LENGTH, END, GROUP, CACHE, BATCH = 4096, 1, 50_000, 1_000_000, 1000
+LENGTH, END, GROUP, CACHE, BATCH = 4096, 1, 50_000, 900_000, 500
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|-]*)")
@@ -62,12 +63,9 @@ def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[n
     known = {"": b""} | {p: cache[p] for p in pieces if p in cache}
     known |= (made := _encoded([p for p in pieces if p not in known], tokenizer))
     fresh = {c: known[a] + known[b] for c, (a, b) in parts.items()}
-    look = cache
-    if len(cache) + len(made) + len(fresh) <= CACHE:
-        cache.update(made)
-        cache.update(fresh)
-    elif fresh:
-        look = ChainMap(fresh, cache)
+    for new in (made, fresh):
+        cache.update(islice(new.items(), max(0, CACHE - len(cache))))
+    look = cache if len(cache) < CACHE else ChainMap(fresh, cache)
     return [np.frombuffer(b"".join(map(look.__getitem__, chunks)) + _END, "<u4") for chunks in split]
 
 
@@ -140,6 +138,7 @@ def _packed(length: int):
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    pieces = written(read.mapInPandas(tokenised(tokenizer, length), _PIECES), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(read.mapInPandas(tokenised(tokenizer, length), _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     return pieces.repartition(groups).mapInPandas(_packed(length), _PLACED)
