@@ -47,6 +47,16 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def fitting_sample(df: DataFrame, rows: int, size: int, seed: int) -> DataFrame:
+    """At most `size` of about `rows` rows, by hash of doc_id: what models are fitted on.
+
+    A first cut by hash keeps what the tasks send for the ordering near `size` in all, however many they are.
+    """
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    cut = df if rows <= 2 * size else df.filter(F.pmod(h, F.lit(2**30)) < int(2**30 * 1.5 * size / rows))
+    return cut.orderBy(h, "doc_id").limit(size)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

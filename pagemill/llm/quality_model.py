@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, text_of, written
+from pagemill.llm.common import WORD, fitting_sample, text_of, written
 
 SAMPLE, BINS, STEPS, RATE, FADE = 20_000, 12, 400, 0.1, 1e-3
 THRESHOLD, FOLDS = 0.3, 5
@@ -83,15 +83,14 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.
         return [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 0.0
     prior = min(max(good / n, 0.01), 0.99)
     train = stats.filter(~held_out(F.col("doc_id")))
-    order = F.xxhash64(F.lit(5), F.col("doc_id"))
-    trusted = known.filter("quality = 1").orderBy(order, "doc_id").limit(SAMPLE).select("doc_id")
+    trusted = fitting_sample(known.filter("quality = 1"), good, SAMPLE, 5).select("doc_id")
     p = train.join(trusted, "doc_id", "left_semi").select(*FEATURES).limit(SAMPLE).toPandas().to_numpy(float)
-    u = train.orderBy(order, "doc_id").limit(SAMPLE).select(*FEATURES).toPandas().to_numpy(float)
+    u = fitting_sample(train, stats.count(), SAMPLE, 5).select(*FEATURES).toPandas().to_numpy(float)
     cuts = [np.unique(np.quantile(u[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(len(FEATURES))]
     cuts = [np.unique(np.r_[c, np.quantile(u[:, k], [0.02, 0.05, 0.95, 0.98])]) for k, c in enumerate(cuts)]
     hot = lambda x: np.hstack([np.eye(len(c) + 1)[np.searchsorted(c, x[:, k], side="left")] for k, c in enumerate(cuts)])
     w = minimise(hot(p), hot(u), prior)
-    marked = known.orderBy(order, "doc_id").limit(SAMPLE)
+    marked = fitting_sample(known, n, SAMPLE, 5)
     marked = train.join(marked, "doc_id").select("quality", *FEATURES).limit(SAMPLE).toPandas().to_numpy(float)
     slope, offset = calibrate(np.hstack([hot(marked[:, 1:]), np.ones((len(marked), 1))]) @ w, marked[:, 0])
     w = slope * w

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import text_of, written
+from pagemill.llm.common import fitting_sample, text_of, written
 
 LABELLED, TREES, DEPTH, THRESHOLD = 4000, 20, 6, 0.5
 CHARS = r"A-Za-z0-9_+/.=-"
@@ -64,7 +64,7 @@ def trusted_label():
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, candidate_sha256, name, length, score, secret: one row per candidate; strings are not shown."""
     found = written(candidates(docs), "candidates").withColumn("label", trusted_label())
-    sample = written(found.filter("label is not null").orderBy(F.xxhash64("candidate"), "doc_id").limit(LABELLED).select("label", *FEATURES), "labelled")
+    sample = written(fitting_sample(found.filter("label is not null"), found.count(), LABELLED, 9).select("label", *FEATURES), "labelled")
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(kinds) == 2:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
