@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -41,8 +40,9 @@ _PLACED = f"{_PIECES}, sequence_id long, offset long"
 
 def _encoded(chunks: list[str], tokenizer) -> dict[str, bytes]:
     """Ids of chunks, as bytes. Chunks of letters only are one unit each, so they can share one call."""
-    plain = [c for c in chunks if _PLAIN.fullmatch(c)]
-    other = [c for c in chunks if not _PLAIN.fullmatch(c)]
+    plain, other = [], []
+    for c in chunks:
+        (plain if _PLAIN.fullmatch(c) else other).append(c)
     out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
     if plain:
         e = tokenizer.encode(" ".join(plain), add_special_tokens=False)
@@ -57,7 +57,8 @@ def _encoded(chunks: list[str], tokenizer) -> dict[str, bytes]:
 def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[np.ndarray]:
     """Ids of each text. White space separates chunks whose ids don't depend on one another."""
     split = [t.split() for t in texts]
-    missing = set().union(*split).difference(cache)
+    seen = set().union(*split)
+    missing = seen.difference(cache)
     parts = {c: (m[1].lower(), m[2]) if (m := _WORD.fullmatch(c)) else (c, "") for c in missing}
     pieces = {p for pair in parts.values() for p in pair if p}
     known = {"": b""} | {p: cache[p] for p in pieces if p in cache}
@@ -65,7 +66,7 @@ def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[n
     fresh = {c: known[a] + known[b] for c, (a, b) in parts.items()}
     for new in (made, fresh):
         cache.update(islice(new.items(), max(0, CACHE - len(cache))))
-    look = cache if len(cache) < CACHE else ChainMap(fresh, cache)
+    look = cache if len(cache) < CACHE else {c: cache[c] for c in seen - missing} | fresh
     return [np.frombuffer(b"".join(map(look.__getitem__, chunks)) + _END, "<u4") for chunks in split]
 
 
