@@ -64,9 +64,14 @@ def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[n
     known = {"": b""} | {p: cache[p] for p in pieces if p in cache}
     known |= (made := _encoded([p for p in pieces if p not in known], tokenizer))
     fresh = {c: known[a] + known[b] for c, (a, b) in parts.items()}
-    for new in (made, fresh):
-        cache.update(islice(new.items(), max(0, CACHE - len(cache))))
-    look = cache if len(cache) < CACHE else {c: cache[c] for c in seen - missing} | fresh
+    room = CACHE - len(cache)
+    if len(made) + len(fresh) <= room:
+        cache.update(made)
+        cache.update(fresh)
+        look = cache
+    else:
+        look = {c: cache[c] for c in seen - missing} | fresh
+        cache.update(islice(made.items(), max(0, room)))
     return [np.frombuffer(b"".join(map(look.__getitem__, chunks)) + _END, "<u4") for chunks in split]
 
 

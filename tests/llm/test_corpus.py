@@ -170,7 +170,7 @@ def test_packing_round_trip(spark, documents, monkeypatch):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     texts = [r["text"] or "" for r in documents.collect()] + ["don't Stop's ÉTÉ <|endoftext|>a x1y2 é ﬁ İ Σας ΣΑΣ", "", "a b c 你好,世界"]
     want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
-    for cap in (10, 10**6):
+    for cap in (0, 10, 3000, 7000, 10**6):
         monkeypatch.setattr(packing, "CACHE", cap)
         known = {}
         assert [x.tolist() for k in range(0, len(texts), 50) for x in packing.token_arrays(texts[k : k + 50], tokenizer, known)] == want
