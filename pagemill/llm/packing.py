@@ -5,6 +5,7 @@ to the place that makes the sum over residual gaps of the squared number of open
 Pieces are dealt evenly, whatever their document, into groups of about GROUP; each group is packed
 by itself, longest pieces first, so the work spreads and a group leaves only its last bins open.
 
+Arrow splits about BYTES of text at a time and numbers the distinct chunks, so Python sees each once.
 Words repeat, so each Python worker keeps the ids of up to CACHE chunks of non-white-space text.
 The tokenizer never joins across white space, nor letters with the punctuation after them, and
 ignores case, which a test checks against whole texts; an unknown chunk is thus looked up as its
@@ -24,82 +25,119 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import small_batches, text_of, written
 
-LENGTH, END, GROUP, CACHE, BATCH = 4096, 1, 50_000, 900_000, 500
+LENGTH, END, GROUP, CACHE, BYTES = 4096, 1, 50_000, 900_000, 4_000_000
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|-]*)")
-_END = np.array([END], "<u4").tobytes()
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_TAIL = ".,;:!?*#$%&|-"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
 
 
-def _encoded(chunks: list[str], tokenizer) -> dict[str, bytes]:
-    """Ids of chunks, as bytes. Chunks of letters only are one unit each, so they can share one call."""
+def _encoded(chunks: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
+    """Ids of chunks, as bytes. Chunks of letters only share one call; each ends at its first word-end id."""
     plain, other = [], []
     for c in chunks:
         (plain if _PLAIN.fullmatch(c) else other).append(c)
-    out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
     if plain:
-        e = tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ids, starts = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
-        if len(starts) != len(plain):
-            return out | {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in plain}
-        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        out.update((c, raw[cuts[k] : cuts[k + 1]]) for k, c in enumerate(plain))
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) == len(plain):
+            raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+            out = {c: raw[cuts[k] : cuts[k + 1]] for k, c in enumerate(plain)}
+        else:
+            out, other = {}, plain + other
+    else:
+        out = {}
+    made = tokenizer.encode_batch_fast(other, add_special_tokens=False)
+    return out | {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, made, strict=True)}
+
+
+def _ids_of(chunks: list[str], tokenizer, ends: np.ndarray, cache: dict[str, bytes]) -> list[bytes]:
+    """Ids of each of these distinct chunks. What is not known is looked up as letters and tail first."""
+    out = list(map(cache.get, chunks))
+    missing = [k for k, v in enumerate(out) if v is None]
+    pairs = []
+    for k in missing:
+        c = chunks[k]
+        letters = c.rstrip(_TAIL)
+        pairs.append((letters.lower(), c[len(letters) :]) if _LETTERS.fullmatch(letters) else (c, ""))
+    known = {p: cache.get(p) for pair in pairs for p in pair}
+    made = _encoded([p for p, v in known.items() if v is None], tokenizer, ends)
+    known |= made
+    for k, (letters, tail) in zip(missing, pairs, strict=True):
+        out[k] = known[letters] + known[tail] if tail else known[letters]
+    room = max(0, CACHE - len(cache))
+    cache.update(islice(made.items(), room))
+    room = max(0, CACHE - len(cache))
+    cache.update((chunks[k], out[k]) for k in islice(missing, room))
     return out
 
 
-def token_arrays(texts: list[str], tokenizer, cache: dict[str, bytes]) -> list[np.ndarray]:
-    """Ids of each text. White space separates chunks whose ids don't depend on one another."""
-    split = [t.split() for t in texts]
-    seen = set().union(*split)
-    missing = seen.difference(cache)
-    parts = {c: (m[1].lower(), m[2]) if (m := _WORD.fullmatch(c)) else (c, "") for c in missing}
-    pieces = {p for pair in parts.values() for p in pair if p}
-    known = {"": b""} | {p: cache[p] for p in pieces if p in cache}
-    known |= (made := _encoded([p for p in pieces if p not in known], tokenizer))
-    fresh = {c: known[a] + known[b] for c, (a, b) in parts.items()}
-    room = CACHE - len(cache)
-    if len(made) + len(fresh) <= room:
-        cache.update(made)
-        cache.update(fresh)
-        look = cache
-    else:
-        look = {c: cache[c] for c in seen - missing} | fresh
-        cache.update(islice(made.items(), max(0, room)))
-    return [np.frombuffer(b"".join(map(look.__getitem__, chunks)) + _END, "<u4") for chunks in split]
+def token_arrays(texts: pa.Array, tokenizer, ends: np.ndarray, cache: dict[str, bytes]) -> list[np.ndarray]:
+    """Ids of each text, then END. White space separates chunks whose ids don't depend on one another."""
+    split = pc.utf8_split_whitespace(texts)
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    raw = _ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), tokenizer, ends, cache)
+    ids, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+    codes = coded.indices.to_numpy()
+    n = sizes[codes]
+    to = np.concatenate([[0], np.cumsum(n)])
+    # the ids of chunk k are those of its distinct chunk, moved to where k begins
+    flat = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - to[:-1], n) + np.arange(to[-1])]
+    stops = to[bounds[1:] - bounds[0]]
+    return np.split(np.insert(flat, stops, END), stops[:-1] + np.arange(1, len(stops)))
 
 
 @cache
 def _loaded(name: str):
-    """The tokenizer and the cache of this Python worker, which serves many tasks."""
+    """The tokenizer, which ids end a word, and the cache of this Python worker, which serves many tasks."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)), {}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return tokenizer, word_ends(tokenizer), {}
+
+
+def word_ends(tokenizer) -> np.ndarray:
+    vocab = tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+    return ends
+
+
+def _slices(texts: pa.Array) -> list[int]:
+    """Where to cut a batch so that each part has about BYTES of text; a longer text is alone or ends a part."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy()) // BYTES
+    return [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
 
 
 def tokenised(name: str, length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, known = _loaded(name)
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part, out = pdf.iloc[at : at + BATCH], []
-                for doc_id, ids in zip(part["doc_id"], token_arrays(part["t"].tolist(), tokenizer, known), strict=True):
-                    for k, start in enumerate(range(0, len(ids), length)):
-                        piece = ids[start : start + length]
-                        out.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())))
-                df = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                df["doc_id"] = df["doc_id"].astype("Int64")
-                yield df
+        tokenizer, ends, known = _loaded(name)
+        for batch in batches:
+            cuts = _slices(batch["t"]) if len(batch) else [0]
+            for at, to in zip(cuts, cuts[1:]):
+                row, piece, start, size, crc = [], [], [], [], []
+                for k, ids in enumerate(token_arrays(batch["t"][at:to], tokenizer, ends, known), at):
+                    for no, begin in enumerate(range(0, len(ids), length)):
+                        part = ids[begin : begin + length]
+                        row.append(k), piece.append(no), start.append(begin), size.append(len(part)), crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return run
 
@@ -145,6 +183,6 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH) -> D
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     with small_batches(docs.sparkSession):
-        pieces = written(read.mapInPandas(tokenised(tokenizer, length), _PIECES), "pieces")
+        pieces = written(read.mapInArrow(tokenised(tokenizer, length), _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     return pieces.repartition(groups).mapInPandas(_packed(length), _PLACED)

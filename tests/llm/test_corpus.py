@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from tokenizers import Tokenizer
@@ -173,7 +174,7 @@ def test_packing_round_trip(spark, documents, monkeypatch):
     for cap in (0, 10, 3000, 7000, 10**6):
         monkeypatch.setattr(packing, "CACHE", cap)
         known = {}
-        assert [x.tolist() for k in range(0, len(texts), 50) for x in packing.token_arrays(texts[k : k + 50], tokenizer, known)] == want
+        assert [x.tolist() for k in range(0, len(texts), 50) for x in packing.token_arrays(pa.array(texts[k : k + 50]), tokenizer, packing.word_ends(tokenizer), known)] == want
     rows = packing.pack(documents, length=256).collect()
     for doc, ids in zip(documents.collect(), want):
         mine = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == doc["doc_id"])
