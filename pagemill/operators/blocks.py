@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.gates import is_noise_image, is_noise_table, is_truncated_heading, is_ui_noise
-from pagemill.functions.text import HEADING, collapse, contains_any, noise_key
+from pagemill.functions.text import HEADING, collapse, contains_any, display_date, noise_key
 
 # Where an article ends, and which sections are skipped.
 STOP = ["discussion about this post", "ready for more?", "toplatestdiscussions", "temukan kumpulan riset terkait", "see all", "berikut sebaran masalahnya", "related stories"]
@@ -98,13 +98,46 @@ def render_block_md(tag: Column, text: Column) -> Column:
     return F.when(t == "hr", "------").when(t == "table", raw).when(t == "pre", F.concat(fence, F.lit("\n"), raw, F.lit("\n"), fence)).when(t.rlike(HEADING), F.concat(hashes, F.lit(" "), c)).when(t == "blockquote", F.concat(F.lit("> "), c)).when(t == "li", F.concat(F.lit("- "), c)).otherwise(c)
 
 
-def blocks_to_markdown(blocks: DataFrame, plain: bool = False) -> DataFrame:
-    """page_id, markdown: rendered blocks in order, images numbered among those kept."""
+def blocks_to_markdown(blocks: DataFrame, plain: bool = False, unnamed: str = "Image {}") -> DataFrame:
+    """page_id, markdown: rendered blocks in order, images numbered among those kept; `unnamed` stands for a missing alt text."""
     image = F.col("type") == "image"
     number = F.count_if(image).over(_run())
-    cap = F.coalesce("caption", F.lit(""))
+    cap = collapse(F.col("caption"))
     shown = cap if plain else F.when(cap.rlike("(?i)^https?://"), F.concat(F.lit("[Sumber gambar]("), cap, F.lit(")"))).otherwise(cap)
-    alt = F.coalesce(F.nullif(collapse(F.col("alt")), F.lit("")), F.concat(F.lit("Image "), F.col("no").cast("string")))
-    picture = F.concat(F.lit("!["), alt, F.lit("]("), F.col("src"), F.lit(")"), F.when(cap != "", F.concat(F.lit("\n\n"), shown)).otherwise(""))
+    alt = F.coalesce(F.nullif(collapse(F.col("alt")), F.lit("")), F.replace(F.lit(unnamed), F.lit("{}"), F.col("no").cast("string")))
+    noted = F.concat(F.lit("\n" if plain else "\n\n"), F.lit("_Gambar "), F.col("no").cast("string"), F.lit(": "), shown, F.lit("_"))
+    picture = F.concat(F.lit("!["), alt, F.lit("]("), F.col("src"), F.lit(")"), F.when(cap != "", noted).otherwise(""))
     df = blocks.withColumn("no", number).withColumn("md", F.when(image, picture).otherwise(render_block_md(F.col("tag"), F.col("text")))).filter(F.col("md") != "")
     return df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "md"))).alias("b")).select("page_id", F.array_join(F.transform("b", lambda x: x["md"]), "\n\n").alias("markdown"))
+
+
+_BAR = "=" * 80
+
+
+def _documents(articles: DataFrame, blocks: DataFrame, collected_at: Column, plain: bool) -> DataFrame:
+    """The article's columns with shown (its date), body (rendered blocks) and described (its description lines)."""
+    shown = display_date(F.coalesce(F.col("published_at"), collected_at))
+    described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("_"), "description", F.lit("_\n\n* * *\n\n"))).otherwise("")
+    body = F.coalesce(F.trim("markdown"), F.lit(""))
+    return articles.join(blocks_to_markdown(blocks, plain, "img"), "page_id", "left").withColumns({"shown": shown, "described": described, "body": body})
+
+
+def _header() -> Column:
+    bar = F.lit(_BAR)
+    return F.concat_ws("\n", bar, F.concat(F.lit("TITLE: "), "article_title"), F.concat(F.lit("SOURCE: "), "url"), F.concat(F.lit("DATE: "), "shown"), bar, F.lit("\n"))
+
+
+def article_markdown(articles: DataFrame, blocks: DataFrame, collected_at: Column) -> DataFrame:
+    """page_id, document: header, title, source, description and cleaned blocks; without blocks, the body's paragraphs."""
+    df = _documents(articles, blocks, collected_at, plain=False)
+    paragraphs = F.filter(F.transform(F.split("article_body_text", "\n\n"), collapse), lambda p: p != "")
+    body = F.when(F.col("body") != "", F.col("body")).otherwise(F.coalesce(F.array_join(paragraphs, "\n\n"), F.lit("")))
+    whole = F.concat(_header(), F.lit("# "), "article_title", F.lit("\n\nSource: "), "url", F.lit("\n\n"), "described", body)
+    return df.select("page_id", F.concat(F.regexp_replace(whole, r"\s+\z", ""), F.lit("\n")).alias("document"))
+
+
+def article_text(articles: DataFrame, blocks: DataFrame, collected_at: Column) -> DataFrame:
+    """page_id, document: header, description and cleaned blocks with plain captions; without blocks, the body as it is."""
+    df = _documents(articles, blocks, collected_at, plain=True)
+    body = F.when(F.col("body") != "", F.col("body")).otherwise(F.coalesce("article_body_text", F.lit("")))
+    return df.select("page_id", F.concat(_header(), "described", body, F.lit("\n")).alias("document"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.functions import urls as U
 from pagemill.functions.gates import STOP_TEXTS, is_author_label, is_noise_image_src, is_noise_text
 from pagemill.functions.text import collapse
 
@@ -19,7 +22,7 @@ NODES = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "ta
 CLOSES_P = NODES - {"img"} | {"div", "section", "article", "main", "ul", "ol", "header", "footer", "nav", "form", "figure"}
 ROOTS = ["article", "main article", "[data-post-id]", ".available-content", "main", "body"]
 _STR, _ARR = T.StringType(), T.ArrayType(T.StringType())
-NODE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", _STR), T.StructField("text", _STR), T.StructField("in_nav", T.BooleanType()), T.StructField("roots", T.ArrayType(T.IntegerType())), T.StructField("src", _STR), T.StructField("alt", _STR), T.StructField("links", T.ArrayType(_ARR)), T.StructField("codes", _ARR), T.StructField("cells", T.ArrayType(_ARR))])
+NODE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", _STR), T.StructField("text", _STR), T.StructField("in_nav", T.BooleanType()), T.StructField("roots", T.ArrayType(T.IntegerType())), T.StructField("src", _STR), T.StructField("full", _STR), T.StructField("alt", _STR), T.StructField("links", T.ArrayType(_ARR)), T.StructField("codes", _ARR), T.StructField("cells", T.ArrayType(_ARR))])
 PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", _STR), T.StructField("title", _STR), T.StructField("description", _STR), T.StructField("published", _STR), T.StructField("og_title", _STR), T.StructField("jsonld", _ARR), T.StructField("hrefs", _ARR), T.StructField("article_h1", _STR), T.StructField("main_h1", _STR), T.StructField("long_h1", _STR), T.StructField("root", T.IntegerType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("extract_error", _STR)])
 
 
@@ -114,7 +117,14 @@ def _is_root(e: Element, selector: str) -> bool:
     return e.tag == selector
 
 
-def parse_page(html: str) -> dict:
+def _resolved(href: str, base: str | None) -> str:
+    try:
+        return (U.normalise(urljoin(base or "", href)) or href) if href else ""
+    except ValueError:
+        return href
+
+
+def parse_page(html: str, url: str | None = None) -> dict:
     tree = Tree()
     tree.feed(html)
     tree.close()
@@ -139,8 +149,8 @@ def parse_page(html: str) -> dict:
                 src = e.attrs.get("srcset", "").split(",")[0].strip().split(" ")[0]
             nodes.append({
                 "pos": len(nodes), "tag": e.tag, "text": e.text().replace("\r\n", "\n").strip() if e.tag == "pre" else squeeze(e.text()), "in_nav": any(x.tag in ("nav", "header", "footer") for x in above),
-                "roots": [k for k, r in enumerate(roots) if r is not None and (r in above or r is e)], "src": src, "alt": e.attrs.get("alt"),
-                "links": [[squeeze(a.text()), a.attrs["href"]] for a in inside if a.tag == "a" and "href" in a.attrs], "codes": [squeeze(c.text()) for c in inside if c.tag == "code"], "cells": cells,
+                "roots": [k for k, r in enumerate(roots) if r is not None and (r in above or r is e)], "src": src, "full": src and _resolved(src, url), "alt": e.attrs.get("alt"),
+                "links": [[squeeze(a.text()), _resolved(squeeze(a.attrs["href"]), url)] for a in inside if a.tag == "a" and "href" in a.attrs], "codes": [squeeze(c.text()) for c in inside if c.tag == "code"], "cells": cells,
             })
     title, time = first("title"), next((e for e in live if e.tag == "time" and e.attrs.get("datetime")), None)
     return {
@@ -156,7 +166,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for page_id, url, html in pdf.iloc[at : at + 200].itertuples(index=False):
                 try:
-                    out.append({"page_id": page_id, "url": url} | parse_page(html or ""))
+                    out.append({"page_id": page_id, "url": url} | parse_page(html or "", url))
                 except Exception as e:  # one broken page must not fail the job
                     out.append({"page_id": page_id, "url": url, "extract_error": repr(e)[:200]})
             yield pd.DataFrame(out, columns=[f.name for f in PARSED.fields])
@@ -179,17 +189,58 @@ def headings() -> Column:
     return F.transform(F.filter("nodes", lambda n: n["tag"].isin("h1", "h2") & (n["text"] != "")), lambda n: n["text"])
 
 
-def raw_blocks(parsed: DataFrame) -> DataFrame:
-    """page_id, pos, type, tag, text, src, alt: the nodes of the chosen root that are content, up to a stop text."""
-    df = parsed.select("page_id", "root", collapse(article_title()).alias("at"), F.explode("nodes").alias("n")).select("page_id", "at", "root", "n.*")
+def _replace_first(text: Column, label: Column, made: Column) -> Column:
+    at = F.position(label, text)
+    return F.when(at > 0, F.concat(F.left(text, at - 1), made, F.substr(text, at + F.length(label)))).otherwise(text)
+
+
+def inline_markdown(text: Column, links: Column, codes: Column, page_url: Column) -> Column:
+    """Text in which the first place of each link label, then of each code text, is written as Markdown.
+
+    links: [label, resolved href] in order. Targets on the page's own origin lose their fragment; archive links are unwrapped.
+    """
+    named = F.filter(links, lambda a: (a[0] != "") & (a[1] != ""))
+    target = lambda href: U.unwrap_archive_url(F.coalesce(U.scoped_link(href, page_url), href))
+    linked = F.aggregate(named, text, lambda t, a: _replace_first(t, a[0], F.concat(F.lit("["), a[0], F.lit("]("), target(a[1]), F.lit(")"))))
+    return F.aggregate(F.filter(codes, lambda c: c != ""), linked, lambda t, c: _replace_first(t, c, F.concat(F.lit("`"), c, F.lit("`"))))
+
+
+def table_markdown(cells: Column) -> Column:
+    """Rows of cells as a Markdown table as wide as its widest row; empty rows are left out, no rows give an empty text."""
+    rows = F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    full = F.transform(rows, lambda r: line(F.concat(F.transform(r, lambda c: F.trim(F.replace(c, F.lit("|"), F.lit("\\|")))), F.array_repeat(F.lit(""), width - F.size(r)))))
+    rule = line(F.array_repeat(F.lit(":---"), width))
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(full, 1, 1), F.array(rule), F.slice(full, F.lit(2), F.size(full))), "\n")).otherwise("")
+
+
+def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
+    """page_id, pos, type, tag, text, src, alt: the nodes of the chosen root that are content, up to a stop text.
+
+    With `inline`, paragraphs hold links and code, and tables their rows, as Markdown.
+    """
+    df = parsed.select("page_id", "url", "root", collapse(article_title()).alias("at"), F.explode("nodes").alias("n")).select("page_id", "url", "at", "root", "n.*")
     df = df.filter(F.array_contains("roots", F.col("root")) & ~F.col("in_nav"))
-    image = F.col("tag") == "img"
-    keep = F.when(image, (F.coalesce("src", F.lit("")) != "") & ~is_noise_image_src(F.col("src"))).when(F.col("tag") == "hr", True).otherwise(
-        (F.col("text") != "") & ~is_noise_text(F.col("text")) & (F.col("text") != F.col("at")) & ~is_author_label(F.col("tag"), F.col("text"))
+    tag, image = F.col("tag"), F.col("tag") == "img"
+    if inline:
+        made = F.when(tag == "table", table_markdown(F.col("cells"))).when(tag == "hr", "------").when(tag == "pre", F.trim(F.replace("text", F.lit("\u00a0"), F.lit(" "))))
+        df = df.withColumn("text", made.otherwise(inline_markdown(F.col("text"), F.col("links"), F.col("codes"), F.col("url"))))
+    prose = ~tag.isin("img", "table", "hr")
+    keep = F.when(image, (F.coalesce("src", F.lit("")) != "") & ~is_noise_image_src(F.col("src"))).when(tag == "hr", True).when(tag == "table", F.col("text") != "").otherwise(
+        (F.col("text") != "") & ~is_noise_text(F.col("text")) & (F.col("text") != F.col("at")) & ~is_author_label(tag, F.col("text"))
     )
-    stops = df.filter(F.lower("text").isin(STOP_TEXTS)).groupBy("page_id").agg(F.min("pos").alias("stop"))
-    df = df.filter(keep).join(stops, "page_id", "left").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-    return df.select("page_id", "pos", F.when(image, "image").otherwise("text").alias("type"), "tag", F.when(~image, F.col("text")).alias("text"), "src", "alt")
+    stop = F.min(F.when(prose & F.lower("text").isin(STOP_TEXTS), F.col("pos"))).over(W.partitionBy("page_id"))
+    df = df.filter(keep).withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+    return df.select("page_id", "pos", F.when(image, "image").otherwise("text").alias("type"), "tag", F.when(~image, F.col("text")).alias("text"), F.col("full").alias("src"), "alt")
+
+
+def collect_images(blocks: DataFrame) -> DataFrame:
+    """page_id, src, alt, caption, order, block_order: the images of each page; block_order counts all its blocks from 1."""
+    place = W.partitionBy("page_id").orderBy("pos")
+    image = (F.col("type") == "image") & (collapse(F.col("src")) != "")
+    df = blocks.withColumn("block_order", F.row_number().over(place)).withColumn("order", F.count_if(image).over(place.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return df.filter(image).select("page_id", *[collapse(F.col(c)).alias(c) for c in ("src", "alt", "caption")], F.col("order").cast("int").alias("order"), "block_order")
 
 
 def body_text() -> Column:
@@ -201,6 +252,10 @@ def body_text() -> Column:
 
 def articles(pages: DataFrame) -> DataFrame:
     """page_id, url, title, description, published_at, article_title, article_body_text, headings, hrefs."""
+    return article_columns(parsed_pages(pages))
+
+
+def article_columns(parsed: DataFrame) -> DataFrame:
     title, body = body_text()
-    df = parsed_pages(pages).withColumn("__title", title)
+    df = parsed.withColumn("__title", title)
     return df.select("page_id", "url", "title", "description", F.col("published").alias("published_at"), F.col("__title").alias("article_title"), body.alias("article_body_text"), headings().alias("headings"), "hrefs", "extract_error")

@@ -44,7 +44,7 @@ def link_degree(edges: DataFrame) -> DataFrame:
     return out.join(back, "url", "full_outer").select("url", F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree"), F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Lineage ends in a table in the shared folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
@@ -61,20 +61,20 @@ def crawl_select(pages: DataFrame, edges: DataFrame, roots: DataFrame, max_pages
     """
     known = pages.select("url", "ok")
     start = roots.select("root").distinct().join(known.filter("ok"), F.col("root") == F.col("url"))
-    front = _cut(start.select("root", "url", F.lit(1).cast("long").alias("order")))
+    front = cut(start.select("root", "url", F.lit(1).cast("long").alias("order")))
     chosen = queued = front
     queued = queued.select("root", "url")
     while True:
         links = front.join(edges, front["url"] == edges["src"]).filter(U.queue_scope(F.col("dst"), F.col("root")))
         new = links.groupBy("root", F.col("dst").alias("url")).agg(F.min(F.struct("order", "link_pos")).alias("by")).join(queued, ["root", "url"], "left_anti")
-        new = _cut(new)
+        new = cut(new)
         if new.isEmpty():
             return chosen.select("root", "url", "order")
-        queued = _cut(queued.union(new.select("root", "url")))
+        queued = cut(queued.union(new.select("root", "url")))
         had = chosen.groupBy("root").agg(F.max("order").alias("had"))
         rank = F.row_number().over(W.partitionBy("root").orderBy("by.order", "by.link_pos", "url"))
         live = new.join(known.filter("ok").select("url"), "url").withColumn("rank", rank).join(had, "root").select("root", "url", (F.col("had") + F.col("rank")).alias("order"))
-        front = _cut(live.filter(F.col("order") <= max_pages))
+        front = cut(live.filter(F.col("order") <= max_pages))
         if front.isEmpty():
             return chosen.select("root", "url", "order")
-        chosen = _cut(chosen.unionByName(front))
+        chosen = cut(chosen.unionByName(front))

@@ -276,6 +276,16 @@ def dates(spark, d):
     return table(spark, d, "events").select("event_id", X.display_date(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("shown"), X.timestamp_slug(ts).alias("slug"))
 
 
+@query()
+def article_documents(spark, d):
+    """Each page as a Markdown and a text document; pages are parsed once, into a written table."""
+    parsed = L.cut(H.parsed_pages(table(spark, d, "pages")))
+    blocks = B.clean_blocks(H.raw_blocks(parsed, inline=True).withColumn("caption", F.lit("")))
+    articles, day = H.article_columns(parsed), F.lit("2024-01-02 03:04:05")
+    md, txt = B.article_markdown(articles, blocks, day), B.article_text(articles, blocks, day)
+    return md.withColumnRenamed("document", "markdown").join(txt.withColumnRenamed("document", "text"), "page_id")
+
+
 # --- versions and runs
 
 

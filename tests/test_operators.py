@@ -167,3 +167,27 @@ def test_streams(spark, tmp_path):
         jobs.incremental_extract(stream, str(tmp_path / "versions"), str(tmp_path / f"ck{k}")).awaitTermination(90)
     got = spark.read.parquet(str(tmp_path / "versions"))
     assert 0 < got.count() == got.select("site", "slug").distinct().count()
+
+
+def test_article_documents(spark):
+    html = (
+        "<title>T</title><article><h1>The Title</h1><p>See the <a href='/b#x'>next page</a> and <code>run x</code>, <a href='https://archive.ph/2024/https://c.d/e'>old</a>, <a href=''>none</a>.</p>"
+        "<table><tr><th>a|b<th>c</tr><tr><td></td></tr><tr><td>1</td></tr></table><hr><img src='pics/one.png' alt=' A  b '><p>Last words of the page.</p><pre>x\u00a0= 1\r\ny</pre></article>"
+    )
+    pages = spark.createDataFrame([(1, "https://a.b/x/y", html), (2, "https://a.b/z", "<title>Only</title>"), (3, "https://a.b/n", None)], "page_id long, url string, html string")
+    parsed = html_nodes.parsed_pages(pages)
+    raw = html_nodes.raw_blocks(parsed, inline=True).withColumn("caption", F.lit(" https://c.d "))
+    lines = {r["tag"]: r["text"] for r in raw.collect() if r["tag"] in ("table", "hr", "pre")}
+    assert lines == {"table": "| a\\|b | c |\n| :--- | :--- |\n| 1 |  |", "hr": "------", "pre": "x = 1\ny"}
+    assert [tuple(r) for r in html_nodes.collect_images(raw).collect()] == [(1, "https://a.b/x/pics/one.png", "A b", "https://c.d", 1, 4)]
+    columns, day = html_nodes.article_columns(parsed), F.lit("2024-01-02 03:04:05")
+    bar = "=" * 80
+    head = lambda title, page: f"{bar}\nTITLE: {title}\nSOURCE: https://a.b/{page}\nDATE: 1/2/2024, 3:04:05 AM\n{bar}\n\n"
+    body = "See the [next page](https://a.b/b) and `run x`, [old](https://c.d/e), none.\n\n" + lines["table"] + "\n\n------\n\n![A b](https://a.b/x/pics/one.png){}\n\nLast words of the page.\n\n```\nx = 1\ny\n```"
+    md = {r[0]: r[1] for r in B.article_markdown(columns, raw, day).collect()}
+    assert md[1] == head("The Title", "x/y") + "# The Title\n\nSource: https://a.b/x/y\n\n" + body.format("\n\n_Gambar 1: [Sumber gambar](https://c.d)_") + "\n"
+    assert md[2] == head("Only", "z") + "# Only\n\nSource: https://a.b/z\n"
+    told = columns.withColumn("description", F.lit("D")).withColumn("article_body_text", F.lit("p  q\n\nr"))
+    txt = {r[0]: r[1] for r in B.article_text(told, raw, day).collect()}
+    assert txt[1] == head("The Title", "x/y") + "_D_\n\n* * *\n\n" + body.format("\n_Gambar 1: https://c.d_") + "\n"
+    assert txt[2] == head("Only", "z") + "_D_\n\n* * *\n\np  q\n\nr\n" and set(txt) == {1, 2, 3}
