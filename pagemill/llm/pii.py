@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -197,11 +198,12 @@ def spans_of(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], list
     """(base spans, all spans): the field's spans are added where no base span is touched."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    extra = []
+    extra, first = [], 0
     for run in runs(text):
-        while run and taken and taken[0][1] <= run[0][0]:
-            taken.pop(0)
-        near = [x for x in taken[: len(run) * 4 + 4] if x[0] < run[-1][1]]
+        # spans of different kinds may overlap, so all that begin before the run ends are looked at from the first that reaches it
+        while first < len(taken) and taken[first][1] <= run[0][0]:
+            first += 1
+        near = list(takewhile(lambda x: x[0] < run[-1][1], islice(taken, first, None)))
         free = [c for c in run if not any(a < c[1] and c[0] < b for a, b in near)]
         if free:
             extra += [x for x in decode(text, run, weights) if not any(a < x[2] and x[1] < b for a, b in near)]
