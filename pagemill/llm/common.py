@@ -36,15 +36,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Python workers get batches of at most `rows` rows while this holds: whole texts are large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
+    """Python workers get batches of at most `rows` rows and about `size` bytes while this holds: whole texts are large rows."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {key: spark.conf.get(key, None) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def fitting_sample(df: DataFrame, rows: int, size: int, seed: int) -> DataFrame:

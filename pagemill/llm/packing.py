@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import small_batches, text_of, written
 
-LENGTH, END, GROUP, CACHE, BYTES = 4096, 1, 50_000, 900_000, 4_000_000
+LENGTH, END, GROUP, CACHE, BYTES = 4096, 1, 50_000, 300_000, 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
