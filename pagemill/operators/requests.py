@@ -1,15 +1,18 @@
 """Rules over request logs. The greedy ones go through each key's requests in time order.
 
-A key's requests are read by one task, as the rule needs what was accepted before; the state is
-at most max_requests times. Keys are spread over tasks.
+A key's requests are read by one task, as the rule needs what was accepted before; they stream
+through in batches and the state is at most max_requests times, so a hot key costs time, not
+memory. Keys are spread over tasks by one shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,30 +24,40 @@ def accept(now: float, taken: list[float], window: float, most: int) -> tuple[bo
     return False, max(1, math.ceil(live[0] + window - now)), live
 
 
+def _in_order(requests: DataFrame, key: str) -> DataFrame:
+    """key, event_id, us, first: every task has whole keys, one after the other, in time order; `first` begins a key."""
+    rows = requests.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.withColumn("first", F.row_number().over(W.partitionBy(key).orderBy("us", "event_id")) == 1)
+
+
 def rate_limit(requests: DataFrame, window_s: float = 60, max_requests: int = 8) -> DataFrame:
     """user_id, event_id, allowed, retry_after_s: a request is allowed if fewer than max were accepted in the window."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, taken, out = pdf.sort_values(["us", "event_id"]), [], []
-        for us in pdf["us"]:
-            ok, wait, taken = accept(us / 1e6, taken, window_s, max_requests)
-            out.append((ok, wait))
-        return pdf[["user_id", "event_id"]].assign(allowed=[x[0] for x in out], retry_after_s=[x[1] for x in out])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: list[float] = []
+        for pdf in batches:
+            out = []
+            for us, first in zip(pdf["us"], pdf["first"], strict=True):
+                ok, wait, taken = accept(us / 1e6, [] if first else taken, window_s, max_requests)
+                out.append((ok, wait))
+            yield pdf[["user_id", "event_id"]].assign(allowed=[x[0] for x in out], retry_after_s=[x[1] for x in out])
 
-    return requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, allowed boolean, retry_after_s long")
+    return _in_order(requests, "user_id").mapInPandas(run, "user_id long, event_id long, allowed boolean, retry_after_s long")
 
 
 def ttl_cache_hits(requests: DataFrame, ttl_s: float = 21600) -> DataFrame:
     """key, event_id, hit: a miss fills the key for ttl seconds; a hit doesn't extend it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, until, out = pdf.sort_values(["us", "event_id"]), None, []
-        for us in pdf["us"]:
-            out.append(hit := until is not None and us < until)
-            until = until if hit else us + int(ttl_s * 1e6)
-        return pdf[["key", "event_id"]].assign(hit=out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        until = 0
+        for pdf in batches:
+            out = []
+            for us, first in zip(pdf["us"], pdf["first"], strict=True):
+                out.append(hit := not first and us < until)
+                until = until if hit else us + int(ttl_s * 1e6)
+            yield pdf[["key", "event_id"]].assign(hit=out)
 
-    return requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).groupBy("key").applyInPandas(run, "key string, event_id long, hit boolean")
+    return _in_order(requests, "key").mapInPandas(run, "key string, event_id long, hit boolean")
 
 
 def live_entries(entries: DataFrame, now, ttl_s: int, cap: int) -> DataFrame:

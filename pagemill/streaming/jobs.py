@@ -33,6 +33,30 @@ def stream_rate_limit(requests: DataFrame, window_s: float = 60, max_requests: i
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean, retry_after_s long", "taken array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_ttl_cache(requests: DataFrame, ttl_s: float = 21600, late: str = "10 minutes") -> DataFrame:
+    """The cache rule on a stream; a key's state is when its entry ends, and a timer drops it after that.
+
+    Rows later than the watermark are dropped; it begins at the epoch.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        pdf, out = pd.concat(list(batches)).sort_values(["us", "event_id"]), []
+        for us, event_id in zip(pdf["us"], pdf["event_id"], strict=True):
+            hit = until is not None and us < until
+            until = until if hit else us + int(ttl_s * 1e6)
+            out.append((key[0], event_id, hit))
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["key", "event_id", "hit"])
+
+    rows = requests.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def article_rows(pages: DataFrame, collected_at) -> DataFrame:
     df = articles(pages)
     df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), collected_at.alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at")

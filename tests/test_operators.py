@@ -161,6 +161,11 @@ def test_streams(spark, tmp_path):
     q = jobs.stream_rate_limit(stream, 60, 3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()} == batch
+    keyed = lambda df: df.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))  # noqa: E731  (a watermark begins at 1970-01-01 00:00)
+    q = jobs.stream_ttl_cache(keyed(stream), 30).writeStream.format("memory").queryName("cached").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    hits = {r["event_id"]: r["hit"] for r in requests.ttl_cache_hits(keyed(src), 30).collect()}
+    assert {r["event_id"]: r["hit"] for r in spark.table("cached").collect()} == hits and len(set(hits.values())) == 2
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet").parquet("/root/testdata/sf0.001")
     for k in range(2):
