@@ -1,11 +1,14 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long strings with a digit or an assigned name before them. Features: length, share
+Candidates are values of 6 or more characters, of any kind, that a secret name is assigned, and
+anywhere strings of 16 or more characters with a digit. A name may have digits,
+dots, hyphens and a closing quote, at any length. A quoted value with blanks is taken to the first
+blank's end only where 6 characters fit, and an inner quote ends it. Features: length, share
 of character-class transitions, share of distinct characters, dictionary coverage, hexadecimal
 form, path form, and the neighbouring name, assignment and quote. Labelled findings are the
-candidates that a trusted rule settles (a secret name assigned a quoted random string, a known
-token prefix; or an address, a path, a number, words); the forest is trained on at most
-`LABELLED` of them, chosen by hash, and scores every candidate.
+candidates that a trusted rule settles (a secret name assigned a random string, quoted or of 8 or
+more characters, a known token format; or an address, a path, a number, words, a placeholder); the forest is trained on at
+most `LABELLED` of them, chosen by hash, and scores every candidate.
 
 Everything runs in the JVM: candidates are found and described by column expressions, and the
 forest is MLlib's. Without labelled findings of both kinds, the trusted rule decides alone.
@@ -25,11 +28,22 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import fitting_sample, text_of, written
 
 LABELLED, TREES, DEPTH, THRESHOLD = 4000, 20, 6, 0.5
-CHARS = r"A-Za-z0-9_+/.=-"
-FOUND = rf"""(?<![{CHARS}@])(?:([A-Za-z_]{{2,24}})\s{{0,3}}[=:]\s{{0,3}}(["']?))?(?=[{CHARS}]*[0-9])([{CHARS}]{{16,}})(["']?)(@?)"""
-#: Names that announce a secret, and prefixes of published token formats.
-NAMES = "(?i)^(.*_)?(token|secret|passw(or)?d|pwd|api_?key|access_?key|private_?key|auth|credential)s?(_.*)?$"
-PREFIXES = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,})$"
+CHARS, NAME, QUOTE = r"A-Za-z0-9_+/.=-", r"A-Za-z0-9_.-", "[\"'`]"
+_EDGE, _EDGE_AFTER = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))", r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+#: Words of names that announce a secret, and published token formats.
+_WORD = rf"{_EDGE}(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)(?i:s?){_EDGE_AFTER}"
+TOKENS = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,})(?![A-Za-z0-9_-])"
+NAMES = rf"^[{NAME}]*?{_WORD}"
+_ASSIGN = rf"\\{{0,2}}{QUOTE}?\s{{0,3}}[=:]{{1,3}}>?\s{{0,3}}\\{{0,2}}"
+#: A secret name with any value of 6 or more characters: quoted (3 to 5), or bare up to a blank, a quote, closing marks or the next assignment (6).
+ASSIGNED = (
+    rf"(?<![{NAME}])(?=[{NAME}]++{_ASSIGN})(?=[{NAME}]*?{_WORD})([{NAME}]++){_ASSIGN}(?:({QUOTE})"
+    r"""(?:(?<=")([^\s"]{6,}?)\\{0,2}"|(?<=')([^\s']{6,}?)\\{0,2}'|(?<=`)([^\s`]{6,}?)\\{0,2}`)|"""
+    rf"""([^\s"'`]{{6,}}?)(?=[.,;:)\]}}>]{{0,4}}(?:[\s"'`\\]|\z)|[&;,][{NAME}]+[=:]))"""
+)
+#: 16 or more characters with a digit among them, whatever name is before them.
+FOUND = rf"""(?<![{CHARS}@])(?:([A-Za-z_][{NAME}]*+){_ASSIGN}({QUOTE}?))?((?=[{CHARS}]*[0-9])[{CHARS}]{{16,}})({QUOTE}?)(@?)"""
+_MAIL = "^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$"
 #: Frequent words and stems, for dictionary coverage.
 WORDS = "(?i)example|mail|http|www|com|the|and|tion|ing|ment|que|able|ver|der|ent|con|test|data|user|name|file|image|version|license"
 FEATURES = ["length", "transitions", "distinct", "coverage", "digits", "hex", "path", "named", "assigned", "quoted", "mail"]
@@ -37,9 +51,14 @@ FEATURES = ["length", "transitions", "distinct", "coverage", "digits", "hex", "p
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, candidate and its features: one row per candidate."""
-    hits = docs.select("doc_id", F.explode(F.regexp_extract_all(text_of(), F.lit(FOUND), F.lit(0))).alias("hit"))
-    part = lambda i: F.regexp_extract("hit", FOUND, i)
-    df = hits.select("doc_id", part(1).alias("name"), part(2).alias("q1"), part(3).alias("candidate"), part(4).alias("q2"), part(5).alias("at"))
+    t, all_of = F.col("t"), lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    texts = docs.select("doc_id", text_of().alias("t"))
+    hits = texts.select("doc_id", F.explode(all_of(t, ASSIGNED)).alias("hit"))
+    part = lambda i: F.regexp_extract("hit", ASSIGNED, i)
+    assigned = hits.select("doc_id", part(1).alias("name"), part(2).alias("q1"), F.concat(*map(part, range(3, 7))).alias("candidate"), part(2).alias("q2"), F.lit("").alias("at"))
+    hits = texts.select("doc_id", F.explode(all_of(F.regexp_replace(t, ASSIGNED, "\n"), FOUND)).alias("hit"))
+    seen = lambda i: F.regexp_extract("hit", FOUND, i)
+    df = assigned.union(hits.select("doc_id", seen(1).alias("name"), seen(2).alias("q1"), seen(3).alias("candidate"), seen(4).alias("q2"), seen(5).alias("at")))
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     left = lambda pattern: F.length(F.regexp_replace(c, pattern, "")).cast("double")
     return df.select(
@@ -48,16 +67,18 @@ def candidates(docs: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"), (1 - left(WORDS) / n).alias("coverage"), (1 - left("[0-9]") / n).alias("digits"),
         c.rlike("^[0-9a-fA-F]+$").cast("double").alias("hex"), c.rlike(r"/.*/|\.[a-z]{2,5}$|^\.").cast("double").alias("path"),
         F.col("name").rlike(NAMES).cast("double").alias("named"), (F.col("name") != "").cast("double").alias("assigned"),
-        ((F.col("q1") != "") & (F.col("q1") == F.col("q2"))).cast("double").alias("quoted"), (F.col("at") != "").cast("double").alias("mail"),
+        ((F.col("q1") != "") & (F.col("q1") == F.col("q2"))).cast("double").alias("quoted"), ((F.col("at") != "") | c.rlike(_MAIL)).cast("double").alias("mail"),
     )
 
 
 def trusted_label():
     """1.0 secret, 0.0 not, null where only the forest can tell."""
     c = F.col("candidate")
-    random = (F.col("distinct") > 0.15) & (F.col("transitions") > 0.1) & (F.col("coverage") < 0.3)
-    return F.when(c.rlike(PREFIXES) | ((F.col("named") == 1) & (F.col("quoted") == 1) & random), 1.0).when(
-        (F.col("mail") == 1) | (F.col("path") == 1) | c.rlike(r"^[0-9.+=-]+$") | (F.col("coverage") > 0.5) | ((F.col("assigned") == 0) & (F.col("transitions") < 0.1)), 0.0
+    # words have about 40 % vowels, random letters half of that
+    odd_letters = c.rlike("^[A-Za-z]{16,}$") & (F.regexp_count(c, F.lit("[AEIOUYaeiouy]")) < 0.3 * F.col("length"))
+    random = (F.col("distinct") > 0.15) & ((F.col("transitions") > 0.1) | odd_letters) & (F.col("coverage") < 0.3)
+    return F.when(c.rlike(TOKENS) | ((F.col("named") == 1) & ((F.col("quoted") == 1) | ((F.col("length") >= 8) & (F.col("mail") == 0))) & random), 1.0).when(
+        (F.col("mail") == 1) | (F.col("path") == 1) | c.rlike(r"^[0-9.+=-]+$") | c.rlike("^[$<{%*]") | (F.col("coverage") > 0.5) | ((F.col("quoted") == 0) & c.rlike("^[A-Za-z]?[a-z]+$")) | ((F.col("assigned") == 0) & (F.col("transitions") < 0.1)), 0.0
     )
 
 

@@ -233,3 +233,22 @@ def test_pipeline_against_its_parts(spark, duck):
     assert set(ids(seen[4])) <= set(ids(seen[3]))
     assert seen[5].filter("piece = 0").count() == seen[4].count()
     assert corpus_pipeline.run(spark, DATA).count() == seen[5].count()
+
+
+SECRETS = {
+    'secret_key = "abcdefGHIJKLMNOPqrstuvWX"': "abcdefGHIJKLMNOPqrstuvWX", 'password = "S3cr3t!pass9word#2024"': "S3cr3t!pass9word#2024", "db_password: hunter2hunter": "hunter2hunter",
+    "url?dbPassword=ab,c!9d8&api-key=qwe-rty-1 ": "ab,c!9d8", "auth: 'it\"s4it\"s', x": 'it"s4it"s', "(password=hunter3hunter).": "hunter3hunter",
+}
+
+
+def _found(spark, texts):
+    """Candidates' digests, by text, beside labelled ones of both kinds."""
+    rows = [(i, f'some words token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and mail user.{i}.person@mail{i}.example.com') for i in range(40)]
+    got = secret_scan.scan(spark.createDataFrame(rows + list(enumerate(texts, 100)), "doc_id long, text string")).filter("doc_id >= 100").collect()
+    return [{r["candidate_sha256"]: r for r in got if r["doc_id"] == i} for i, _ in enumerate(texts, 100)]
+
+
+def test_secrets_of_any_form_are_candidates(spark):
+    for found, value in zip(_found(spark, list(SECRETS)), SECRETS.values(), strict=True):
+        assert found[hashlib.sha256(value.encode()).hexdigest()]["secret"], value
+    assert [len(f) for f in _found(spark, ["the tokenizer: something", "author = somebody", "a token for the password"])] == [0, 0, 0]
