@@ -1,14 +1,13 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are values of 6 or more characters, of any kind, that a secret name is assigned, and
-anywhere strings of 16 or more characters with a digit. A name may have digits,
-dots, hyphens and a closing quote, at any length. A quoted value with blanks is taken to the first
-blank's end only where 6 characters fit, and an inner quote ends it. Features: length, share
-of character-class transitions, share of distinct characters, dictionary coverage, hexadecimal
+anywhere published tokens and strings of 16 or more characters with a digit. A name may have digits,
+dots, hyphens and a closing quote, at any length. A quoted value with a blank is no candidate by its
+name, and an inner quote of the same kind ends a value. Features: length, share of character-class transitions, share of distinct characters, dictionary coverage, hexadecimal
 form, path form, and the neighbouring name, assignment and quote. Labelled findings are the
 candidates that a trusted rule settles (a secret name assigned a random string, quoted or of 8 or
 more characters, a known token format; or an address, a path, a number, words, a placeholder); the forest is trained on at
-most `LABELLED` of them, chosen by hash, and scores every candidate.
+most `LABELLED` of them, chosen by hash, and scores every candidate, but a trusted secret stays one.
 
 Everything runs in the JVM: candidates are found and described by column expressions, and the
 forest is MLlib's. Without labelled findings of both kinds, the trusted rule decides alone.
@@ -41,8 +40,8 @@ ASSIGNED = (
     r"""(?:(?<=")([^\s"]{6,}?)\\{0,2}"|(?<=')([^\s']{6,}?)\\{0,2}'|(?<=`)([^\s`]{6,}?)\\{0,2}`)|"""
     rf"""([^\s"'`]{{6,}}?)(?=[.,;:)\]}}>]{{0,4}}(?:[\s"'`\\]|\z)|[&;,][{NAME}]+[=:]))"""
 )
-#: 16 or more characters with a digit among them, whatever name is before them.
-FOUND = rf"""(?<![{CHARS}@])(?:([A-Za-z_][{NAME}]*+){_ASSIGN}({QUOTE}?))?((?=[{CHARS}]*[0-9])[{CHARS}]{{16,}})({QUOTE}?)(@?)"""
+#: A published token, or 16 or more characters with a digit among them, whatever name is before them.
+FOUND = rf"""(?<![{CHARS}@])(?:([A-Za-z_][{NAME}]*+){_ASSIGN}({QUOTE}?))?({TOKENS}|(?=[{CHARS}]*[0-9])[{CHARS}]{{16,}})({QUOTE}?)(@?)"""
 _MAIL = "^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$"
 #: Frequent words and stems, for dictionary coverage.
 WORDS = "(?i)example|mail|http|www|com|the|and|tion|ing|ment|que|able|ver|der|ent|con|test|data|user|name|file|image|version|license"
@@ -91,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
         weighted = sample.withColumn("weight", F.when(F.col("label") == 1, 0.5 / kinds[1.0]).otherwise(0.5 / kinds[0.0]))
         model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(vectors.transform(weighted))
-        scored = model.transform(vectors.transform(found)).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(vectors.transform(found)).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(vector_to_array("probability")[1]))
     else:
         scored = found.withColumn("score", F.coalesce("label", F.lit(0.0)))
     return scored.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "name", F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
