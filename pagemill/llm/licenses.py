@@ -2,11 +2,11 @@ r"""License scans by canonical digest lookup.
 
 A text is normalised: lower case, copyright lines dropped, equivalent spellings made one,
 punctuation and white space reduced to single blanks. Entire texts (the document, its paragraphs
-between blank lines, its lines, and its sentences that begin with a license opening) are hashed
-and hash-joined to the digests of known license texts. Only pieces that hold "license", "licence"
-or "permission" are hashed: every known text has one of them.
+between blank lines, its lines, its sentences that begin with a license opening, on one line or
+wrapped, and the spans from a published text's or header's first words to its last) are hashed and
+hash-joined to the digests of known license texts. Wrapping and comment signs don't count.
 
-The table of known texts is fixed and small (a few rows), so Spark broadcasts it by its size.
+The table of known texts is fixed and small (hundreds of rows), so Spark broadcasts it by its size.
 
 Results for odd input: null or empty text has no license; repeated rows are scanned each on its
 own; other columns are ignored.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import text_of, written
+from pagemill.llm.license_texts import DIGESTS, SPANS
 
 #: License statements as published, by SPDX identifier.
 KNOWN = [
@@ -39,29 +40,44 @@ KNOWN = [
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright holder", "copyright owner"), ("per cent", "percent"), (r"\(c\)|\x{a9}", "copyright"), ("http:", "https:")]
 WANTED = "(?i)licen[cs]e|permission"
 SENTENCE = r"(?i)((?:licen[cs]ed under|released under|this program is licen[cs]ed|permission )[^\n]*?[.:;])(?:[^0-9A-Za-z]|\z)"
+#: The same over line ends; a sentence may also run past a semicolon. Sentences may overlap.
+_OPENING = r"(?is)(?<![A-Za-z0-9])(?=((?:licen[cs]ed\s+under|released\s+under|this\s+program\s+is\s+licen[cs]ed|permission\s).{0,4000}?"
+WRAPPED = [_OPENING + r"[.:;])(?:[^0-9A-Za-z]|\z))", _OPENING + r"[.:])(?:[^0-9A-Za-z]|\z))"]
+#: Whole texts and headers, wherever they are and however they are wrapped; the longest known has 35,000 characters.
+_WORDS = lambda words: "[^A-Za-z0-9]+".join(words.split())
+SPAN = "(?is)(?<![A-Za-z0-9])(?=(" + "|".join(f"{_WORDS(a)}.{{0,100000}}?{_WORDS(b)}" for a, b in SPANS) + "))"
+#: The spellings of several words, which a line end may part.
+WRAPPED_SPELLINGS = [("copyright holder", "copyright owner"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent")]
+HOLDS = f"{WANTED}|redistribution[^A-Za-z0-9]+and[^A-Za-z0-9]+use|cc0 1|altered[^A-Za-z0-9]+from"
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|\x{a9})[^\n]*"
 
 
-def normalised(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+def normalised(text: Column, whole: bool = False) -> Column:
+    """Words of a text; without `whole`, lines that begin as copyright lines are dropped."""
+    out = F.lower(text) if whole else F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
     for pattern, word in SPELLINGS:
         out = F.regexp_replace(out, pattern, word)
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    out = F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    for words, word in WRAPPED_SPELLINGS if whole else []:
+        out = F.replace(out, F.lit(words), F.lit(word))
+    return out
 
 
 def known(spark: SparkSession) -> DataFrame:
     table = spark.createDataFrame(KNOWN, "license string, known string")
-    return table.select("license", F.sha2(normalised(F.col("known")), 256).alias("digest")).distinct()
+    return table.select("license", F.sha2(normalised(F.col("known")), 256).alias("digest")).union(spark.createDataFrame(DIGESTS, "license string, digest string")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (identifiers, sorted, comma-joined), n_licenses: one row per input row."""
     t = F.col("t")
-    pieces = F.concat(F.array(t), F.split(t, r"\n\s*\n", -1), F.split(t, "\n", -1), F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(1)))
+    found_by = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    pieces = F.concat(F.array(t), F.split(t, r"\n\s*\n", -1), F.split(t, "\n", -1), found_by(SENTENCE))
     wanted = F.array_distinct(F.filter(pieces, lambda p: p.rlike(WANTED)))
+    spans = F.array_distinct(F.concat(*map(found_by, [*WRAPPED, SPAN])))
     df = docs.select("doc_id", text_of().alias("t"))
-    digests = F.when(t.rlike(WANTED), F.transform(wanted, lambda p: F.sha2(normalised(p), 256)))
-    df = written(df.select("doc_id", F.when(t.rlike(WANTED), F.xxhash64(t)).alias("h"), digests.alias("digests")), "digests")
+    digests = F.array_distinct(F.concat(F.transform(wanted, lambda p: F.sha2(normalised(p), 256)), F.transform(spans, lambda p: F.sha2(normalised(p, whole=True), 256))))
+    df = written(df.select("doc_id", F.when(t.rlike(HOLDS), F.xxhash64(t)).alias("h"), F.when(t.rlike(HOLDS), digests).alias("digests")), "digests")
     found = df.filter("h is not null").select("doc_id", "h", F.explode("digests").alias("digest")).join(known(docs.sparkSession), "digest")
     found = found.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hh")).agg(F.array_sort(F.collect_set("license")).alias("found"))
     return df.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hh")), "left").select(

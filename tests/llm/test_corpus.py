@@ -1,8 +1,10 @@
 """Corpus operators against SQL, brute force, round trips and held-out accuracy, and on odd input."""
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -261,3 +263,34 @@ def test_known_tokens_and_names_of_any_form(spark):
     for k, (found, value) in enumerate(zip(_found(spark, texts), [aws, hub] + [other] * 4, strict=True)):
         row = found[hashlib.sha256(value.encode()).hexdigest()]
         assert row["name"] == names[k] and (row["secret"] or k == 5)
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+LGPL = "X is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+#: Whole texts as Debian installs them.
+COMMON = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_and_wrapped_licenses(spark):
+    wrap = lambda text, width, sign: "\n".join(sign + line for p in text.split("\n\n") for line in [*textwrap.wrap(p, width), ""])
+    texts = [("Apache-2.0", APACHE), ("BSD-2-Clause", BSD2), ("LGPL-2.1-or-later", LGPL)]
+    rows = [(want, f"#!/bin/sh\n# Copyright (c) 2020 X\n#\n{wrap(t, width, sign)}\nmain()") for want, t in texts for width in (40, 57, 72) for sign in ("", "# ", " * ")]
+    rows += [("Apache-2.0", "Hi.\nLicensed under the Apache\nLicense, Version 2.0. Bye."), ("MIT", "Text. Released under\n    the MIT License.\n"), ("", BSD2.replace("LOSS OF USE", "LOSS"))]
+    rows += [(name, "Intro.\n\n" + open(f"/usr/share/common-licenses/{f}").read().split("How to Apply These")[0] + "\nMore.") for f, name in COMMON.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(rows))] == [(i, want) for i, (want, _) in enumerate(rows)]
