@@ -7,6 +7,7 @@ by itself, longest pieces first, so the work spreads and a group leaves only its
 
 Arrow splits about BYTES of text at a time and numbers the distinct chunks, so Python sees each once.
 Words repeat, so each Python worker keeps the ids of up to CACHE chunks of non-white-space text.
+White space is the tokenizer's: Arrow's own also holds U+001C to U+001F, which have ids.
 The tokenizer never joins across white space, nor letters with the punctuation after them, and
 ignores case, which a test checks against whole texts; an unknown chunk is thus looked up as its
 letters and its tail first. The cache is a speed-up only: chunks beyond it are tokenised each time.
@@ -36,6 +37,8 @@ LENGTH, END, GROUP, CACHE, BYTES = 4096, 1, 50_000, 300_000, 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The tokenizer's white space, and what only Arrow takes for it.
+_BLANK, _NOT_BLANK = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]", "[\\x1c-\\x1f]"
 _TAIL = ".,;:!?*#$%&|-"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
@@ -83,7 +86,8 @@ def _ids_of(chunks: list[str], tokenizer, ends: np.ndarray, cache: dict[str, byt
 
 def token_arrays(texts: pa.Array, tokenizer, ends: np.ndarray, cache: dict[str, bytes]) -> list[np.ndarray]:
     """Ids of each text, then END. White space separates chunks whose ids don't depend on one another."""
-    split = pc.utf8_split_whitespace(texts)
+    odd = pc.any(pc.match_substring_regex(texts, _NOT_BLANK)).as_py()
+    split = pc.split_pattern_regex(texts, _BLANK) if odd else pc.utf8_split_whitespace(texts)
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.flatten().dictionary_encode()
     raw = _ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), tokenizer, ends, cache)

@@ -294,3 +294,13 @@ def test_whole_and_wrapped_licenses(spark):
     rows += [(name, "Intro.\n\n" + open(f"/usr/share/common-licenses/{f}").read().split("How to Apply These")[0] + "\nMore.") for f, name in COMMON.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
     assert [(i, got[i]) for i in range(len(rows))] == [(i, want) for i, (want, _) in enumerate(rows)]
+
+
+def test_packing_keeps_separators_with_ids():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace() or not chr(c).isprintable()]
+    texts = ["ab\x1ccd", "ab\x1dcd\x1e \x1f", "\x1fA. b", "plain text", "", *(f"ab{c}cd{c}" for c in blanks if not 0xD800 <= ord(c) < 0xE000), "".join(f"ab{c}cd " for c in blanks)]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    ends = packing.word_ends(tokenizer)
+    assert [x.tolist() for x in packing.token_arrays(pa.array(texts), tokenizer, ends, {})] == want
+    assert [x.tolist() for t in texts for x in packing.token_arrays(pa.array([t]), tokenizer, ends, {})] == want
