@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.gates import is_blocked, is_unreadable
@@ -25,6 +25,20 @@ def structured_article(parsed: DataFrame) -> DataFrame:
     return items.groupBy("page_id").agg(F.min(row).alias("a")).select("page_id", "a.title", "a.description", "a.body", "a.published_at")
 
 
+def first_article(jsonld: Column) -> Column:
+    """structured_article's choice within a row: a struct of title, description, body, published_at and images, null if there is none."""
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    listed = lambda v, path: F.coalesce(get(v, path, "array<variant>"), F.array(get(v, path, "variant")))
+    items = F.flatten(F.transform(F.filter(jsonld, lambda raw: F.try_parse_json(raw).isNotNull()), lambda raw: listed(F.try_parse_json(raw), "$")))
+    kinds = lambda v: F.coalesce(F.array_join(get(v, "$['@type']", "array<string>"), " "), get(v, "$['@type']"), F.lit(""))
+    text = lambda v, path: collapse_entity(F.coalesce(get(v, path), F.lit("")))
+    paragraphs = lambda v: F.filter(F.transform(F.split(get(v, "$.articleBody"), r"\n+"), collapse_entity), lambda p: p != "")
+    images = lambda v: F.array_distinct(F.filter(F.transform(listed(v, "$.image"), lambda i: F.coalesce(get(i, "$.url"), get(i, "$"))), lambda u: u != ""))
+    made = lambda v: F.struct(text(v, "$.headline").alias("title"), text(v, "$.description").alias("description"), F.array_join(paragraphs(v), "\n\n").alias("body"), get(v, "$.datePublished").alias("published_at"), images(v).alias("images"))
+    fits = lambda v: v.isNotNull() & kinds(v).rlike("(?i)article|newsarticle|blogposting") & (F.length(text(v, "$.articleBody")) >= 10)
+    return F.get(F.transform(F.filter(items, fits), made), 0)
+
+
 def rendered_article(docs: DataFrame) -> DataFrame:
     """url, title, body from the proxy's text form (title line, marker, paragraphs); no row where no text follows."""
     marker = "Markdown Content:"

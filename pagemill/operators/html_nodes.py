@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import urls as U
-from pagemill.functions.gates import STOP_TEXTS, is_author_label, is_noise_image_src, is_noise_text
+from pagemill.functions.gates import STOP_TEXTS, is_article_page, is_author_label, is_noise_image_src, is_noise_text
 from pagemill.functions.text import collapse
+from pagemill.operators.captures import first_article
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript", "iframe", "svg"}
@@ -243,19 +244,45 @@ def collect_images(blocks: DataFrame) -> DataFrame:
     return df.filter(image).select("page_id", *[collapse(F.col(c)).alias(c) for c in ("src", "alt", "caption")], F.col("order").cast("int").alias("order"), "block_order")
 
 
-def body_text() -> Column:
-    """article_body_text from the nodes array, for pages without images or tables in the text."""
-    title = collapse(article_title())
-    content = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & ~n["tag"].isin("img", "hr") & (n["text"] != "") & ~is_noise_text(n["text"]) & (n["text"] != F.col("__title")) & ~is_author_label(n["tag"], n["text"]))
-    return title, F.array_join(F.transform(content, lambda n: n["text"]), "\n\n")
+def content_blocks(inline: bool = False) -> Column:
+    """raw_blocks within a row, as an array; `__title` is the collapsed article title. Tables and rules are as with `inline` always."""
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    prose = lambda n: ~n["tag"].isin("img", "table", "hr")
+
+    def made(n: Column) -> Column:
+        text = F.when(n["tag"] == "table", table_markdown(n["cells"])).when(n["tag"] == "hr", "------").when(n["tag"] == "pre", F.trim(F.replace(n["text"], F.lit("\u00a0"), F.lit(" "))))
+        text = text.otherwise(inline_markdown(n["text"], n["links"], n["codes"], F.col("url")) if inline else n["text"])
+        return F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), F.when(n["tag"] != "img", text).alias("text"), n["src"].alias("given"), n["full"].alias("src"), n["alt"].alias("alt"))
+
+    def keep(n: Column) -> Column:
+        text = (n["text"] != "") & ~is_noise_text(n["text"]) & (n["text"] != F.col("__title")) & ~is_author_label(n["tag"], n["text"])
+        return F.when(n["tag"] == "img", (blank(n["given"]) != "") & ~is_noise_image_src(n["given"])).when(n["tag"] == "hr", True).when(n["tag"] == "table", n["text"] != "").otherwise(text)
+
+    inside = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"])
+    kept = F.filter(F.transform(inside, made), keep)
+    # the array stays in place; what is cut is all from the first stop text on
+    stopped = F.aggregate(kept, F.struct(F.lit(0).alias("n"), F.lit(False).alias("over")), lambda s, n: F.when(s["over"] | (prose(n) & F.lower(n["text"]).isin(STOP_TEXTS)), F.struct(s["n"].alias("n"), F.lit(True).alias("over"))).otherwise(F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("over"))), lambda s: s["n"])
+    return F.slice(kept, F.lit(1), stopped)
 
 
 def articles(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, description, published_at, article_title, article_body_text, headings, hrefs."""
+    """page_id, url, title, description, published_at, article_title, article_body_text, headings, hrefs, extract_error, structured."""
     return article_columns(parsed_pages(pages))
 
 
-def article_columns(parsed: DataFrame) -> DataFrame:
-    title, body = body_text()
-    df = parsed.withColumn("__title", title)
-    return df.select("page_id", "url", "title", "description", F.col("published").alias("published_at"), F.col("__title").alias("article_title"), body.alias("article_body_text"), headings().alias("headings"), "hrefs", "extract_error")
+def article_columns(parsed: DataFrame, blocks: bool = False) -> DataFrame:
+    """A page's first JSON-LD article, or else its text blocks up to a stop text. With `blocks`, also its ordered blocks and images as JSON."""
+    df = parsed.withColumn("__title", collapse(article_title())).withColumn("__s", first_article(F.col("jsonld")))
+    made, told = F.col("__s").isNotNull(), lambda k: F.nullif(F.col(f"__s.{k}"), F.lit(""))
+    body = F.array_join(F.transform(F.filter(content_blocks(), lambda n: n["tag"] != "img"), lambda n: n["text"]), "\n\n")
+    shown = F.when(made, F.to_json(F.struct("__s.body", "__s.images"))).otherwise(F.to_json(F.transform(content_blocks(inline=True), lambda n: F.struct(n["tag"].alias("tag"), n["text"].alias("text"), F.when(n["tag"] == "img", n["src"]).alias("src"), collapse(F.coalesce(n["alt"], F.lit(""))).alias("alt")))))
+    return df.select(
+        "page_id", "url", "title", F.coalesce(told("description"), "description").alias("description"), F.coalesce("__s.published_at", "published").alias("published_at"), F.coalesce(told("title"), "__title").alias("article_title"),
+        F.when(made, F.col("__s.body")).otherwise(body).alias("article_body_text"), headings().alias("headings"), "hrefs", "extract_error", made.alias("structured"), *([shown.alias("content_blocks")] if blocks else []),
+    )
+
+
+def is_article() -> Column:
+    """A structured article has more than 160 characters; other pages have the usual rule."""
+    body = F.col("article_body_text")
+    return F.when(F.col("structured"), F.length(body) > 160).otherwise(is_article_page(body))

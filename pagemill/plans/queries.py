@@ -95,8 +95,8 @@ s AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+
 @query(f"WITH {S_PAGES} SELECT site, count(*) AS pages, count(*) FILTER (is_article) AS articles, CAST(sum(length(body)) AS BIGINT) AS body_chars FROM s GROUP BY site")
 def site_articles(spark, d):
     df = H.articles(table(spark, d, "pages"))
-    df = df.select(U.site_folder(F.col("url")).alias("site"), "article_body_text")
-    return df.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(G.is_article_page(F.col("article_body_text"))).alias("articles"), F.sum(F.length("article_body_text")).alias("body_chars"))
+    df = df.select(U.site_folder(F.col("url")).alias("site"), "article_body_text", H.is_article().alias("is_article"))
+    return df.groupBy("site").agg(F.count("*").alias("pages"), F.count_if("is_article").alias("articles"), F.sum(F.length("article_body_text")).alias("body_chars"))
 
 
 @query(rf"""WITH {S_PAGES} SELECT page_id, title, article_title, {s_slug('article_title')} AS slug, site, md5(body) AS body_md5, is_article, {s_any("lower(title || chr(10) || body)", G.BLOCKED)} AS blocked,
@@ -104,7 +104,7 @@ def site_articles(spark, d):
 def page_articles(spark, d):
     df = H.articles(table(spark, d, "pages"))
     t, a, b = F.col("title"), F.col("article_title"), F.col("article_body_text")
-    return df.select("page_id", "title", "article_title", X.slugify(a).alias("slug"), U.site_folder(F.col("url")).alias("site"), F.md5(b).alias("body_md5"), G.is_article_page(b).alias("is_article"), G.is_blocked(t, b).alias("blocked"), G.is_unreadable(t, a, b).alias("unreadable"))
+    return df.select("page_id", "title", "article_title", X.slugify(a).alias("slug"), U.site_folder(F.col("url")).alias("site"), F.md5(b).alias("body_md5"), H.is_article().alias("is_article"), G.is_blocked(t, b).alias("blocked"), G.is_unreadable(t, a, b).alias("unreadable"))
 
 
 @query(rf"""WITH {S_PAGES} SELECT page_id, count(*) AS blocks, md5(string_agg(x, chr(10) ORDER BY i)) AS blocks_md5 FROM (SELECT page_id, article_title, unnest(p) AS x, unnest(range(len(p))) AS i FROM s)

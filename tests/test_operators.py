@@ -196,3 +196,15 @@ def test_article_documents(spark):
     txt = {r[0]: r[1] for r in B.article_text(told, raw, day).collect()}
     assert txt[1] == head("The Title", "x/y") + "_D_\n\n* * *\n\n" + body.format("\n_Gambar 1: https://c.d_") + "\n"
     assert txt[2] == head("Only", "z") + "_D_\n\n* * *\n\np  q\n\nr\n" and set(txt) == {1, 2, 3}
+
+
+def test_article_body_stops_and_structured_articles(spark):
+    told = '[null, {"@type": "WebPage"}, {"@type": ["NewsArticle"], "headline": "Told", "articleBody": "%s\\n\\nTwo  two.", "datePublished": "2024-05-06", "image": [{"url": "a.png"}, "b.png"]}]' % ("word " * 36)
+    page = "<title>T</title><article><h1>Head</h1><p>First words.</p><table><tr><td>a<td>b</tr></table><p>Discussion about this post</p><p>A comment.</p></article>"
+    rows = [(1, "https://a.b/x", page), (1, "https://a.b/y", f"<script type='application/ld+json'>{told}</script><script type='application/ld+json'>{{broken</script>{page}"), (2, "https://a.b/z", None)]
+    df = html_nodes.articles(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn("is_article", html_nodes.is_article())
+    got = {r["url"][-1]: r for r in df.collect()}
+    assert got["x"]["article_body_text"] == "First words.\n\n| a | b |\n| :--- | :--- |" and got["x"]["article_title"] == "Head" and not got["x"]["is_article"]
+    y = got["y"]
+    assert (y["article_title"], y["published_at"], y["article_body_text"], y["is_article"], y["structured"]) == ("Told", "2024-05-06", ("word " * 36).strip() + "\n\nTwo two.", True, True)
+    assert got["z"]["article_body_text"] == "" and not got["z"]["structured"]
