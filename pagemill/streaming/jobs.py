@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions.text import slugify
 from pagemill.functions.urls import site_folder
-from pagemill.operators.html_nodes import articles
+from pagemill.operators.html_nodes import article_columns, parsed_pages
 from pagemill.operators.requests import accept
 from pagemill.operators.versions import latest_version, new_versions, page_signature
 
@@ -58,9 +58,10 @@ def stream_ttl_cache(requests: DataFrame, ttl_s: float = 21600, late: str = "10
 
 
 def article_rows(pages: DataFrame, collected_at) -> DataFrame:
-    df = articles(pages)
-    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), collected_at.alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at")
-    return df.withColumn("signature", page_signature("url", "article_title", "description", "content", "published_at"))
+    """Rows of captures; the signature also covers the ordered blocks with their links, tables and images."""
+    df = article_columns(parsed_pages(pages), blocks=True)
+    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), collected_at.alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at", "content_blocks")
+    return df.withColumn("signature", page_signature("url", "article_title", "description", "content", "content_blocks", "published_at")).drop("content_blocks")
 
 
 def incremental_extract(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

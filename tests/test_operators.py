@@ -208,3 +208,12 @@ def test_article_body_stops_and_structured_articles(spark):
     y = got["y"]
     assert (y["article_title"], y["published_at"], y["article_body_text"], y["is_article"], y["structured"]) == ("Told", "2024-05-06", ("word " * 36).strip() + "\n\nTwo two.", True, True)
     assert got["z"]["article_body_text"] == "" and not got["z"]["structured"]
+
+
+def test_signature_covers_blocks_and_images(spark):
+    told = "<script type='application/ld+json'>{\"@type\": \"Article\", \"articleBody\": \"Ten or more words here.\", \"image\": \"%s.png\"}</script>"
+    page = "<article><h1>Head</h1><h2>Part</h2><p>See <a href='/b'>this</a> and more.</p><img src='one.png' alt='A'></article>"
+    changed = [page, page.replace("one", "two"), page.replace("'A'", "'B'"), page.replace("h2", "h3"), page.replace("/b", "/c"), told % "a" + page, told % "b" + page]
+    rows = [(1, "https://a.b/x", html) for html in [*changed, page]]
+    got = [r["signature"] for r in jobs.article_rows(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), F.current_timestamp()).collect()]
+    assert len(set(got)) == len(changed) and got[0] == got[-1]
