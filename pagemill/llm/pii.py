@@ -8,16 +8,17 @@ where they touch no base span. It is trained by maximum likelihood on the base s
 SAMPLE documents, chosen by hash.
 
 Results for odd input: null text is empty and has no spans; repeated rows are each returned; other
-columns are ignored. Runs of chunks are cut into windows of RUN chunks for decoding, so a text of
-numbers only costs time in proportion; base spans are not affected.
+columns are ignored. A run is decoded whole, in time in proportion to its length. For training only, runs
+are cut every RUN chunks, and 2 * SAMPLE are taken: the first of each text, then the second, and so on.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice, takewhile
+from itertools import islice, zip_longest
 
 import numpy as np
 import pandas as pd
@@ -70,8 +71,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of chunks that hold a trigger, ends trimmed of punctuation."""
+def runs(text: str, most: int | None = None) -> list[list[tuple[int, int]]]:
+    """Runs of chunks that hold a trigger, ends trimmed of punctuation; parts of at most `most` chunks if given."""
     out: list[list[tuple[int, int]]] = []
     last = -2
     for k, m in enumerate(_CHUNK.finditer(text)):
@@ -79,7 +80,7 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
             a, b = m.span()
             a, b = a + len(m[0]) - len(m[0].lstrip(_TRIM)), b - len(m[0]) + len(m[0].rstrip(_TRIM))
             if a < b:
-                if last != k - 1 or len(out[-1]) >= RUN:
+                if last != k - 1 or len(out[-1]) == most:
                     out.append([])
                 out[-1].append((a, b))
                 last = k
@@ -117,22 +118,23 @@ def _score(segments, weights):
 
 
 def decode(text: str, run: list[tuple[int, int]], weights: dict) -> list[tuple[str, int, int]]:
-    n, scores = len(run), _score(_segments(text, run), weights)
-    best, back = np.full((n + 1, len(KINDS) + 1), -np.inf), {}
+    n, k = len(run), len(KINDS) + 1
+    best, back = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k, 2), np.int32)
     best[0, 0] = 0.0
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST), j):
+            score = np.append(0.0 if j == i + 1 else -np.inf, weights["span"] @ np.array(features(text[run[i][0] : run[j - 1][1]])))
             step = best[i][:, None] + weights["next"]
             prev = step.argmax(axis=0)
-            value = step.max(axis=0) + scores[i, j]
+            value = step.max(axis=0) + score
             for y in np.flatnonzero(value > best[j]):
                 best[j, y], back[j, y] = value[y], (i, prev[y])
     out, j, y = [], n, int(best[n].argmax())
     while j:
-        i, before = back[j, y]
+        i, before = map(int, back[j, y])
         if y:
             out.append((KINDS[y - 1], run[i][0], run[j - 1][1]))
-        j, y = i, int(before)
+        j, y = i, before
     return out[::-1]
 
 
@@ -181,7 +183,9 @@ def train(texts: list[str]) -> dict:
     """Weights by gradient ascent on the mean log-likelihood of the runs."""
     weights = {"span": np.zeros((len(KINDS), WIDTH)), "next": np.zeros((len(KINDS) + 1, len(KINDS) + 1))}
     weights["span"][:, 0] = -1.0
-    data = [(t, r, g) for t in texts for spans in [base_spans(t)] for r in runs(t) if (g := _gold(r, spans)) and all(x[0] < x[1] for x in g)][: 2 * SAMPLE]
+    fit = [[(t, r, g) for r in runs(t, RUN) if (g := _gold(r, spans)) and all(x[0] < x[1] for x in g)] for t in texts for spans in [base_spans(t)]]
+    # the first run of each text, then the second of each, and so on
+    data = list(islice((x for row in zip_longest(*fit) for x in row if x), 2 * SAMPLE))
     scale = {k: np.full(v.shape, 1e-8) for k, v in weights.items()}
     for _ in range(STEPS if data else 0):
         g = {"span": np.zeros_like(weights["span"]), "next": np.zeros_like(weights["next"])}
@@ -197,16 +201,17 @@ def train(texts: list[str]) -> dict:
 def spans_of(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans): the field's spans are added where no base span is touched."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    extra, first = [], 0
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    touched = lambda a, b: (k := bisect_left(starts, b)) > 0 and ends[k - 1] > a
+    extra = []
     for run in runs(text):
-        # spans of different kinds may overlap, so all that begin before the run ends are looked at from the first that reaches it
-        while first < len(taken) and taken[first][1] <= run[0][0]:
-            first += 1
-        near = list(takewhile(lambda x: x[0] < run[-1][1], islice(taken, first, None)))
-        free = [c for c in run if not any(a < c[1] and c[0] < b for a, b in near)]
-        if free:
-            extra += [x for x in decode(text, run, weights) if not any(a < x[2] and x[1] < b for a, b in near)]
+        if not all(touched(*c) for c in run):
+            extra += [x for x in decode(text, run, weights) if not touched(x[1], x[2])]
     both = sorted(base + extra, key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, both
 

@@ -304,3 +304,19 @@ def test_packing_keeps_separators_with_ids():
     ends = packing.word_ends(tokenizer)
     assert [x.tolist() for x in packing.token_arrays(pa.array(texts), tokenizer, ends, {})] == want
     assert [x.tolist() for t in texts for x in packing.token_arrays(pa.array([t]), tokenizer, ends, {})] == want
+
+
+def test_spans_across_long_runs(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "_gradient", lambda t, *rest: seen.append(t))
+    texts = ["12 " * 64 * 900, *(f"word {i} word" for i in range(300))]
+    pii.train(texts)
+    assert set(texts) == set(seen) and len(seen) == pii.STEPS * 2 * pii.SAMPLE
+    monkeypatch.undo()
+    weights = pii.train(["mail me at jo.doe@ex-ample.org or call +49 (30) 123-4567 now", "card 4111 1111 1111 1111 is 12 old", "in 2024 we had 33 items"] * 5)
+    for n in range(58, 66):
+        text = "7 " * n + "4111 1111 1111 1111" + " 7" * 5
+        assert [len(r) for r in pii.runs(text)] == [n + 9]
+        (run,) = pii.runs(text)
+        whole = pii.decode(text, run, weights)
+        assert whole and whole[-1] == pii.decode(text, run[n - 20 :], weights)[-1]
