@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from contextlib import contextmanager
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a single machine; a cluster gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _temporary()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +42,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: list[str], hot: int = 1 << 16) -> DataFrame:
+    """left joined with the one row that each key has in `right`, whose column `count` says how many rows of left have it.
+
+    Keys with more than `hot` rows are dealt by a hash of `spread`, about `hot` rows a task, and their row of `right` is
+    repeated for each part. `right` must be a written table: the list of hot keys has at most rows / hot rows, and Spark
+    broadcasts it if its size allows.
+    """
+    parts = F.ceil(F.col(count) / hot).cast("int")
+    many = right.filter(F.col(count) > hot).select(*keys, parts.alias("__parts"))
+    if many.isEmpty():
+        return left.join(right, keys)
+    dealt = left.join(many, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = right.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [*keys, "__part"]).drop("__part")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
     """Python workers get batches of at most `rows` rows and about `size` bytes while this holds: whole texts are large rows."""

@@ -2,14 +2,18 @@
 
 Each document gets word, symbol, line and repeat counts and fails some rules. Failures are summed
 by host (the column `source`); a Beta prior fitted to the hosts' rates by moments shrinks each
-host's rate, so a host with few documents is not judged by chance. Hosts whose shrunk rate is
-over `HOST_LIMIT` are rejected, and the verdict is joined back to their documents.
+host's rate, so a host with few documents is not judged by chance. The moments are those of the
+beta-binomial: what rates differ by chance alone is taken off their spread before the prior's
+weight is read from it. Hosts whose shrunk rate is over `HOST_LIMIT` are rejected, and the verdict
+is joined back to their documents.
 
 All counting stays inside the row (arrays of the document's own words), so no words are shuffled;
 only (host, documents, failures) is.
 
-Results for odd input: null text has no words and fails; a null host is never judged; an empty
-table gives no rows. Repeated rows are judged alike, each on its own.
+Results for odd input: null text has no words and fails; a null host is never judged and its
+host_rate is null; an empty table gives no rows. Repeated rows are judged alike, each on its own,
+and each counts for its host. A very long text is counted in its row. Columns with other names,
+also those of the result, are ignored by `judge` and kept as they are by `keep_good`.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import WORD, text_of, written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-HOST_LIMIT = 0.5
+#: A host is rejected over this shrunk rate; the prior weighs as much as so many documents, at least and at most.
+HOST_LIMIT, WEIGHTS = 0.5, (1.0, 10_000.0)
 
 
 def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -59,25 +64,38 @@ def rule_failed() -> Column:
     return base_failed() | (10 * F.col("__n_symbols") > F.col("__n_words")) | (2 * F.col("__n_dup_lines") > F.col("__n_words"))
 
 
+def prior_weight(hosts: int, n: int, k: int, second: float, squares: float) -> tuple[float, float]:
+    """(mean, weight) of the Beta prior, from the number of hosts, documents n, failures k, the sum of k*k/n and that of n*n.
+
+    `spread` is the weighted sum of squares of the rates about their mean, less what binomial draws with one common rate
+    would give; its share of the most that it could be is 1 / (weight + 1).
+    """
+    mean = k / n if n else 0.0
+    free, common = hosts - 1, mean * (1 - mean)
+    room = common * (n - squares / n - free) if n else 0.0
+    spread = second - n * mean * mean - common * free if n else 0.0
+    share = spread / room if room > 1e-9 else 0.0
+    return mean, min(max(1 / share - 1, WEIGHTS[0]), WEIGHTS[1]) if share > 1e-9 else WEIGHTS[1]
+
+
 def host_verdicts(counts: DataFrame, host: str = "source") -> DataFrame:
-    """(host) -> __host, __rate, __host_bad. The two moments that leave the cluster are one row."""
+    """(host) -> __host, __rate, __host_bad. The moments that leave the cluster are one row."""
     per = counts.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), F.sum(rule_failed().cast("long")).alias("k"))
     per = written(per, "hosts")
-    n, k, second = per.agg(F.sum("n"), F.sum("k"), F.sum(F.col("k") * F.col("k") / F.col("n"))).first()
-    mean = (k or 0) / n if n else 0.0
-    spread = max((second or 0.0) / n - mean * mean, 0.0) if n else 0.0
-    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 10000.0) if spread > 1e-12 else 10000.0
+    n, k = (F.col(c).cast("double") for c in "nk")
+    moments = per.agg(F.count("*"), F.sum("n"), F.sum("k"), F.sum(k * k / n), F.sum(n * n)).first()
+    mean, weight = prior_weight(*(x or 0 for x in moments))
     rate = (F.col("k") + mean * weight) / (F.col("n") + weight)
     return per.select("__host", rate.alias("__rate"), (rate > HOST_LIMIT).alias("__host_bad"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The counts of every document with base_failed, host_rate and kept."""
+    """The counts of every document with base_failed, kept and host_rate, the shrunk rate of its host."""
     counts = written(with_counts(docs, ["doc_id", "source"]), "counts")
     judged = counts.join(host_verdicts(counts), F.col("source") == F.col("__host"), "left")
     return judged.select(
         "doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce("__host_bad", F.lit(False))).alias("kept"),
+        base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce("__host_bad", F.lit(False))).alias("kept"), F.round("__rate", 6).alias("host_rate"),
     )
 
 
@@ -102,8 +120,9 @@ c AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 k AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_words AS failed FROM b),
 o AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS k FROM k WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT sum(k) / sum(n) AS mean, greatest(sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2, 0) AS spread FROM o),
-x AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 10000) ELSE 10000 END AS weight FROM m),
-v AS (SELECT source, (k + mean * weight) / (n + weight) > 0.5 AS bad FROM o, x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM k LEFT JOIN v USING (source)
+m AS (SELECT count(*) - 1 AS free, CAST(sum(n) AS DOUBLE) AS n, sum(k) / sum(n) AS mean, sum(k * k / n) AS second, sum(CAST(n AS DOUBLE) * n) AS squares FROM o),
+y AS (SELECT mean, (second - n * mean * mean - mean * (1 - mean) * free) / nullif(mean * (1 - mean) * (n - squares / n - free), 0) AS share FROM m),
+x AS (SELECT mean, CASE WHEN share > 1e-9 THEN least(greatest(1 / share - 1, 1), 10000) ELSE 10000 END AS weight FROM y),
+v AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM o, x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept, round(rate, 6) AS host_rate FROM k LEFT JOIN v USING (source)
 """
