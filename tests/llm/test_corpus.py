@@ -61,6 +61,8 @@ def test_odd_input(spark, odd):
     assert quality_rules.keep_good(odd).columns == odd.columns == mixing.mix(odd).columns
     plan = {r["doc_id"]: r for r in mixing.plan_mix(odd).collect()}
     assert plan[1]["taken"] == 0 and all(r["taken"] <= 2 * r["size"] for r in plan.values())
+    private = {r["doc_id"]: r for r in pii.find_private(odd).collect()}
+    assert set(private) == {r[0] for r in ODD} and private[1]["spans"] == "" == private[None]["spans"] and private[8]["n_email"] == 3
     assert packing.pack(odd).count() >= len(ODD)
     assert secret_scan.scan(odd).count() >= 0 and licenses.scan(odd).filter("n_licenses > 0").count() == 0
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
@@ -122,7 +124,7 @@ def test_private_data_against_plain_patterns(spark, documents):
 
 def test_field_learns_whole_spans():
     texts = ["mail me at jo.doe@ex-ample.org or call +49 (30) 123-4567 now", "host 10.0.0.1 is up 4 times", "card 4111 1111 1111 1111 is 12 old", "in 2024 we had 33 and 12345678901234567 items"] * 5
-    weights = pii.train(texts)
+    weights = pii.train([(t, pii.base_spans(t)) for t in texts])
     t = "from 4111 1111 1111 1111 and 9 to x.y@z.com"
     assert [k for run in pii.runs(t) for k, _, _ in pii.decode(t, run, weights)] == ["card", "email"]
 
@@ -306,17 +308,11 @@ def test_packing_keeps_separators_with_ids():
     assert [x.tolist() for t in texts for x in packing.token_arrays(pa.array([t]), tokenizer, ends, {})] == want
 
 
-def test_spans_across_long_runs(monkeypatch):
-    seen = []
-    monkeypatch.setattr(pii, "_gradient", lambda t, *rest: seen.append(t))
-    texts = ["12 " * 64 * 900, *(f"word {i} word" for i in range(300))]
-    pii.train(texts)
-    assert set(texts) == set(seen) and len(seen) == pii.STEPS * 2 * pii.SAMPLE
-    monkeypatch.undo()
-    weights = pii.train(["mail me at jo.doe@ex-ample.org or call +49 (30) 123-4567 now", "card 4111 1111 1111 1111 is 12 old", "in 2024 we had 33 items"] * 5)
+def test_spans_across_long_runs():
+    weights = pii.trained()
     for n in range(58, 66):
-        text = "7 " * n + "4111 1111 1111 1111" + " 7" * 5
-        assert [len(r) for r in pii.runs(text)] == [n + 9]
+        text = "7 " * n + "(030) 123-4567" + " 7" * 5
         (run,) = pii.runs(text)
+        assert len(run) == n + 7
         whole = pii.decode(text, run, weights)
-        assert whole and whole[-1] == pii.decode(text, run[n - 20 :], weights)[-1]
+        assert whole == [("phone", 2 * n, 2 * n + 14)] and whole[-1] == pii.decode(text, run[n - 20 :], weights)[-1]
