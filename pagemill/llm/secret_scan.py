@@ -3,30 +3,38 @@
 Candidates are values of 6 or more characters, of any kind, that a secret name is assigned, and
 anywhere published tokens and strings of 16 or more characters with a digit. A name may have digits,
 dots, hyphens and a closing quote, at any length. A quoted value with a blank is no candidate by its
-name, and an inner quote of the same kind ends a value. Features: length, share of character-class transitions, share of distinct characters, dictionary coverage, hexadecimal
-form, path form, and the neighbouring name, assignment and quote. Labelled findings are the
-candidates that a trusted rule settles (a secret name assigned a random string, quoted or of 8 or
-more characters, a known token format; or an address, a path, a number, words, a placeholder); the forest is trained on at
-most `LABELLED` of them, chosen by hash, and scores every candidate, but a trusted secret stays one.
+name, and an inner quote of the same kind ends a value. A candidate keeps up to NEAR characters of
+text on either side.
 
-Everything runs in the JVM: candidates are found and described by column expressions, and the
-forest is MLlib's. Without labelled findings of both kinds, the trusted rule decides alone.
+Features: length, character transitions, shares of distinct characters, digits, vowels and capitals,
+the share of the candidate that are dictionary words, hexadecimal, path, e-mail, placeholder and
+published-token form, the assigned name (secret or digest words), quotes, and the three words before
+and after (secret, digest, example words). The dictionary is the whole words of a public vocabulary
+file, read by the driver (some 25,000 words).
+
+The forest, MLlib's, is trained from a table of labelled findings (text, candidate, label), given or
+else made by `secret_findings` (LABELLED of them), and its score alone decides. Nothing is learned
+from the corpus, so a finding's score depends on its own text alone. Everything runs in the JVM.
 
 Results for odd input: null or empty text has no candidates; equal candidates in a document are
-each returned; repeated rows are scanned each on its own; other columns are ignored.
+each returned; repeated rows are scanned each on its own; a null doc_id is kept; a very long text is
+scanned whole, as one row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import fitting_sample, text_of, written
+from pagemill.llm.common import joined_hot, text_of, written
+from pagemill.llm.secret_findings import made_findings
 
-LABELLED, TREES, DEPTH, THRESHOLD = 4000, 20, 6, 0.5
+LABELLED, TREES, DEPTH, THRESHOLD, NEAR = 4000, 24, 8, 0.5, 60
 CHARS, NAME, QUOTE = r"A-Za-z0-9_+/.=-", r"A-Za-z0-9_.-", "[\"'`]"
 _EDGE, _EDGE_AFTER = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))", r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 #: Words of names that announce a secret, and published token formats.
@@ -43,54 +51,100 @@ ASSIGNED = (
 #: A published token, or 16 or more characters with a digit among them, whatever name is before them.
 FOUND = rf"""(?<![{CHARS}@])(?:([A-Za-z_][{NAME}]*+){_ASSIGN}({QUOTE}?))?({TOKENS}|(?=[{CHARS}]*[0-9])[{CHARS}]{{16,}})({QUOTE}?)(@?)"""
 _MAIL = "^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$"
-#: Frequent words and stems, for dictionary coverage.
-WORDS = "(?i)example|mail|http|www|com|the|and|tion|ing|ment|que|able|ver|der|ent|con|test|data|user|name|file|image|version|license"
-FEATURES = ["length", "transitions", "distinct", "coverage", "digits", "hex", "path", "named", "assigned", "quoted", "mail"]
+VOCABULARY = "word_bpe_49k.json"
+#: Forms of stand-ins, words for what only looks like a secret, and words of made-up texts.
+PLACEHOLDER = r"(?i)change_?me|your[_-]|[_-]here|example|placeholder|replace|insert|dummy|sample|redacted|default|todo|^(?:null|none|true|false|undefined|required|optional|string)$|x{4}|\*{3}|[.]{3}|^[$<{%(]|^(.)\1+$"
+DIGEST = r"(?i)commit|sha-?[0-9]|md5|checksum|crc|hash|digest|etag|integrity|revision|(?<![a-z])rev(?![a-z])|uuid|guid|build|version|serial|fingerprint|file|path|url|uri|dir|name|type|field|policy|id[0-9]?$"
+MADE_UP = "(?i)example|sample|dummy|fake|test|placeholder|template|documentation"
+_ANY_WORD = "(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[ _-]?key|key|credential|auth|login)"
+_SEGMENT = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
+FEATURES = [
+    "length", "transitions", "distinct", "coverage", "digits", "vowels", "capitals", "hex", "uuid", "path", "token", "placeholder", "mail", "named", "digest", "assigned", "quoted",
+    "before_secret", "before_digest", "before_made_up", "after_digest", "after_made_up",
+]
+
 
+def _hits(texts: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """doc_id, hit, before, after: matches in order, with the text around them up to the next match."""
+    df = texts.select("doc_id", text.alias("x")).select("doc_id", "x", F.regexp_extract_all("x", F.lit(pattern), F.lit(0)).alias("hits"))
+    df = df.filter(F.size("hits") > 0).select("doc_id", "hits", F.split("x", pattern, -1).alias("gaps"))
+    df = df.select("doc_id", "gaps", F.posexplode("hits").alias("i", "hit"))
+    return df.select("doc_id", "hit", F.right(F.get("gaps", F.col("i")), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", F.col("i") + 1), F.lit(NEAR)).alias("after"))
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, candidate and its features: one row per candidate."""
-    t, all_of = F.col("t"), lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """doc_id, candidate, name, q1, q2, at, before, after: one row per candidate."""
     texts = docs.select("doc_id", text_of().alias("t"))
-    hits = texts.select("doc_id", F.explode(all_of(t, ASSIGNED)).alias("hit"))
     part = lambda i: F.regexp_extract("hit", ASSIGNED, i)
-    assigned = hits.select("doc_id", part(1).alias("name"), part(2).alias("q1"), F.concat(*map(part, range(3, 7))).alias("candidate"), part(2).alias("q2"), F.lit("").alias("at"))
-    hits = texts.select("doc_id", F.explode(all_of(F.regexp_replace(t, ASSIGNED, "\n"), FOUND)).alias("hit"))
+    around = ["before", "after"]
+    assigned = _hits(texts, F.col("t"), ASSIGNED).select("doc_id", part(1).alias("name"), part(2).alias("q1"), F.concat(*map(part, range(3, 7))).alias("candidate"), part(2).alias("q2"), F.lit("").alias("at"), *around)
     seen = lambda i: F.regexp_extract("hit", FOUND, i)
-    df = assigned.union(hits.select("doc_id", seen(1).alias("name"), seen(2).alias("q1"), seen(3).alias("candidate"), seen(4).alias("q2"), seen(5).alias("at")))
+    rest = _hits(texts, F.regexp_replace("t", ASSIGNED, "\n"), FOUND)
+    return assigned.union(rest.select("doc_id", seen(1).alias("name"), seen(2).alias("q1"), seen(3).alias("candidate"), seen(4).alias("q2"), seen(5).alias("at"), *around))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Adds all features but the dictionary's to rows of found_in."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
-    left = lambda pattern: F.length(F.regexp_replace(c, pattern, "")).cast("double")
-    return df.select(
-        "doc_id", "candidate", "name", n.alias("length"),
-        (F.regexp_count(c, F.lit(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]")) / n).alias("transitions"),
-        (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"), (1 - left(WORDS) / n).alias("coverage"), (1 - left("[0-9]") / n).alias("digits"),
-        c.rlike("^[0-9a-fA-F]+$").cast("double").alias("hex"), c.rlike(r"/.*/|\.[a-z]{2,5}$|^\.").cast("double").alias("path"),
-        F.col("name").rlike(NAMES).cast("double").alias("named"), (F.col("name") != "").cast("double").alias("assigned"),
-        ((F.col("q1") != "") & (F.col("q1") == F.col("q2"))).cast("double").alias("quoted"), ((F.col("at") != "") | c.rlike(_MAIL)).cast("double").alias("mail"),
-    )
-
-
-def trusted_label():
-    """1.0 secret, 0.0 not, null where only the forest can tell."""
-    c = F.col("candidate")
-    # words have about 40 % vowels, random letters half of that
-    odd_letters = c.rlike("^[A-Za-z]{16,}$") & (F.regexp_count(c, F.lit("[AEIOUYaeiouy]")) < 0.3 * F.col("length"))
-    random = (F.col("distinct") > 0.15) & ((F.col("transitions") > 0.1) | odd_letters) & (F.col("coverage") < 0.3)
-    return F.when(c.rlike(TOKENS) | ((F.col("named") == 1) & ((F.col("quoted") == 1) | ((F.col("length") >= 8) & (F.col("mail") == 0))) & random), 1.0).when(
-        (F.col("mail") == 1) | (F.col("path") == 1) | c.rlike(r"^[0-9.+=-]+$") | c.rlike("^[$<{%*]") | (F.col("coverage") > 0.5) | ((F.col("quoted") == 0) & c.rlike("^[A-Za-z]?[a-z]+$")) | ((F.col("assigned") == 0) & (F.col("transitions") < 0.1)), 0.0
-    )
-
-
-def scan(docs: DataFrame) -> DataFrame:
+    share = lambda chars: F.regexp_count(c, F.lit(f"[{chars}]")) / n
+    before = F.regexp_extract("before", r"((?:\S+\s+){0,2}\S*)\s*$", 1)
+    after = F.regexp_extract("after", r"^\S*\s*((?:\S+\s*){0,3})", 1)
+    told = lambda text, pattern: text.rlike(pattern).cast("double")
+    return found.withColumns({
+        "length": n, "transitions": F.regexp_count(c, F.lit(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]")) / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "digits": share("0-9"), "vowels": share("aeiouyAEIOUY"), "capitals": share("A-Z"), "hex": told(c, "^[0-9a-fA-F]+$"), "uuid": told(c, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"),
+        "path": told(c, r"/.*/|^https?:|\.[a-z]{2,5}$|^\.{1,2}/|^/"), "token": told(c, f"^{TOKENS}"), "placeholder": told(c, PLACEHOLDER),
+        "mail": ((F.col("at") != "") | c.rlike(_MAIL)).cast("double"), "named": told(F.col("name"), NAMES), "digest": told(F.col("name"), DIGEST), "assigned": (F.col("name") != "").cast("double"),
+        "quoted": ((F.col("q1") != "") & (F.col("q1") == F.col("q2"))).cast("double"), "before_secret": told(before, _ANY_WORD), "before_digest": told(before, DIGEST), "before_made_up": told(before, MADE_UP),
+        "after_digest": told(after, DIGEST), "after_made_up": told(after, MADE_UP),
+    })
+
+
+def dictionary(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(word): whole words of 3 or more letters of a public vocabulary file, which the driver reads."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        words = [w[:-4] for w in json.load(f)["model"]["vocab"] if w.endswith("</w>")]
+    words = [w for w in words if len(w) >= 3 and w.isascii() and w.isalpha()]
+    return spark.sql("SELECT explode(split(:words, ' ')) AS word", args={"words": " ".join(words)}).distinct()
+
+
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds coverage: the share of a candidate's characters in runs of letters that are dictionary words. `found` is a written table."""
+    values = found.groupBy("candidate").agg(F.count("*").alias("__n"))
+    runs = values.select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit(_SEGMENT), F.lit(0))).alias("run"))
+    known = runs.join(words, F.lower("run") == F.col("word")).groupBy("candidate").agg(F.sum(F.length("run")).alias("known"))
+    share = values.join(known, "candidate", "left").select("candidate", "__n", (F.coalesce("known", F.lit(0)) / F.length("candidate")).alias("coverage"))
+    return joined_hot(found, written(share, "coverage"), ["candidate"], "__n", ["doc_id", "name"]).drop("__n")
+
+
+def candidates(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, candidate, name and the features: one row per candidate."""
+    found = written(found_in(docs), "candidates")
+    return described(with_coverage(found, dictionary(docs.sparkSession) if words is None else words)).select("doc_id", "candidate", "name", *FEATURES)
+
+
+def trained(findings: DataFrame):
+    """The forest, and the assembler before it, fitted to labelled findings (text, candidate, label)."""
+    rows = findings.select(F.col("id").alias("doc_id"), "text")
+    labels = findings.select(F.col("id").alias("doc_id"), F.col("candidate").alias("value"), F.col("label").cast("double").alias("label"))
+    same = (F.col("value") == F.col("candidate")) | (F.col("value") == F.rtrim("candidate", F.lit(".")))
+    # a text that holds its candidate twice counts once
+    marked = candidates(rows).join(labels, "doc_id").filter(same).dropDuplicates(["doc_id", "value"])
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    marked = vectors.transform(written(marked, "labelled"))
+    return vectors, RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7).fit(marked)
+
+
+def scored(found: DataFrame, findings: DataFrame) -> DataFrame:
+    """candidates() with score, the forest's share of votes for a secret."""
+    vectors, forest = trained(findings)
+    return forest.transform(vectors.transform(found)).withColumn("score", vector_to_array("probability")[1])
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, candidate_sha256, name, length, score, secret: one row per candidate; strings are not shown."""
-    found = written(candidates(docs), "candidates").withColumn("label", trusted_label())
-    sample = written(fitting_sample(found.filter("label is not null"), found.count(), LABELLED, 9).select("label", *FEATURES), "labelled")
-    kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(kinds) == 2:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        weighted = sample.withColumn("weight", F.when(F.col("label") == 1, 0.5 / kinds[1.0]).otherwise(0.5 / kinds[0.0]))
-        model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(vectors.transform(weighted))
-        scored = model.transform(vectors.transform(found)).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(vector_to_array("probability")[1]))
-    else:
-        scored = found.withColumn("score", F.coalesce("label", F.lit(0.0)))
-    return scored.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "name", F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
+    known = made_findings(docs.sparkSession, LABELLED) if findings is None else findings
+    out = scored(candidates(docs), known)
+    return out.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "name", F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
