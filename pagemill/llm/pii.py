@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,17 +297,17 @@ def spans_of(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], list
     return base, both
 
 
+_RESULT = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
 def _scan(weights: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         show = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["t"], strict=True):
-                base, both = spans_of(text, weights)
-                out.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(show(base).encode()).hexdigest(), show(both)))
-            df = pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            df["doc_id"] = df["doc_id"].astype("Int64")
-            yield df
+        for batch in batches:
+            out = [spans_of(text, weights) for text in batch["t"].to_pylist()]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in out], pa.int64()) for k in KINDS]
+            sha = pa.array([hashlib.sha256(show(base).encode()).hexdigest() for base, _ in out], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *counts, sha, pa.array([show(both) for _, both in out], pa.string())], _RESULT)
 
     return run
 
@@ -316,4 +316,4 @@ def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, their digest and all spans: one row per input row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     with small_batches(docs.sparkSession):
-        return written(read.mapInPandas(_scan(trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"), "private")
+        return written(read.mapInArrow(_scan(trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"), "private")

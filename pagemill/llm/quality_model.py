@@ -5,15 +5,18 @@ regard to any label. The model minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 with the logistic loss. It is additive: each text statistic is cut at its quantiles and every bin
 has a weight, so a score is a sum of column expressions and needs no Python on the executors.
-The class prior is estimated from the labels outside the held-out fold, and two numbers (slope and
-offset, fitted to the same labels) turn the learned order into probabilities.
+The class prior is estimated from positives and unlabelled texts alone: among texts that a first model
+ranks highest nearly all are positive, so the share of the unlabelled over that of the positives
+above a threshold falls to the prior there; the least such ratio is taken. The logistic loss
+makes the scores probabilities. Rows labelled 0 are never fitted to.
 
 Only statistics of the text are inputs. At most SAMPLE positives and SAMPLE unlabelled documents,
 chosen by hash, are used for fitting; every document is scored.
 
 Results for odd input: null and empty texts get a score like any other; documents without label
-too; labels that contradict each other count as 0; a null doc_id is not held out; without any
-trusted positive all scores are the prior.
+too; labels that contradict each other make no trusted positive; a null doc_id is not held out;
+without any trusted positive all scores are one half; repeated rows are scored each; an empty table
+gives no rows; a very long text is counted in its row; columns with other names are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import WORD, fitting_sample, text_of, written
 
-SAMPLE, BINS, STEPS, RATE, FADE = 20_000, 12, 400, 0.1, 1e-3
+SAMPLE, BINS, STEPS, RATE, FADE, REACH = 20_000, 12, 400, 0.1, 1e-3, 0.3
 THRESHOLD, FOLDS = 0.3, 5
 FEATURES = ["words", "word_length", "symbols", "bars", "cries", "upper", "digits", "distinct", "lines", "stops", "others"]
 
@@ -64,37 +67,28 @@ def minimise(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
     return w
 
 
-def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (f, y), by damped Newton steps; the slope stays positive."""
-    x, w = np.c_[f, np.ones(len(f))], np.array([1.0, 0.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * (w - [1.0, 0.0])), -2, 2)
-    return max(float(w[0]), 1e-3), float(w[1])
+def class_prior(fp: np.ndarray, fu: np.ndarray) -> float:
+    """Of scores of positives and of unlabelled texts: the least ratio of the shares above a threshold, over thresholds that at least REACH of the positives pass."""
+    cut = np.quantile(fp, np.linspace(0.0, 1 - REACH, 40))
+    return float(np.clip(min((fu >= t).mean() / (fp >= t).mean() for t in cut), 0.02, 0.98))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
     """(cuts per feature, bin weights per feature, bias)."""
     known = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality")).filter("doc_id is not null and quality is not null")
-    known = written(known, "known")
-    n, good = known.agg(F.count("*"), F.sum("quality")).first()
-    if not good:
-        return [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 0.0
-    prior = min(max(good / n, 0.01), 0.99)
+    known = written(known.filter("quality = 1").select("doc_id"), "known")
     train = stats.filter(~held_out(F.col("doc_id")))
-    trusted = fitting_sample(known.filter("quality = 1"), good, SAMPLE, 5).select("doc_id")
+    trusted = fitting_sample(known, known.count(), SAMPLE, 5).select("doc_id")
     p = train.join(trusted, "doc_id", "left_semi").select(*FEATURES).limit(SAMPLE).toPandas().to_numpy(float)
+    if not len(p):
+        return [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 0.0
     u = fitting_sample(train, stats.count(), SAMPLE, 5).select(*FEATURES).toPandas().to_numpy(float)
     cuts = [np.unique(np.quantile(u[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(len(FEATURES))]
     cuts = [np.unique(np.r_[c, np.quantile(u[:, k], [0.02, 0.05, 0.95, 0.98])]) for k, c in enumerate(cuts)]
     hot = lambda x: np.hstack([np.eye(len(c) + 1)[np.searchsorted(c, x[:, k], side="left")] for k, c in enumerate(cuts)])
-    w = minimise(hot(p), hot(u), prior)
-    marked = fitting_sample(known, n, SAMPLE, 5)
-    marked = train.join(marked, "doc_id").select("quality", *FEATURES).limit(SAMPLE).toPandas().to_numpy(float)
-    slope, offset = calibrate(np.hstack([hot(marked[:, 1:]), np.ones((len(marked), 1))]) @ w, marked[:, 0])
-    w = slope * w
-    w[-1] += offset
+    p, u = hot(p), hot(u)
+    first = minimise(p, u, 0.5)
+    w = minimise(p, u, class_prior(p @ first[:-1], u @ first[:-1]))
     weights, at = [], 0
     for c in cuts:
         weights.append(w[at : at + len(c) + 1])
