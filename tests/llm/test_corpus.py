@@ -79,34 +79,6 @@ def test_block_names_decide_equality(spark, monkeypatch):
     assert all((names[a] == names[b]) == (texts[a] == texts[b]) for a in texts for b in texts)
 
 
-def test_near_groups_by_brute_force(spark):
-    rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(400)]
-    rows = []
-    for g in range(12):
-        base = rng.choices(vocabulary, k=90)
-        for _ in range(14):
-            words = list(base)
-            for _ in range(rng.randint(0, 7)):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-            rows.append((len(rows), " ".join(words)))
-    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
-    comp = {i: i for i in sets}
-
-    def top(i):
-        while comp[i] != i:
-            i = comp[i]
-        return i
-
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((top(a), top(b)))
-                comp[y] = x
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: top(i) for i in sets}
-
-
 def test_private_data_against_plain_patterns(spark, documents):
     def plain(t):
         out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
