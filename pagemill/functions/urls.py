@@ -51,8 +51,15 @@ def site_folder(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host(unwrap_archive_url(url)), "[^a-z0-9.-]", "-"), F.lit("unknown-site"))
 
 
+@F.pandas_udf(StringType())
+def _normalised(url: pd.Series) -> pd.Series:
+    return pd.Series([normalise(u) if u else None for u in url], dtype="object")
+
+
 def request_key(url: Column, n: Column) -> Column:
-    return F.concat(F.coalesce(url, F.lit("")), F.lit("::"), n.cast("string"))
+    """The normalised URL, or what was given without blanks at its ends if it is none, and n."""
+    given = F.trim(F.coalesce(url, F.lit("")))
+    return F.concat(F.coalesce(F.when(given.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), _normalised(given)), given), F.lit("::"), n.cast("string"))
 
 
 def queue_scope(url: Column, root: Column) -> Column:

@@ -98,7 +98,7 @@ def render_block_md(tag: Column, text: Column) -> Column:
     return F.when(t == "hr", "------").when(t == "table", raw).when(t == "pre", F.concat(fence, F.lit("\n"), raw, F.lit("\n"), fence)).when(t.rlike(HEADING), F.concat(hashes, F.lit(" "), c)).when(t == "blockquote", F.concat(F.lit("> "), c)).when(t == "li", F.concat(F.lit("- "), c)).otherwise(c)
 
 
-def blocks_to_markdown(blocks: DataFrame, plain: bool = False, unnamed: str = "Image {}") -> DataFrame:
+def blocks_to_markdown(blocks: DataFrame, plain: bool = False, unnamed: str = "img") -> DataFrame:
     """page_id, markdown: rendered blocks in order, images numbered among those kept; `unnamed` stands for a missing alt text."""
     image = F.col("type") == "image"
     number = F.count_if(image).over(_run())
@@ -119,7 +119,7 @@ def _documents(articles: DataFrame, blocks: DataFrame, collected_at: Column, pla
     shown = display_date(F.coalesce(F.col("published_at"), collected_at))
     described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("_"), "description", F.lit("_\n\n* * *\n\n"))).otherwise("")
     body = F.coalesce(F.trim("markdown"), F.lit(""))
-    return articles.join(blocks_to_markdown(blocks, plain, "img"), "page_id", "left").withColumns({"shown": shown, "described": described, "body": body})
+    return articles.join(blocks_to_markdown(blocks, plain), "page_id", "left").withColumns({"shown": shown, "described": described, "body": body})
 
 
 def _header() -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.gates import is_blocked, is_unreadable
+from pagemill.functions.gates import is_archive_reject, is_blocked, is_challenge_html, is_unreadable
 from pagemill.functions.text import collapse, collapse_entity
 
 
@@ -53,20 +54,40 @@ def rendered_article(docs: DataFrame) -> DataFrame:
     return df.filter("body != ''")
 
 
+def rendered_images(docs: DataFrame) -> DataFrame:
+    """url, order, src, alt, caption: the image lines of the proxy's text form; the target of a linked image is its caption."""
+    content = F.substring_index(F.regexp_replace("raw_text", "\r\n", "\n"), "Markdown Content:", -1)
+    lines = docs.select("url", F.posexplode(F.split(content, "\n", -1)).alias("at", "line")).withColumn("line", F.trim("line"))
+    plain, linked = r"^!\[(.*?)\]\((.*?)\)$", r"^\[!\[(.*?)\]\((.*?)\)\]\((.*?)\)$"
+    part = lambda i: F.when(F.col("line").rlike(plain), F.regexp_extract("line", plain, i)).otherwise(F.regexp_extract("line", linked, i))
+    found = lines.filter(F.col("line").rlike(plain) | F.col("line").rlike(linked)).select("url", "at", collapse(part(2)).alias("src"), F.coalesce(F.nullif(collapse(part(1)), F.lit("")), F.lit("image")).alias("alt"), collapse(F.regexp_extract("line", linked, 3)).alias("caption"))
+    order = F.row_number().over(W.partitionBy("url").orderBy("at"))
+    return found.filter("src != ''").select("url", order.alias("order"), "src", "alt", "caption")
+
+
 #: (name, runs when, accepts when) after the direct capture; lengths in code points.
 _LATE = [("readable", "bad or len < 160", "not cand_blocked and (bad or cand_len > len)"), ("rendered", "len is null or blocked or len < 160", "cand_len > 80 and (len is null or cand_len > len)"), ("mirror", "len is null or blocked", "not cand_blocked and cand_len > 160"), ("archive", "len is null or blocked", "not cand_blocked and cand_len > 160"), ("browser", "bad", "not cand_blocked and cand_len > 160")]
 
 
-def arbitrate_captures(captures: DataFrame) -> DataFrame:
-    """url, stage, title, body, failed: the cascade over direct, readable, rendered, mirror, archive and browser captures.
+def arbitrate_captures(captures: DataFrame, force_browser: bool = False) -> DataFrame:
+    """url, stage, title, body, failed, and kept columns: the cascade over direct, readable, rendered, mirror, archive and browser captures.
 
-    captures: url, variant, title, article_title, body. One shuffle by url: captures are pivoted to a
-    column per variant (the longest of each), then the stages are a chain of column conditions.
+    captures: url, variant, title, article_title, body; optional html, description, published_at, headings, links (arrays).
+    Archive captures whose html is a check page, and browser captures whose html is a challenge, are left out. With
+    force_browser a browser capture of more than 80 characters goes first. One shuffle by url: captures are pivoted to a
+    column per variant (the longest of each), then the stages are a chain of column conditions. A rendered capture laid
+    over a page keeps its title, headings and links.
     """
-    one = F.struct(F.length("body").alias("len"), "title", "article_title", "body")
+    more = [c for c in ("description", "published_at", "headings", "links") if c in captures.columns]
+    if "html" in captures.columns:
+        html, variant = F.coalesce("html", F.lit("")), F.col("variant")
+        captures = captures.filter(~((variant == "archive") & is_archive_reject(html)) & ~((variant == "browser") & is_challenge_html(html)))
+    one = F.struct(F.length("body").alias("len"), "title", "article_title", "body", *more)
     names = ["direct", *[n for n, _, _ in _LATE]]
     wide = captures.groupBy("url").agg(*[F.max(F.when(F.col("variant") == n, one)).alias(n) for n in names])
-    state = wide.withColumn("now", F.col("direct")).withColumn("stage", F.when(F.col("direct").isNotNull(), "direct"))
+    forced = (F.col("browser.len") > 80) if force_browser else F.lit(False)
+    now = F.when(forced, F.col("browser")).otherwise(F.col("direct"))
+    state = wide.withColumn("now", now).withColumn("stage", F.when(forced, "browser").when(F.col("direct").isNotNull(), "direct"))
 
     def step(df: DataFrame, rule) -> DataFrame:
         name, runs, accepts = rule
@@ -74,13 +95,13 @@ def arbitrate_captures(captures: DataFrame) -> DataFrame:
         df = df.withColumn("blocked", blocked("now")).withColumn("len", F.col("now.len")).withColumn("cand_len", F.col(f"{name}.len")).withColumn("cand_blocked", blocked(name))
         df = df.withColumn("bad", F.col("now").isNull() | F.col("blocked") | is_unreadable(F.col("now.title"), F.col("now.article_title"), F.col("now.body")))
         take = F.coalesce(F.col(name).isNotNull() & F.expr(runs) & F.expr(accepts), F.lit(False))
-        if name == "rendered":  # an overlay keeps the page title of a page that is there
-            put = F.struct(F.col("rendered.len"), F.coalesce("now.title", "rendered.title").alias("title"), F.col("rendered.article_title"), F.col("rendered.body"))
-        else:
-            put = F.col(name)
+        put = F.col(name)
+        if name == "rendered":
+            kept = {"title": F.coalesce("now.title", "rendered.title"), "headings": F.when(F.col("now").isNull(), F.array("rendered.title")).otherwise(F.col("now.headings")) if "headings" in more else None, "links": F.when(F.col("now").isNull(), F.array().cast("array<string>")).otherwise(F.col("now.links")) if "links" in more else None}
+            put = F.struct(*[kept[c].alias(c) if c in kept else F.col(f"rendered.{c}") for c in ("len", "title", "article_title", "body", *more)])
         df = df.withColumn("take", take)
         return df.withColumn("now", F.when(F.col("take"), put).otherwise(F.col("now"))).withColumn("stage", F.when(F.col("take"), name).otherwise(F.col("stage")))
 
     out = reduce(step, _LATE, state)
     failed = F.col("now").isNull() | is_blocked(F.col("now.title"), F.col("now.body")) | is_unreadable(F.col("now.title"), F.col("now.article_title"), F.col("now.body"))
-    return out.select("url", "stage", "now.title", "now.body", F.coalesce(failed, F.lit(True)).alias("failed"))
+    return out.select("url", "stage", "now.title", "now.body", F.coalesce(failed, F.lit(True)).alias("failed"), *[f"now.{c}" for c in more])

@@ -19,12 +19,15 @@ from pagemill.operators.captures import first_article
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript", "iframe", "svg"}
-NODES = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "table", "hr", "img"}
+BLOCKS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "table", "hr", "img"]
+#: Tags of the second extractor, and how many blocks and characters it takes.
+READABLE, MAX_BLOCKS, MIN_READABLE = ["h1", "h2", "h3", "p", "li", "blockquote", "pre", "img", "figcaption"], 500, 160
+NODES = {*BLOCKS, "figcaption"}
 CLOSES_P = NODES - {"img"} | {"div", "section", "article", "main", "ul", "ol", "header", "footer", "nav", "form", "figure"}
 ROOTS = ["article", "main article", "[data-post-id]", ".available-content", "main", "body"]
 _STR, _ARR = T.StringType(), T.ArrayType(T.StringType())
 NODE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", _STR), T.StructField("text", _STR), T.StructField("in_nav", T.BooleanType()), T.StructField("roots", T.ArrayType(T.IntegerType())), T.StructField("src", _STR), T.StructField("full", _STR), T.StructField("alt", _STR), T.StructField("links", T.ArrayType(_ARR)), T.StructField("codes", _ARR), T.StructField("cells", T.ArrayType(_ARR))])
-PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", _STR), T.StructField("title", _STR), T.StructField("description", _STR), T.StructField("published", _STR), T.StructField("og_title", _STR), T.StructField("jsonld", _ARR), T.StructField("hrefs", _ARR), T.StructField("article_h1", _STR), T.StructField("main_h1", _STR), T.StructField("long_h1", _STR), T.StructField("root", T.IntegerType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("extract_error", _STR)])
+PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", _STR), T.StructField("title", _STR), T.StructField("description", _STR), T.StructField("published", _STR), T.StructField("dates", _ARR), T.StructField("og_title", _STR), T.StructField("jsonld", _ARR), T.StructField("hrefs", _ARR), T.StructField("resolved", _ARR), T.StructField("article_h1", _STR), T.StructField("main_h1", _STR), T.StructField("long_h1", _STR), T.StructField("root", T.IntegerType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("extract_error", _STR)])
 
 
 class Element:
@@ -125,6 +128,14 @@ def _resolved(href: str, base: str | None) -> str:
         return href
 
 
+def _link(href: str, base: str | None) -> str | None:
+    """The href resolved as links are: null if it can't be read."""
+    try:
+        return U.normalise(urljoin(base or "", href.strip()))
+    except ValueError:
+        return None
+
+
 def parse_page(html: str, url: str | None = None) -> dict:
     tree = Tree()
     tree.feed(html)
@@ -154,10 +165,13 @@ def parse_page(html: str, url: str | None = None) -> dict:
                 "links": [[squeeze(a.text()), _resolved(squeeze(a.attrs["href"]), url)] for a in inside if a.tag == "a" and "href" in a.attrs], "codes": [squeeze(c.text()) for c in inside if c.tag == "code"], "cells": cells,
             })
     title, time = first("title"), next((e for e in live if e.tag == "time" and e.attrs.get("datetime")), None)
+    named = lambda key, name: next((e.attrs.get("content", "") for e in live if e.tag == "meta" and e.attrs.get(key) == name), "")
+    hrefs = [e.attrs["href"] for e in live if e.tag == "a" and "href" in e.attrs]
     return {
         "title": squeeze(title.text()) if title else "", "description": meta.get("description"), "published": meta.get("article:published_time") or (time.attrs["datetime"] if time else None), "og_title": meta.get("og:title"),
+        "dates": [squeeze(d) for d in (named("property", "article:published_time"), named("name", "publish-date"), named("name", "date"), time.attrs["datetime"] if time else "")],
         "jsonld": ["".join(x for x in e.parts if isinstance(x, str)) for e in everything if e.tag == "script" and e.attrs.get("type") == "application/ld+json"],
-        "hrefs": [e.attrs["href"] for e in live if e.tag == "a" and "href" in e.attrs], "article_h1": inner_h1("article"), "main_h1": inner_h1("main"), "long_h1": max((n["text"] for n in nodes if n["tag"] == "h1"), key=len, default=None) or None, "root": scores.index(max(scores)), "nodes": nodes, "extract_error": None,
+        "hrefs": hrefs, "resolved": [_link(h, url) for h in hrefs], "article_h1": inner_h1("article"), "main_h1": inner_h1("main"), "long_h1": max((n["text"] for n in nodes if n["tag"] == "h1"), key=len, default=None) or None, "root": scores.index(max(scores)), "nodes": nodes, "extract_error": None,
     }
 
 
@@ -222,7 +236,7 @@ def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
     With `inline`, paragraphs hold links and code, and tables their rows, as Markdown.
     """
     df = parsed.select("page_id", "url", "root", collapse(article_title()).alias("at"), F.explode("nodes").alias("n")).select("page_id", "url", "at", "root", "n.*")
-    df = df.filter(F.array_contains("roots", F.col("root")) & ~F.col("in_nav"))
+    df = df.filter(F.array_contains("roots", F.col("root")) & ~F.col("in_nav") & F.col("tag").isin(BLOCKS))
     tag, image = F.col("tag"), F.col("tag") == "img"
     if inline:
         made = F.when(tag == "table", table_markdown(F.col("cells"))).when(tag == "hr", "------").when(tag == "pre", F.trim(F.replace("text", F.lit("\u00a0"), F.lit(" "))))
@@ -236,6 +250,31 @@ def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
     return df.select("page_id", "pos", F.when(image, "image").otherwise("text").alias("type"), "tag", F.when(~image, F.col("text")).alias("text"), F.col("full").alias("src"), "alt")
 
 
+def published_at_readable() -> Column:
+    """The first date that is there: the article's own, publish-date, date, then a time element."""
+    return F.get(F.filter("dates", lambda d: d != ""), 0)
+
+
+def readable_article(parsed: DataFrame) -> DataFrame:
+    """page_id, url, title, description, headings, article_title, article_body_text, images, published_at, is_article: what a reader view shows.
+
+    The first MAX_BLOCKS blocks with text or source of the chosen root, outside navigation (the reference's region scorer is third-party
+    code; the root by paragraphs and length stands in for it). No row without a title or with a shorter text than MIN_READABLE.
+    """
+    region = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & n["tag"].isin(READABLE))
+    made = F.transform(region, lambda n: F.struct(n["tag"].alias("tag"), collapse(F.when(n["tag"] == "img", n["full"]).otherwise(n["text"])).alias("text"), collapse(n["alt"]).alias("alt")))
+    df = parsed.withColumn("b", F.slice(F.filter(made, lambda n: n["text"] != ""), 1, MAX_BLOCKS))
+    head = F.transform(F.filter("b", lambda n: n["tag"].isin("h1", "h2", "h3")), lambda n: n["text"])
+    body = F.array_join(F.transform(F.filter("b", lambda n: n["tag"] != "img"), lambda n: n["text"]), "\n\n")
+    images = F.transform(F.filter(F.transform("b", lambda n, i: F.struct(n["text"].alias("src"), n["alt"].alias("alt"), (i + 1).alias("block_order"), n["tag"].alias("tag"))), lambda n: n["tag"] == "img"), lambda n, i: F.struct(n["src"].alias("src"), n["alt"].alias("alt"), (i + 1).alias("order"), n["block_order"].alias("block_order")))
+    title = F.coalesce(F.get(head, 0), F.col("title"))
+    df = df.select(
+        "page_id", "url", F.coalesce(F.nullif("title", F.lit("")), title).alias("title"), collapse(F.col("description")).alias("description"), F.array_distinct(head).alias("headings"),
+        title.alias("article_title"), body.alias("article_body_text"), images.alias("images"), published_at_readable().alias("published_at"),
+    )
+    return df.filter((F.col("article_title") != "") & (F.length("article_body_text") >= MIN_READABLE)).withColumn("is_article", F.length("article_body_text") > MIN_READABLE)
+
+
 def collect_images(blocks: DataFrame) -> DataFrame:
     """page_id, src, alt, caption, order, block_order: the images of each page; block_order counts all its blocks from 1."""
     place = W.partitionBy("page_id").orderBy("pos")
@@ -258,7 +297,7 @@ def content_blocks(inline: bool = False) -> Column:
         text = (n["text"] != "") & ~is_noise_text(n["text"]) & (n["text"] != F.col("__title")) & ~is_author_label(n["tag"], n["text"])
         return F.when(n["tag"] == "img", (blank(n["given"]) != "") & ~is_noise_image_src(n["given"])).when(n["tag"] == "hr", True).when(n["tag"] == "table", n["text"] != "").otherwise(text)
 
-    inside = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"])
+    inside = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & n["tag"].isin(BLOCKS))
     kept = F.filter(F.transform(inside, made), keep)
     # the array stays in place; what is cut is all from the first stop text on
     stopped = F.aggregate(kept, F.struct(F.lit(0).alias("n"), F.lit(False).alias("over")), lambda s, n: F.when(s["over"] | (prose(n) & F.lower(n["text"]).isin(STOP_TEXTS)), F.struct(s["n"].alias("n"), F.lit(True).alias("over"))).otherwise(F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("over"))), lambda s: s["n"])
@@ -278,7 +317,7 @@ def article_columns(parsed: DataFrame, blocks: bool = False) -> DataFrame:
     shown = F.when(made, F.to_json(F.struct("__s.body", "__s.images"))).otherwise(F.to_json(F.transform(content_blocks(inline=True), lambda n: F.struct(n["tag"].alias("tag"), n["text"].alias("text"), F.when(n["tag"] == "img", n["src"]).alias("src"), collapse(F.coalesce(n["alt"], F.lit(""))).alias("alt")))))
     return df.select(
         "page_id", "url", "title", F.coalesce(told("description"), "description").alias("description"), F.coalesce("__s.published_at", "published").alias("published_at"), F.coalesce(told("title"), "__title").alias("article_title"),
-        F.when(made, F.col("__s.body")).otherwise(body).alias("article_body_text"), headings().alias("headings"), "hrefs", "extract_error", made.alias("structured"), *([shown.alias("content_blocks")] if blocks else []),
+        F.when(made, F.col("__s.body")).otherwise(body).alias("article_body_text"), headings().alias("headings"), "hrefs", "resolved", "extract_error", made.alias("structured"), *([shown.alias("content_blocks")] if blocks else []),
     )
 
 

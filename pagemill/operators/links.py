@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,41 +15,47 @@ from pagemill.functions import urls as U
 MAX_LINKS = 400
 
 
-def root_relative(href: Column, base: Column) -> Column:
-    """/path links by columns: the base's origin and a percent-encoded path (UTF-8)."""
-    coded = F.regexp_replace(F.regexp_replace(F.url_encode(href), "%2F", "/"), r"\+", "%20")
-    for code, char in (("%2C", ","), ("%3A", ":"), ("%3B", ";"), ("%40", "@"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%3D", "="), ("%2B", "+"), ("%7E", "~"), ("%25", "%"), ("%3F", "?"), ("%23", "#")):
-        coded = F.replace(coded, F.lit(code), F.lit(char))
-    return F.concat(U.origin(base), coded)
-
-
 def page_links(articles: DataFrame) -> DataFrame:
-    """page_id, page_url, link_pos, url: in scope, unwrapped, distinct in first-seen order."""
-    df = articles.select("page_id", F.col("url").alias("page_url"), F.posexplode("hrefs").alias("at", "href")).filter(U.is_supported_href(F.col("href")))
-    fast = F.col("href").rlike(r"^/(?!/)[^.?#\\\s%]*$")
-    easy = df.filter(fast).withColumn("full", root_relative(F.col("href"), F.col("page_url")))
-    rest = df.filter(~fast).withColumn("full", U.resolve_url("href", "page_url"))
-    df = easy.unionByName(rest).withColumn("link", U.unwrap_archive_url(U.scoped_link(F.col("full"), F.col("page_url")))).filter(F.col("link").isNotNull())
+    """page_id, page_url, link_pos, url: in scope, unwrapped, distinct in first-seen order. The parser has resolved the hrefs."""
+    df = articles.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.arrays_zip("hrefs", "resolved")).alias("at", "a")).filter(U.is_supported_href(F.col("a.hrefs")))
+    df = df.withColumn("link", U.unwrap_archive_url(U.scoped_link(F.col("a.resolved"), F.col("page_url")))).filter(F.col("link").isNotNull())
     first = df.groupBy("page_id", "page_url", F.col("link").alias("url")).agg(F.min("at").alias("at"))
     return first.select("page_id", "page_url", F.row_number().over(W.partitionBy("page_id").orderBy("at")).alias("link_pos"), "url")
 
 
+def link_errors(articles: DataFrame) -> DataFrame:
+    """page_id, bad_hrefs: supported hrefs that can't be resolved."""
+    pairs = F.arrays_zip("hrefs", "resolved")
+    return articles.select("page_id", F.size(F.filter(pairs, lambda a: U.is_supported_href(a["hrefs"]) & a["resolved"].isNull())).alias("bad_hrefs"))
+
+
 def link_edges(links: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
     return links.filter(F.col("link_pos") <= max_links)
 
 
 def link_degree(edges: DataFrame) -> DataFrame:
-    """url, out_degree, in_degree."""
-    out = edges.groupBy(F.col("page_url").alias("url")).agg(F.count("*").alias("out_degree"))
-    back = edges.groupBy("url").agg(F.count("*").alias("in_degree"))
-    return out.join(back, "url", "full_outer").select("url", F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree"), F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
+    """url, out_degree, in_degree; the edges are read once."""
+    ends = F.explode(F.array(F.struct(F.col("page_url").alias("url"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct("url", F.lit(0).alias("out"), F.lit(1).alias("into"))))
+    return edges.select(ends.alias("e")).groupBy(F.col("e.url").alias("url")).agg(F.sum("e.out").alias("out_degree"), F.sum("e.into").alias("in_degree"))
+
+
+def top_linked(edges: DataFrame, limit: int = 20) -> DataFrame:
+    """url, in_degree: the pages with most links to them."""
+    return edges.groupBy("url").agg(F.count("*").alias("in_degree")).orderBy(F.col("in_degree").desc(), "url").limit(limit)
+
+
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in a table in the shared folder."""
+    """Lineage ends in a table in the shared folder; a temporary one serves a single machine only."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    df.write.parquet(path := f"{root.rstrip('/')}/level-{uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    df.write.parquet(path := f"{(root or _temporary()).rstrip('/')}/level-{uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,24 +64,31 @@ def crawl_select(pages: DataFrame, edges: DataFrame, roots: DataFrame, max_pages
 
     pages: url, ok. edges: src, link_pos, dst. A page that is absent or not ok takes no place and its
     links are not followed; a root that fails selects nothing. A level is one equi-join on the source
-    and one anti-join with what was queued before.
+    and one anti-join with what was queued before. A URL finds the page stored under it, or under it
+    with a fragment; a root with a fragment finds its page, keeps its own URL, and may meet that page
+    again by a link. An archive root gives its original URL and follows no links. The walk's queue has
+    no bound: the reference's drops only ends of queues, after 24 times max_pages failures.
     """
-    known = pages.select("url", "ok")
-    start = roots.select("root").distinct().join(known.filter("ok"), F.col("root") == F.col("url"))
-    front = cut(start.select("root", "url", F.lit(1).cast("long").alias("order")))
-    chosen = queued = front
-    queued = queued.select("root", "url")
+    bare = lambda c: F.regexp_replace(c, "#.*$", "")
+    named = pages.filter("ok").select("url", F.explode(F.array(F.struct(F.col("url").alias("k"), F.lit(0).alias("r")), F.struct(bare("url").alias("k"), F.lit(1).alias("r")))).alias("n"))
+    known = cut(named.groupBy(F.col("n.k").alias("key")).agg(F.min(F.struct("n.r", "url")).alias("p")).select("key", F.col("p.url").alias("page")))
+    tries = roots.select("root").distinct().select("root", F.posexplode(F.array(F.col("root"), bare("root"))).alias("r", "key"))
+    start = tries.join(known, "key").groupBy("root").agg(F.min(F.struct("r", "page")).alias("p"))
+    front = cut(start.select("root", F.col("root").alias("url"), F.col("p.page").alias("page"), F.lit(1).cast("long").alias("order")))
+    chosen, queued = front, front.select("root", "url")
+    front = front.filter(U.archive_original_url(F.col("root")).isNull())
+    shown = lambda df: df.select(U.unwrap_archive_url(F.col("root")).alias("root"), U.unwrap_archive_url(F.col("url")).alias("url"), "order")
     while True:
-        links = front.join(edges, front["url"] == edges["src"]).filter(U.queue_scope(F.col("dst"), F.col("root")))
+        links = front.join(edges, front["page"] == edges["src"]).filter(U.queue_scope(F.col("dst"), F.col("root")))
         new = links.groupBy("root", F.col("dst").alias("url")).agg(F.min(F.struct("order", "link_pos")).alias("by")).join(queued, ["root", "url"], "left_anti")
         new = cut(new)
         if new.isEmpty():
-            return chosen.select("root", "url", "order")
+            return shown(chosen)
         queued = cut(queued.union(new.select("root", "url")))
         had = chosen.groupBy("root").agg(F.max("order").alias("had"))
         rank = F.row_number().over(W.partitionBy("root").orderBy("by.order", "by.link_pos", "url"))
-        live = new.join(known.filter("ok").select("url"), "url").withColumn("rank", rank).join(had, "root").select("root", "url", (F.col("had") + F.col("rank")).alias("order"))
+        live = new.join(known.withColumnRenamed("key", "url"), "url").withColumn("rank", rank).join(had, "root").select("root", "url", "page", (F.col("had") + F.col("rank")).alias("order"))
         front = cut(live.filter(F.col("order") <= max_pages))
         if front.isEmpty():
-            return chosen.select("root", "url", "order")
+            return shown(chosen)
         chosen = cut(chosen.unionByName(front))

@@ -93,5 +93,14 @@ def preferred_languages(languages: DataFrame, originals: DataFrame, k: int = 3)
     return best.select("video_id", "code", "choice").unionByName(rest).withColumn("choice", F.row_number().over(W.partitionBy("video_id").orderBy("choice")))
 
 
+def original_language(languages: DataFrame, told: DataFrame) -> DataFrame:
+    """video_id, code: the told language where it is there (exactly or by its base part), else the first manual one, else the first."""
+    base = lambda c: F.split_part(c, F.lit("-"), F.lit(1))
+    plain = lambda c: F.lower(F.replace(F.trim(c), F.lit("_"), F.lit("-")))
+    df = languages.join(told.select("video_id", F.nullif(plain("original"), F.lit("")).alias("t")), "video_id", "left").withColumn("c", plain("code"))
+    place = F.when(F.col("c") == F.col("t"), 0).when(base(F.col("c")) == base(F.col("t")), 1).when(F.col("has_manual"), 2).otherwise(3)
+    return df.groupBy("video_id").agg(F.min_by("code", F.struct(place, "rank")).alias("code"))
+
+
 def best_language(languages: DataFrame, originals: DataFrame) -> DataFrame:
     return preferred_languages(languages, originals).filter("choice = 1").select("video_id", "code")

@@ -166,7 +166,15 @@ def purge_site(spark, d):
     return V.purge_site(pages, "http://ththre.example.com/x").select("page_id", "url")
 
 
-@query()
+S_CAPTURES = f"""v AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN '' ELSE body END AS b0 FROM s),
+r0 AS (SELECT *, {s_any("lower(title || chr(10) || b0)", G.BLOCKED)} AS x0, {s_any("lower(title || chr(10) || body)", G.BLOCKED)} AS x FROM v),
+r1 AS (SELECT *, page_id % 4 = 0 AND (x0 OR length(b0) < 160) AND length(body) > greatest(80, length(b0)) AS rendered FROM r0),
+r2 AS (SELECT *, NOT rendered AND page_id % 4 = 2 AND x0 AND NOT x AND length(body) > 160 AS mirror FROM r1),
+r3 AS (SELECT *, CASE WHEN rendered THEN 'rendered' WHEN mirror THEN 'mirror' ELSE 'direct' END AS stage, CASE WHEN rendered OR mirror THEN body ELSE b0 END AS b FROM r2)"""
+
+
+@query(f"""WITH {S_PAGES}, {S_CAPTURES} SELECT url, stage, title, b AS body, {s_any("lower(title || chr(10) || b)", G.BLOCKED)}
+  OR (length(trim(b)) < 120 AND (trim(b) = '' OR (title <> '' AND lower(trim(b)) = lower(trim(title)) AND lower(trim(article_title)) = lower(trim(title))))) AS failed FROM r3""")
 def arbitrate_captures(spark, d):
     """Captures of a URL: the page itself as direct, and its text as rendered and mirror form for some."""
     a = H.articles(table(spark, d, "pages")).select("page_id", "url", "title", "article_title", F.col("article_body_text").alias("body"))
@@ -175,6 +183,13 @@ def arbitrate_captures(spark, d):
     return K.arbitrate_captures(direct.unionByName(other).select("url", "variant", "title", "article_title", "body"))
 
 
+@query(rf"""WITH {S_PAGES}, h AS (SELECT page_id, url, title, h1, array_to_string(list_filter(list_concat([h1], p), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM a)
+  SELECT page_id, coalesce(nullif(h1, ''), title) AS article_title, md5(body) AS body_md5, CAST(h1 <> '' AS INTEGER) AS headings, length(body) > 160 AS is_article FROM h WHERE length(body) >= 160 AND (h1 <> '' OR title <> '')""")
+def readable_articles(spark, d):
+    r = H.readable_article(H.parsed_pages(table(spark, d, "pages")))
+    return r.select("page_id", "article_title", F.md5("article_body_text").alias("body_md5"), F.size("headings").alias("headings"), "is_article")
+
+
 @query(rf"""SELECT doc_id AS page_id, {s_collapse("split_part(text, chr(10), 1)")} AS title, {s_collapse("text")} AS body FROM documents WHERE length({s_collapse("text")}) >= 10 AND doc_id % 5 <> 0""")
 def structured_articles(spark, d):
     t = F.regexp_replace("text", "\n+", " ")
@@ -256,7 +271,7 @@ def cleaned_blocks(spark, d):
 
 
 @query(f"""WITH {S_LINES}, n AS (SELECT *, count(*) FILTER (type = 'image') OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS no, {s_collapse('text')} AS c FROM l),
-r AS (SELECT page_id, pos, CASE WHEN type = 'image' THEN '![Image ' || no || '](' || src || ')' WHEN c = '' AND NOT starts_with(tag, 'h') AND tag <> 'li' THEN '' WHEN starts_with(tag, 'h') THEN repeat('#', greatest(2, CAST(tag[2] AS INTEGER))) || ' ' || c WHEN tag = 'li' THEN '- ' || c ELSE c END AS md FROM n)
+r AS (SELECT page_id, pos, CASE WHEN type = 'image' THEN '![img](' || src || ')' WHEN c = '' AND NOT starts_with(tag, 'h') AND tag <> 'li' THEN '' WHEN starts_with(tag, 'h') THEN repeat('#', greatest(2, CAST(tag[2] AS INTEGER))) || ' ' || c WHEN tag = 'li' THEN '- ' || c ELSE c END AS md FROM n)
 SELECT page_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY pos)) AS md5, count(*) AS blocks FROM r WHERE md <> '' GROUP BY page_id""")
 def rendered_markdown(spark, d):
     blocks = lines(spark, d)

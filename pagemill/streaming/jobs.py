@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,24 +15,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagemill.functions.text import slugify
 from pagemill.functions.urls import site_folder
 from pagemill.operators.html_nodes import article_columns, parsed_pages
+from pagemill.operators.links import cut
 from pagemill.operators.requests import accept
-from pagemill.operators.versions import latest_version, new_versions, page_signature
+from pagemill.operators.versions import page_signature
 
 
-def stream_rate_limit(requests: DataFrame, window_s: float = 60, max_requests: int = 8) -> DataFrame:
-    """The rate limit on a stream; a user's state is the accepted times of the window. Late rows are judged as they come."""
+def stream_rate_limit(requests: DataFrame, window_s: float = 60, max_requests: int = 8, late: str = "10 minutes") -> DataFrame:
+    """The rate limit on a stream; a user's state is the accepted times of the window, and a timer drops it after that.
+
+    Rows later than the watermark are dropped; it begins at the epoch. Of a batch, a user's rows are judged in time order.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = list(state.get[0]) if state.exists else []
         pdf, out = pd.concat(list(batches)).sort_values(["us", "event_id"]), []
         for us, event_id in zip(pdf["us"], pdf["event_id"], strict=True):
             ok, wait, taken = accept(us / 1e6, taken, window_s, max_requests)
             out.append((key[0], event_id, ok, wait))
         state.update((taken,))
+        ends = int((max(taken, default=0) + window_s) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "retry_after_s"])
 
-    rows = requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean, retry_after_s long", "taken array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = requests.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean, retry_after_s long", "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ttl_cache(requests: DataFrame, ttl_s: float = 21600, late: str = "10 minutes") -> DataFrame:
@@ -57,24 +68,37 @@ def stream_ttl_cache(requests: DataFrame, ttl_s: float = 21600, late: str = "10
     return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def article_rows(pages: DataFrame, collected_at) -> DataFrame:
-    """Rows of captures; the signature also covers the ordered blocks with their links, tables and images."""
-    df = article_columns(parsed_pages(pages), blocks=True)
-    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), collected_at.alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at", "content_blocks")
+VERSION = "site string, slug string, collected_at timestamp, url string, article_title string, content string, description string, published_at string, signature string"
+
+
+def article_rows(pages: DataFrame, collected_at: Column) -> DataFrame:
+    """Rows of captures; the signature also covers the ordered blocks with their links, tables and images. A column collected_at of `pages` goes before the one given."""
+    taken = pages.select(F.col("page_id"), "url", "html", (F.col("collected_at").cast("timestamp") if "collected_at" in pages.columns else collected_at).alias("at"))
+    # a page and its time travel as one through the parser: the row number stands for both
+    rows = cut(taken.withColumn("page_id", F.monotonically_increasing_id()))
+    df = article_columns(parsed_pages(rows), blocks=True).join(rows.select("page_id", "at"), "page_id")
+    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), F.col("at").alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at", "content_blocks")
     return df.withColumn("signature", page_signature("url", "article_title", "description", "content", "content_blocks", "published_at")).drop("content_blocks")
 
 
 def incremental_extract(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of captures is extracted and its changed articles appended to target; a batch run twice adds nothing."""
+    """Each batch of captures is extracted, and each that differs from the one before of its URL is a new version in target.
+
+    An article is its URL: pages with equal titles stay apart, and `assign_article_dirs` names them when they are exported. Captures
+    of one URL in one batch are compared in the order of collected_at. A batch writes a folder of its own, so run twice it writes the
+    same; of what is stored only URLs, times and signatures are read.
+    """
+    spark, run = stream.sparkSession, zlib.crc32(checkpoint.encode())
+    spark.createDataFrame([], f"{VERSION}, batch string").write.mode("ignore").partitionBy("batch").parquet(target)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        rows = latest_version(article_rows(df, F.current_timestamp()))
-        try:
-            rows = new_versions(rows, latest_version(spark.read.parquet(target)))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(target)
+        mine = f"{run}-{epoch}"
+        stored = df.sparkSession.read.schema(f"{VERSION}, batch string").parquet(target).filter(F.col("batch") != mine)
+        latest = stored.groupBy("url").agg(F.max_by("signature", "collected_at").alias("stored"))
+        rows = article_rows(df, F.current_timestamp())
+        before = F.lag("signature").over(W.partitionBy("url").orderBy("collected_at", "signature"))
+        rows = rows.withColumn("before", before).join(latest, "url", "left")
+        rows = rows.filter(~F.col("signature").eqNullSafe(F.coalesce("before", "stored")))
+        rows.select([c.split()[0] for c in VERSION.split(", ")]).write.mode("overwrite").parquet(f"{target}/batch={mine}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Fixtures and sequential models for what the driver tables don't show."""
 
 import random
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -158,7 +159,8 @@ def test_streams(spark, tmp_path):
     batch = {r["event_id"]: r["allowed"] for r in requests.rate_limit(src, 60, 3).collect()}
     assert batch == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False}
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = jobs.stream_rate_limit(stream, 60, 3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+    later = lambda df: df.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))  # noqa: E731  (a watermark begins at 1970-01-01 00:00)
+    q = jobs.stream_rate_limit(later(stream), 60, 3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()} == batch
     keyed = lambda df: df.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))  # noqa: E731  (a watermark begins at 1970-01-01 00:00)
@@ -171,7 +173,102 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         jobs.incremental_extract(stream, str(tmp_path / "versions"), str(tmp_path / f"ck{k}")).awaitTermination(90)
     got = spark.read.parquet(str(tmp_path / "versions"))
-    assert 0 < got.count() == got.select("site", "slug").distinct().count()
+    assert got.count() == got.select("url").distinct().count() == pages.count()
+
+
+def test_incremental_extract_keeps_equal_titles_and_earlier_captures(spark, tmp_path):
+    page = lambda body: f"<title>Same</title><article><h1>Same</h1><p>{body}</p></article>"
+    day = lambda k: datetime(2024, 1, k)
+    first = [(1, "https://a.b/x", page("one"), day(1)), (2, "https://a.b/y", page("one"), day(1)), (3, "https://a.b/x", page("two"), day(3)), (4, "https://a.b/x", page("two"), day(2)), (5, "https://a.b/z", None, day(1))]
+    second = [(6, "https://a.b/x", page("two"), day(5)), (7, "https://a.b/y", page("new"), day(5)), (8, "https://a.b/z", None, day(6))]
+    schema = "page_id long, url string, html string, collected_at timestamp"
+    want = [("x", "one", 1), ("x", "two", 2), ("y", "one", 1), ("z", "", 1)]
+    for rows, more in ((first, []), (second, [("y", "new", 5)]), ([], [])):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.incremental_extract(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(90)
+        want = sorted([*want, *more])
+        got = spark.read.schema(jobs.VERSION).parquet(str(tmp_path / "out")).collect()
+        assert sorted((r["url"][-1], r["content"], r["collected_at"].day) for r in got) == want
+
+
+def test_readable_article(spark):
+    said = "Some words that go on for quite a while. " * 3
+    html = f"<title>Page</title><meta name='publish-date' content=''><meta name='date' content=' 2024-01-02 '><meta name='description' content=' D  e '><nav><p>nav</p></nav><main><h2>Head</h2><p>{said}</p><h2>Head</h2><figure><img src='/a.png' alt=' A '><figcaption>Seen</figcaption></figure><h4>no</h4><p>share</p><p>{said}</p></main>"
+    pages = [(1, "https://a.b/x", html), (2, "https://a.b/y", "<title>T</title><p>short</p>"), (3, "https://a.b/z", "<article>" + "<p>" + "</p><p>".join(f"w{i} word" for i in range(600)) + "</p></article>"), (4, "https://a.b/q", None)]
+    got = {r["page_id"]: r for r in html_nodes.readable_article(html_nodes.parsed_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
+    r = got[1]
+    assert set(got) == {1} and (r["title"], r["article_title"], r["headings"], r["description"], r["published_at"], r["is_article"]) == ("Page", "Head", ["Head"], "D e", "2024-01-02", True)
+    assert r["article_body_text"] == "\n\n".join(["Head", said.strip(), "Head", "Seen", "share", said.strip()])
+    assert [tuple(i) for i in r["images"]] == [("https://a.b/a.png", "A", 1, 4)]
+    titled = [(3, "https://a.b/z", "<title>Many</title>" + pages[2][2])]
+    (r,) = html_nodes.readable_article(html_nodes.parsed_pages(spark.createDataFrame(titled, "page_id long, url string, html string"))).collect()
+    assert r["article_title"] == "Many" and r["article_body_text"].count("\n\n") == html_nodes.MAX_BLOCKS - 1
+
+
+def test_cascade_with_forced_browser_rejects_and_overlay(spark):
+    long = "word " * 80
+    rows = [
+        ("f", "direct", "t", "a", long, "", ["h"], ["l"]), ("f", "browser", "b", "b", "z" * 100, "<p>", ["x"], ["y"]), ("a", "direct", "captcha", "c", "", "", [], []), ("a", "archive", "r", "r", long, "g-recaptcha", [], []), ("a", "browser", "q", "q", long, "Turnstile", [], []),
+        ("o", "direct", "Old", "Old", "tiny", "", ["h1"], ["l1"]), ("o", "rendered", "New", "New", "z" * 100, "", ["no"], ["no"]), ("n", "rendered", "New", "New", "z" * 100, "", ["no"], ["no"]),
+    ]
+    df = spark.createDataFrame(rows, "url string, variant string, title string, article_title string, body string, html string, headings array<string>, links array<string>")
+    got = {r["url"]: (r["stage"], r["title"], r["headings"], r["links"], r["failed"]) for r in captures.arbitrate_captures(df).collect()}
+    assert got == {"f": ("direct", "t", ["h"], ["l"], False), "a": ("direct", "captcha", [], [], True), "o": ("rendered", "Old", ["h1"], ["l1"], False), "n": ("rendered", "New", ["New"], [], False)}
+    forced = {r["url"]: r["stage"] for r in captures.arbitrate_captures(df, force_browser=True).collect()}
+    assert forced["f"] == "browser" and forced["o"] == "rendered"
+
+
+def test_crawl_roots_with_fragments_and_archives(spark):
+    a, b, top, old = "https://h.x/a", "https://h.x/b", "https://h.x/a#top", "https://archive.ph/2024/https://o.x/p"
+    pages = spark.createDataFrame([(a, True), ("https://h.x/b#end", True), (old, True)], "url string, ok boolean")
+    edges = spark.createDataFrame([(a, 0, b), ("https://h.x/b#end", 0, a), (old, 0, "https://archive.ph/2024/https://o.x/q")], "src string, link_pos int, dst string")
+    got = sorted(map(tuple, links.crawl_select(pages, edges, spark.createDataFrame([(top,), (old,), ("https://none.x/",)], "root string")).collect()))
+    assert got == [(top, top, 1), (top, b, 2), (top, a, 3)][:0] + sorted([("https://o.x/p", "https://o.x/p", 1), (top, top, 1), (top, b, 2), (top, a, 3)])
+
+
+def test_links_are_resolved_once(spark):
+    html = "<a href='/w?x=1#f'>a</a><a href='http://['>b</a><a href='mailto:x'>c</a><a href='/w?x=1'>d</a><a href='//other.y/z'>e</a><a href='g h'>f</a>"
+    parsed = html_nodes.articles(spark.createDataFrame([(1, "https://A.b/d/e", html)], "page_id long, url string, html string"))
+    edges = links.page_links(parsed)
+    assert [(r["link_pos"], r["url"]) for r in edges.orderBy("link_pos").collect()] == [(1, "https://a.b/w?x=1"), (2, "https://a.b/d/g%20h")]
+    assert links.link_errors(parsed).first()["bad_hrefs"] == 1
+    assert {r["url"]: (r["out_degree"], r["in_degree"]) for r in links.link_degree(edges).collect()}["https://A.b/d/e"] == (2, 0)
+    plan = links.link_degree(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") <= 2 and links.top_linked(edges, 1).count() == 1  # the adaptive plan shows each node once more
+
+
+def test_small_rules(spark):
+    keys = spark.createDataFrame([(" HTTP://A.b:80/x y ", 3), ("not a url ", 1), (None, 2)], "u string, n int")
+    assert [r[0] for r in keys.select(urls.request_key(F.col("u"), F.col("n"))).collect()] == ["http://a.b/x%20y::3", "not a url::1", "::2"]
+    docs = spark.createDataFrame([("u", "Title: T\n\nMarkdown Content:\nText\n![ A ](i.png)\n[![](j.png)](https://t.u)\n![x]()\n")], "url string, raw_text string")
+    assert [tuple(r) for r in captures.rendered_images(docs).orderBy("order").collect()] == [("u", 1, "i.png", "A", ""), ("u", 2, "j.png", "image", "https://t.u")]
+    langs = subtitles.subtitle_languages(spark.sql("select v video_id, map('es','x') manual, map('en-GB','x','fr','x') auto from values ('a'), ('b'), ('c') t(v)"))
+    told = spark.createDataFrame([("a", "EN_gb"), ("b", "fr-CA"), ("c", "xx")], "video_id string, original string")
+    assert {r[0]: r[1] for r in subtitles.original_language(langs, told).collect()} == {"a": "en-GB", "b": "fr", "c": "es"}
+    entries = spark.sql("select k key, timestamp_seconds(t) created_at from values ('a', 0), ('b', 40), ('c', 41) v(k, t)")
+    now = F.timestamp_seconds(F.lit(100))
+    live = lambda **kw: [r[0] for r in requests.live_entries(entries, now, 60, 9, **kw).collect()]
+    assert live() == ["c"] and live(session=True) == ["c", "b"] and requests.live_count(entries, now, 60, True).first()[0] == 2
+
+
+def test_requests_stream_in_order(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 2, None, 3]), rng.randrange(400)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s int").withColumn("ts", F.timestamp_seconds("s")).repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = {r["event_id"]: r["allowed"] for r in requests.rate_limit(df, 50, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, taken = {}, {}
+    for i, user, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        ok, _, taken[user] = requests.accept(s, taken.get(user, []), 50, 4)
+        want[i] = ok
+    assert got == want
+    plan = requests.rate_limit(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("MapInPandas") < plan.index("Sort [user_id") < plan.index("hashpartitioning(user_id")
 
 
 def test_article_documents(spark):
