@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -24,6 +26,8 @@ BLOCKS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "t
 READABLE, MAX_BLOCKS, MIN_READABLE = ["h1", "h2", "h3", "p", "li", "blockquote", "pre", "img", "figcaption"], 500, 160
 NODES = {*BLOCKS, "figcaption"}
 CLOSES_P = NODES - {"img"} | {"div", "section", "article", "main", "ul", "ol", "header", "footer", "nav", "form", "figure"}
+#: Marks that an element passes on to what it holds.
+WITHIN = {"nav": 1, "header": 1, "footer": 1, "article": 2, "main": 4}
 ROOTS = ["article", "main article", "[data-post-id]", ".available-content", "main", "body"]
 _STR, _ARR = T.StringType(), T.ArrayType(T.StringType())
 NODE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", _STR), T.StructField("text", _STR), T.StructField("in_nav", T.BooleanType()), T.StructField("roots", T.ArrayType(T.IntegerType())), T.StructField("src", _STR), T.StructField("full", _STR), T.StructField("alt", _STR), T.StructField("links", T.ArrayType(_ARR)), T.StructField("codes", _ARR), T.StructField("cells", T.ArrayType(_ARR))])
@@ -31,80 +35,82 @@ PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "up", "parts")
+    """at and last: the places in document order of the element and of what follows its subtree; begin, end: its text's pieces."""
 
-    def __init__(self, tag, attrs, up):
-        self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
+    __slots__ = ("tag", "attrs", "parts", "under", "at", "last", "begin", "end")
 
-    def walk(self):
-        stack = [self]
-        while stack:
-            e = stack.pop()
-            yield e
-            stack.extend(x for x in reversed(e.parts) if isinstance(x, Element))
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            e = stack.pop()
-            if isinstance(e, str):
-                out.append(e)
-            elif e.tag not in DROPPED:
-                stack.extend(reversed(e.parts))
-        return "".join(out)
-
-    def above(self):
-        e = self.up
-        while e:
-            yield e
-            e = e.up
+    def __init__(self, tag, attrs):
+        self.tag, self.attrs, self.parts = tag, attrs, []
 
 
 class Tree(HTMLParser):
-    """A tree with void elements, implied ends of p, li, tr, td and option, and title as text only."""
+    """A tree with void elements, implied ends of p, li, tr, td and option, and title as text only.
+
+    The depths of open elements are kept by tag, so that an end tag finds its element without a walk.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("#root", {}, None)
+        self.root, self.scripts, self.depths = Element("#root", {}), [], defaultdict(list)
+        self.open = [self.root]
+
+    def _deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
+    def _end(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.depths[self.open.pop().tag].pop()
 
     def _close(self, tags, stop):
-        e = self.at
-        while e.up and e.tag not in stop:
-            if e.tag in tags:
-                self.at = e.up
-                return
-            e = e.up
+        depth = self._deepest(tags)
+        if depth > self._deepest(stop):
+            self._end(depth)
 
     def handle_starttag(self, tag, attrs):
-        if self.at.tag in ("title", "textarea"):
-            self.at.parts.append(self.get_starttag_text() or "")
+        if self.open[-1].tag in ("title", "textarea"):
+            self.open[-1].parts.append(self.get_starttag_text() or "")
             return
         if tag in CLOSES_P:
-            self._close({"p"}, {"td", "th", "button"})
+            self._close(("p",), ("td", "th", "button"))
         if tag == "li":
-            self._close({"li"}, {"ul", "ol"})
+            self._close(("li",), ("ul", "ol"))
         elif tag in ("tr", "td", "th", "option"):
-            self._close({"td", "th"} if tag in ("td", "th") else {tag}, {"table", "select"})
-        e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.parts.append(e)
+            self._close(("td", "th") if tag in ("td", "th") else (tag,), ("table", "select"))
+        e = Element(tag, {k: v or "" for k, v in reversed(attrs)})
+        self.open[-1].parts.append(e)
+        if tag == "script":
+            self.scripts.append(e)
         if tag not in VOID:
-            self.at = e
+            self.depths[tag].append(len(self.open))
+            self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.at.tag in ("title", "textarea") and tag != self.at.tag:
-            self.at.parts.append(f"</{tag}>")
-            return
-        e = self.at
-        while e.up and e.tag != tag:
-            e = e.up
-        if e.up:
-            self.at = e.up
+        if self.open[-1].tag in ("title", "textarea") and tag != self.open[-1].tag:
+            self.open[-1].parts.append(f"</{tag}>")
+        elif self.depths[tag]:
+            self._end(self.depths[tag][-1])
 
     def handle_data(self, data):
-        self.at.parts.append(data)
+        self.open[-1].parts.append(data)
+
+    def shown(self) -> tuple[list[Element], list[str]]:
+        """Elements outside dropped ones in document order, and the pieces of their text; one pass over the tree."""
+        live, said, stack = [], [], [(self.root, 0)]
+        while stack:
+            e, under = stack.pop()
+            if isinstance(e, str):
+                said.append(e)
+            elif under is None:
+                e.last, e.end = len(live), len(said)
+            elif e.tag not in DROPPED:
+                e.under, e.at, e.begin = under, len(live), len(said)
+                live.append(e)
+                stack.append((e, None))
+                stack.extend((x, under | WITHIN.get(e.tag, 0)) for x in reversed(e.parts))
+        return live, said
 
 
 def squeeze(s: str) -> str:
@@ -113,7 +119,7 @@ def squeeze(s: str) -> str:
 
 def _is_root(e: Element, selector: str) -> bool:
     if selector == "main article":
-        return e.tag == "article" and any(x.tag == "main" for x in e.above())
+        return e.tag == "article" and bool(e.under & WITHIN["main"])
     if selector == "[data-post-id]":
         return "data-post-id" in e.attrs
     if selector == ".available-content":
@@ -137,41 +143,51 @@ def _link(href: str, base: str | None) -> str | None:
 
 
 def parse_page(html: str, url: str | None = None) -> dict:
+    """Facts and nodes of a page in time linear in the page and in the texts given out."""
     tree = Tree()
     tree.feed(html)
     tree.close()
-    everything = list(tree.root.walk())
-    live = [e for e in everything if e.tag not in DROPPED and not any(x.tag in DROPPED for x in e.above())]
-    meta = {}
+    live, said = tree.shown()
+    tagged = defaultdict(list)
     for e in live:
-        if e.tag == "meta":
-            meta.setdefault(e.attrs.get("name") or e.attrs.get("property"), e.attrs.get("content", ""))
-    first = lambda tag: next((e for e in live if e.tag == tag), None)
+        tagged["td" if e.tag == "th" else e.tag].append(e)
+    places = {tag: [e.at for e in es] for tag, es in tagged.items()}
+
+    def text(e: Element) -> str:
+        return "".join(said[e.begin : e.end])
+
+    def inside(e: Element, tag: str) -> list[Element]:
+        at = places.get(tag, [])
+        return tagged[tag][bisect_right(at, e.at) : bisect_left(at, e.last)]
+
+    def meta(key: str, name: str) -> str:
+        return squeeze(next((e.attrs.get("content", "") for e in tagged["meta"] if e.attrs.get(key) == name), ""))
+
+    def inner_h1(outer: str) -> str | None:
+        return next((t for e in tagged["h1"] if e.under & WITHIN[outer] for t in [squeeze(text(e))] if t), None)
+
     roots = [next((e for e in live if _is_root(e, s)), None) for s in ROOTS]
-    scores = [-1 if r is None else sum(e.tag == "p" for e in r.walk()) * 200 + min(len(squeeze(r.text())), 20_000) for r in roots]
-    inner_h1 = lambda outer: next((t for e in live if e.tag == "h1" and any(x.tag == outer for x in e.above()) for t in [squeeze(e.text())] if t), None)
+    scores = [-1 if r is None else len(inside(r, "p")) * 200 + min(len(squeeze(text(r))), 20_000) for r in roots]
+    linked = [e for e in tagged["a"] if "href" in e.attrs]
+    links = {e.at: [squeeze(text(e)), _resolved(squeeze(e.attrs["href"]), url)] for e in linked}
     nodes = []
     for e in live:
         if e.tag in NODES:
-            above = list(e.above())
-            inside = list(e.walk())
-            cells = [[squeeze(c.text()) for c in r.walk() if c.tag in ("td", "th")] for r in inside if r.tag == "tr"] if e.tag == "table" else None
             src = e.attrs.get("src", e.attrs.get("data-src")) if e.tag == "img" else None
             if e.tag == "img" and src is None:
                 src = e.attrs.get("srcset", "").split(",")[0].strip().split(" ")[0]
             nodes.append({
-                "pos": len(nodes), "tag": e.tag, "text": e.text().replace("\r\n", "\n").strip() if e.tag == "pre" else squeeze(e.text()), "in_nav": any(x.tag in ("nav", "header", "footer") for x in above),
-                "roots": [k for k, r in enumerate(roots) if r is not None and (r in above or r is e)], "src": src, "full": src and _resolved(src, url), "alt": e.attrs.get("alt"),
-                "links": [[squeeze(a.text()), _resolved(squeeze(a.attrs["href"]), url)] for a in inside if a.tag == "a" and "href" in a.attrs], "codes": [squeeze(c.text()) for c in inside if c.tag == "code"], "cells": cells,
+                "pos": len(nodes), "tag": e.tag, "text": text(e).replace("\r\n", "\n").strip() if e.tag == "pre" else squeeze(text(e)), "in_nav": bool(e.under & WITHIN["nav"]),
+                "roots": [k for k, r in enumerate(roots) if r is not None and r.at <= e.at < r.last], "src": src, "full": src and _resolved(src, url), "alt": e.attrs.get("alt"),
+                "links": [links[a.at] for a in inside(e, "a") if a.at in links], "codes": [squeeze(text(c)) for c in inside(e, "code")],
+                "cells": [[squeeze(text(c)) for c in inside(r, "td")] for r in inside(e, "tr")] if e.tag == "table" else None,
             })
-    title, time = first("title"), next((e for e in live if e.tag == "time" and e.attrs.get("datetime")), None)
-    named = lambda key, name: next((e.attrs.get("content", "") for e in live if e.tag == "meta" and e.attrs.get(key) == name), "")
-    hrefs = [e.attrs["href"] for e in live if e.tag == "a" and "href" in e.attrs]
+    times, published = [squeeze(e.attrs.get("datetime", "")) for e in tagged["time"]], meta("property", "article:published_time")
     return {
-        "title": squeeze(title.text()) if title else "", "description": meta.get("description"), "published": meta.get("article:published_time") or (time.attrs["datetime"] if time else None), "og_title": meta.get("og:title"),
-        "dates": [squeeze(d) for d in (named("property", "article:published_time"), named("name", "publish-date"), named("name", "date"), time.attrs["datetime"] if time else "")],
-        "jsonld": ["".join(x for x in e.parts if isinstance(x, str)) for e in everything if e.tag == "script" and e.attrs.get("type") == "application/ld+json"],
-        "hrefs": hrefs, "resolved": [_link(h, url) for h in hrefs], "article_h1": inner_h1("article"), "main_h1": inner_h1("main"), "long_h1": max((n["text"] for n in nodes if n["tag"] == "h1"), key=len, default=None) or None, "root": scores.index(max(scores)), "nodes": nodes, "extract_error": None,
+        "title": squeeze(text(tagged["title"][0])) if tagged["title"] else "", "description": meta("name", "description"), "published": published or next(iter(times), "") or None, "og_title": meta("property", "og:title"),
+        "dates": [published, meta("name", "publish-date"), meta("name", "date"), next(filter(None, times), "")],
+        "jsonld": ["".join(x for x in e.parts if isinstance(x, str)) for e in tree.scripts if e.attrs.get("type") == "application/ld+json"],
+        "hrefs": [e.attrs["href"] for e in linked], "resolved": [_link(e.attrs["href"], url) for e in linked], "article_h1": inner_h1("article"), "main_h1": inner_h1("main"), "long_h1": max((n["text"] for n in nodes if n["tag"] == "h1"), key=len, default=None) or None, "root": scores.index(max(scores)), "nodes": nodes, "extract_error": None,
     }
 
 
@@ -230,24 +246,50 @@ def table_markdown(cells: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(full, 1, 1), F.array(rule), F.slice(full, F.lit(2), F.size(full))), "\n")).otherwise("")
 
 
-def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
-    """page_id, pos, type, tag, text, src, alt: the nodes of the chosen root that are content, up to a stop text.
+def with_blocks(parsed: DataFrame, inline: bool = True) -> DataFrame:
+    """Adds __title, __told (the page's first JSON-LD article) and __blocks, its content in order, all within the row.
 
-    With `inline`, paragraphs hold links and code, and tables their rows, as Markdown.
+    A page with a JSON-LD article has that article's paragraphs, then its images; others the nodes of the chosen root that are
+    content, up to a stop text. With `inline`, links, code and tables are Markdown, as in the body text; else they are plain.
     """
-    df = parsed.select("page_id", "url", "root", collapse(article_title()).alias("at"), F.explode("nodes").alias("n")).select("page_id", "url", "at", "root", "n.*")
-    df = df.filter(F.array_contains("roots", F.col("root")) & ~F.col("in_nav") & F.col("tag").isin(BLOCKS))
-    tag, image = F.col("tag"), F.col("tag") == "img"
-    if inline:
-        made = F.when(tag == "table", table_markdown(F.col("cells"))).when(tag == "hr", "------").when(tag == "pre", F.trim(F.replace("text", F.lit("\u00a0"), F.lit(" "))))
-        df = df.withColumn("text", made.otherwise(inline_markdown(F.col("text"), F.col("links"), F.col("codes"), F.col("url"))))
-    prose = ~tag.isin("img", "table", "hr")
-    keep = F.when(image, (F.coalesce("src", F.lit("")) != "") & ~is_noise_image_src(F.col("src"))).when(tag == "hr", True).when(tag == "table", F.col("text") != "").otherwise(
-        (F.col("text") != "") & ~is_noise_text(F.col("text")) & (F.col("text") != F.col("at")) & ~is_author_label(tag, F.col("text"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    prose = lambda tag: ~tag.isin("img", "table", "hr")
+
+    def made(n: Column) -> Column:
+        tag, text = n["tag"], n["text"]
+        if inline:
+            plain = F.when(tag == "table", table_markdown(n["cells"])).when(tag == "hr", "------").when(tag == "pre", F.trim(F.replace(text, F.lit("\u00a0"), F.lit(" "))))
+            text = plain.otherwise(inline_markdown(text, n["links"], n["codes"], F.col("url")))
+        return F.struct(n["pos"].alias("pos"), tag.alias("tag"), F.when(tag != "img", text).alias("text"), n["src"].alias("given"), n["full"].alias("src"), n["alt"].alias("alt"))
+
+    def keep(n: Column) -> Column:
+        tag, text = n["tag"], n["text"]
+        said = (text != "") & ~is_noise_text(text) & (text != F.col("__title")) & ~is_author_label(tag, text)
+        return F.when(tag == "img", (blank(n["given"]) != "") & ~is_noise_image_src(n["given"])).when(tag == "hr", True).when(tag == "table", text != "").otherwise(said)
+
+    def block(pos: Column, tag: Column, text: Column, src: Column, alt: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.when(tag == "img", "image").otherwise("text").alias("type"), tag.alias("tag"), text.alias("text"), src.alias("src"), alt.alias("alt"))
+
+    none = F.lit(None).cast("string")
+    df = parsed.withColumn("__title", collapse(article_title())).withColumn("__told", first_article(F.col("jsonld")))
+    inner = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & n["tag"].isin(BLOCKS))
+    df = df.withColumn("__nodes", F.filter(F.transform(F.when(F.col("__told").isNull(), inner), made), keep))
+    # the array stays in place; what is cut is all from the first stop text on
+    ends = F.exists("__nodes", lambda n: prose(n["tag"]) & F.lower(n["text"]).isin(STOP_TEXTS))
+    at = F.aggregate("__nodes", F.lit(None).cast("int"), lambda s, n: F.coalesce(s, F.when(prose(n["tag"]) & F.lower(n["text"]).isin(STOP_TEXTS), n["pos"])))
+    df = df.withColumn("__stop", F.when(ends, at))
+    own = F.transform(F.filter("__nodes", lambda n: F.col("__stop").isNull() | (n["pos"] < F.col("__stop"))), lambda n: block(n["pos"], n["tag"], n["text"], n["src"], n["alt"]))
+    words, pictures = F.split("__told.body", "\n\n"), F.col("__told.images")
+    told = F.concat(
+        F.transform(words, lambda p, i: block(i, F.lit("p"), p, none, none)),
+        F.transform(F.coalesce(pictures, F.array().cast("array<string>")), lambda u, i: block(F.size(words) + i, F.lit("img"), none, u, F.lit("image"))),
     )
-    stop = F.min(F.when(prose & F.lower("text").isin(STOP_TEXTS), F.col("pos"))).over(W.partitionBy("page_id"))
-    df = df.filter(keep).withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-    return df.select("page_id", "pos", F.when(image, "image").otherwise("text").alias("type"), "tag", F.when(~image, F.col("text")).alias("text"), F.col("full").alias("src"), "alt")
+    return df.withColumn("__blocks", F.coalesce(told, own, F.array().cast("array<struct<pos:int,type:string,tag:string,text:string,src:string,alt:string>>"))).drop("__nodes", "__stop")
+
+
+def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
+    """page_id, pos, type, tag, text, src, alt: the blocks of with_blocks as rows; no shuffle."""
+    return with_blocks(parsed, inline).select("page_id", F.explode("__blocks").alias("b")).select("page_id", "b.*")
 
 
 def published_at_readable() -> Column:
@@ -283,41 +325,20 @@ def collect_images(blocks: DataFrame) -> DataFrame:
     return df.filter(image).select("page_id", *[collapse(F.col(c)).alias(c) for c in ("src", "alt", "caption")], F.col("order").cast("int").alias("order"), "block_order")
 
 
-def content_blocks(inline: bool = False) -> Column:
-    """raw_blocks within a row, as an array; `__title` is the collapsed article title. Tables and rules are as with `inline` always."""
-    blank = lambda x: F.coalesce(x, F.lit(""))
-    prose = lambda n: ~n["tag"].isin("img", "table", "hr")
-
-    def made(n: Column) -> Column:
-        text = F.when(n["tag"] == "table", table_markdown(n["cells"])).when(n["tag"] == "hr", "------").when(n["tag"] == "pre", F.trim(F.replace(n["text"], F.lit("\u00a0"), F.lit(" "))))
-        text = text.otherwise(inline_markdown(n["text"], n["links"], n["codes"], F.col("url")) if inline else n["text"])
-        return F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), F.when(n["tag"] != "img", text).alias("text"), n["src"].alias("given"), n["full"].alias("src"), n["alt"].alias("alt"))
-
-    def keep(n: Column) -> Column:
-        text = (n["text"] != "") & ~is_noise_text(n["text"]) & (n["text"] != F.col("__title")) & ~is_author_label(n["tag"], n["text"])
-        return F.when(n["tag"] == "img", (blank(n["given"]) != "") & ~is_noise_image_src(n["given"])).when(n["tag"] == "hr", True).when(n["tag"] == "table", n["text"] != "").otherwise(text)
-
-    inside = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & n["tag"].isin(BLOCKS))
-    kept = F.filter(F.transform(inside, made), keep)
-    # the array stays in place; what is cut is all from the first stop text on
-    stopped = F.aggregate(kept, F.struct(F.lit(0).alias("n"), F.lit(False).alias("over")), lambda s, n: F.when(s["over"] | (prose(n) & F.lower(n["text"]).isin(STOP_TEXTS)), F.struct(s["n"].alias("n"), F.lit(True).alias("over"))).otherwise(F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("over"))), lambda s: s["n"])
-    return F.slice(kept, F.lit(1), stopped)
-
-
 def articles(pages: DataFrame) -> DataFrame:
     """page_id, url, title, description, published_at, article_title, article_body_text, headings, hrefs, extract_error, structured."""
     return article_columns(parsed_pages(pages))
 
 
 def article_columns(parsed: DataFrame, blocks: bool = False) -> DataFrame:
-    """A page's first JSON-LD article, or else its text blocks up to a stop text. With `blocks`, also its ordered blocks and images as JSON."""
-    df = parsed.withColumn("__title", collapse(article_title())).withColumn("__s", first_article(F.col("jsonld")))
-    made, told = F.col("__s").isNotNull(), lambda k: F.nullif(F.col(f"__s.{k}"), F.lit(""))
-    body = F.array_join(F.transform(F.filter(content_blocks(), lambda n: n["tag"] != "img"), lambda n: n["text"]), "\n\n")
-    shown = F.when(made, F.to_json(F.struct("__s.body", "__s.images"))).otherwise(F.to_json(F.transform(content_blocks(inline=True), lambda n: F.struct(n["tag"].alias("tag"), n["text"].alias("text"), F.when(n["tag"] == "img", n["src"]).alias("src"), collapse(F.coalesce(n["alt"], F.lit(""))).alias("alt")))))
+    """A page's first JSON-LD article, or else its text blocks, as Markdown, up to a stop text. With `blocks`, also its ordered blocks and images as JSON."""
+    df = with_blocks(parsed)
+    made, told = F.col("__told").isNotNull(), lambda k: F.nullif(F.col(f"__told.{k}"), F.lit(""))
+    body = F.array_join(F.transform(F.filter("__blocks", lambda n: n["type"] == "text"), lambda n: n["text"]), "\n\n")
+    shown = F.to_json(F.transform("__blocks", lambda n: F.struct(n["tag"].alias("tag"), n["text"].alias("text"), n["src"].alias("src"), collapse(F.coalesce(n["alt"], F.lit(""))).alias("alt"))))
     return df.select(
-        "page_id", "url", "title", F.coalesce(told("description"), "description").alias("description"), F.coalesce("__s.published_at", "published").alias("published_at"), F.coalesce(told("title"), "__title").alias("article_title"),
-        F.when(made, F.col("__s.body")).otherwise(body).alias("article_body_text"), headings().alias("headings"), "hrefs", "resolved", "extract_error", made.alias("structured"), *([shown.alias("content_blocks")] if blocks else []),
+        "page_id", "url", "title", F.coalesce(told("description"), "description").alias("description"), F.coalesce("__told.published_at", "published").alias("published_at"), F.coalesce(told("title"), "__title").alias("article_title"),
+        body.alias("article_body_text"), headings().alias("headings"), "hrefs", "resolved", "extract_error", made.alias("structured"), *([shown.alias("content_blocks")] if blocks else []),
     )
 
 

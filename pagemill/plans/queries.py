@@ -132,7 +132,16 @@ def link_degree(spark, d):
     return L.link_degree(L.link_edges(L.page_links(H.articles(table(spark, d, "pages")))))
 
 
-@query()
+S_ORIGIN = "lower(regexp_extract({}, '^([A-Za-z]+://[^/?#]+)', 1))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+n AS (SELECT url, page_id % 7 <> 3 AS ok, [lead(url, 2) OVER w, lead(url, 1) OVER w] AS next FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+w AS (SELECT min_by(url, page_id) AS root, [min_by(url, page_id)] AS queue, [min_by(url, page_id)] AS seen, CAST([] AS VARCHAR[]) AS got FROM p GROUP BY host
+  UNION ALL SELECT root, list_concat(queue[2:], new), list_concat(seen, new), CASE WHEN ok THEN list_append(got, queue[1]) ELSE got END
+  FROM (SELECT w.*, n.ok, list_filter(CASE WHEN n.ok THEN n.next ELSE [] END, lambda x: x IS NOT NULL AND NOT list_contains(w.seen, x) AND {S_ORIGIN.format("x")} = {S_ORIGIN.format("w.root")}) AS new
+    FROM w JOIN n ON n.url = w.queue[1] WHERE len(w.got) < 10))
+SELECT root, unnest(got) AS url, unnest(range(1, len(got) + 1)) AS "order" FROM w WHERE len(queue) = 0 OR len(got) = 10""")
 def crawl_select(spark, d):
     """Each page links to the next two of its host; a walk from every host's first page."""
     pages = table(spark, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
@@ -291,7 +300,18 @@ def dates(spark, d):
     return table(spark, d, "events").select("event_id", X.display_date(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("shown"), X.timestamp_slug(ts).alias("slug"))
 
 
-@query()
+_HEAD = f"'{'=' * 80}' || chr(10) || 'TITLE: ' || article_title || chr(10) || 'SOURCE: ' || url || chr(10) || 'DATE: 1/2/2024, 3:04:05 AM' || chr(10) || '{'=' * 80}' || chr(10) || chr(10)"
+
+
+@query(rf"""WITH {S_PAGES}, x AS (SELECT page_id, article_title, unnest(p) AS x, unnest(range(len(p))) AS i FROM s),
+k AS (SELECT *, {s_key("x")} AS key FROM x WHERE x <> '' AND x <> article_title AND lower(x) NOT IN {s_list(G.NOISE_TEXTS)} AND NOT {s_any("lower(x)", G.SCRIPT_MARKERS)}),
+l AS (SELECT * FROM k WHERE NOT {s_ui_noise("x", "key")}),
+t AS (SELECT * FROM l WHERE NOT EXISTS (FROM l AS e WHERE e.page_id = l.page_id AND e.i <= l.i AND {s_any("e.key", B.STOP)})),
+u AS (SELECT * FROM t WHERE length(key) < 24 OR NOT EXISTS (FROM t AS e WHERE e.page_id = t.page_id AND e.i < t.i AND e.key = t.key)),
+v AS (SELECT * FROM (SELECT *, lag(key) OVER (PARTITION BY page_id ORDER BY i) AS before FROM u) WHERE key = '' OR before IS NULL OR before <> key),
+m AS (SELECT page_id, string_agg({s_collapse("x")}, chr(10) || chr(10) ORDER BY i) AS md FROM v GROUP BY page_id),
+z AS (SELECT page_id, url, article_title, coalesce(md, body) AS shown FROM s LEFT JOIN m USING (page_id))
+SELECT page_id, regexp_replace({_HEAD} || '# ' || article_title || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || shown, '\s+$', '') || chr(10) AS markdown, {_HEAD} || shown || chr(10) AS "text" FROM z""")
 def article_documents(spark, d):
     """Each page as a Markdown and a text document; pages are parsed once, into a written table."""
     parsed = L.cut(H.parsed_pages(table(spark, d, "pages")))

@@ -1,6 +1,7 @@
 """Fixtures and sequential models for what the driver tables don't show."""
 
 import random
+import time
 from datetime import datetime
 
 import pandas as pd
@@ -314,3 +315,32 @@ def test_signature_covers_blocks_and_images(spark):
     rows = [(1, "https://a.b/x", html) for html in [*changed, page]]
     got = [r["signature"] for r in jobs.article_rows(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), F.current_timestamp()).collect()]
     assert len(set(got)) == len(changed) and got[0] == got[-1]
+
+
+def test_deep_pages_parse_in_linear_time():
+    deep = "<article><p>" + "<div><b><a href='q'>x" * 4000 + "<p>" + "y<p>" * 500
+    began = time.process_time()
+    got = html_nodes.parse_page(deep, "https://a.b")
+    assert time.process_time() - began < 5 and len(got["hrefs"]) == 4000 and [n["text"] for n in got["nodes"]][-2:] == ["y", ""]
+
+
+def test_dropped_elements_hold_no_nodes(spark):
+    html = "<meta property='description' content='no'><meta name='description' content=' D  e '><time>x</time><time datetime='2024'></time><main><p>Seen<script>var p = '<p>';</script> twice</p><noscript><p>Unseen <a href='/u'>u</a></p></noscript><ul><li>One<ul><li>Two <code>c</code></ul><li>Three</ul></main>"
+    got = html_nodes.parse_page(html, "https://a.b")
+    assert [(n["tag"], n["text"], n["codes"]) for n in got["nodes"]] == [("p", "Seen twice", []), ("li", "OneTwo c", ["c"]), ("li", "Two c", ["c"]), ("li", "Three", [])]
+    assert (got["description"], got["published"], got["dates"], got["hrefs"]) == ("D e", None, ["", "", "", "2024"], [])
+
+
+def test_body_holds_inline_markdown_and_structured_pages_have_their_own_blocks(spark):
+    told = '{"@type": "Article", "headline": "Told", "articleBody": "Para one, told.\\nPara two.", "image": ["a.png", "a.png", "b.png"]}'
+    page = "<article><h1>Head</h1><p>See <a href='/b#x'>this page</a> and <code>run</code>.</p><img src='c.png' alt='C'><p>ready for <b>more?</b></p><p>After</p></article>"
+    rows = [(1, "https://a.b/x", page), (2, "https://a.b/y", f"<script type='application/ld+json'>{told}</script>{page}"), (3, "https://a.b/z", None)]
+    parsed = html_nodes.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    body = {r["page_id"]: r["article_body_text"] for r in html_nodes.article_columns(parsed).collect()}
+    assert body == {1: "See [this page](https://a.b/b) and `run`.", 2: "Para one, told.\n\nPara two.", 3: ""}
+    blocks = html_nodes.raw_blocks(parsed, inline=True)
+    assert sorted(tuple(r) for r in blocks.filter("page_id = 2").collect()) == [(2, 0, "text", "p", "Para one, told.", None, None), (2, 1, "text", "p", "Para two.", None, None), (2, 2, "image", "img", None, "a.png", "image"), (2, 3, "image", "img", None, "b.png", "image")]
+    assert [tuple(r)[2:] for r in blocks.filter("page_id = 1").collect()] == [("text", "p", body[1], None, None), ("image", "img", None, "https://a.b/c.png", "C")]
+    md = {r[0]: r[1] for r in B.article_markdown(html_nodes.article_columns(parsed), blocks.withColumn("caption", F.lit("")), F.lit("2024-01-02 03:04:05")).collect()}
+    assert md[2].endswith("# Told\n\nSource: https://a.b/y\n\nPara one, told.\n\nPara two.\n\n![image](a.png)\n\n![image](b.png)\n")
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
