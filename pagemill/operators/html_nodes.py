@@ -275,9 +275,7 @@ def with_blocks(parsed: DataFrame, inline: bool = True) -> DataFrame:
     inner = F.filter("nodes", lambda n: F.array_contains(n["roots"], F.col("root")) & ~n["in_nav"] & n["tag"].isin(BLOCKS))
     df = df.withColumn("__nodes", F.filter(F.transform(F.when(F.col("__told").isNull(), inner), made), keep))
     # the array stays in place; what is cut is all from the first stop text on
-    ends = F.exists("__nodes", lambda n: prose(n["tag"]) & F.lower(n["text"]).isin(STOP_TEXTS))
-    at = F.aggregate("__nodes", F.lit(None).cast("int"), lambda s, n: F.coalesce(s, F.when(prose(n["tag"]) & F.lower(n["text"]).isin(STOP_TEXTS), n["pos"])))
-    df = df.withColumn("__stop", F.when(ends, at))
+    df = df.withColumn("__stop", F.get(F.filter("__nodes", lambda n: prose(n["tag"]) & F.lower(n["text"]).isin(STOP_TEXTS)), 0)["pos"])
     own = F.transform(F.filter("__nodes", lambda n: F.col("__stop").isNull() | (n["pos"] < F.col("__stop"))), lambda n: block(n["pos"], n["tag"], n["text"], n["src"], n["alt"]))
     words, pictures = F.split("__told.body", "\n\n"), F.col("__told.images")
     told = F.concat(
@@ -289,7 +287,8 @@ def with_blocks(parsed: DataFrame, inline: bool = True) -> DataFrame:
 
 def raw_blocks(parsed: DataFrame, inline: bool = False) -> DataFrame:
     """page_id, pos, type, tag, text, src, alt: the blocks of with_blocks as rows; no shuffle."""
-    return with_blocks(parsed, inline).select("page_id", F.explode("__blocks").alias("b")).select("page_id", "b.*")
+    # the outer form: an inner explode tests the array's size below, which would make it again
+    return with_blocks(parsed, inline).select("page_id", F.explode_outer("__blocks").alias("b")).filter("b is not null").select("page_id", "b.*")
 
 
 def published_at_readable() -> Column:
