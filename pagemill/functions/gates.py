@@ -63,12 +63,11 @@ def is_archive_reject(html: Column) -> Column:
 def is_ui_noise(text: Column, key: Column | None = None) -> Column:
     """key: a column that holds noise_key(text), so that it is computed once."""
     key, raw = noise_key(text) if key is None else key, F.trim(text)
-    menu = F.trim(F.regexp_replace(F.replace(key, F.lit("*"), F.lit(" ")), r"\s+", " "))
     return (
-        key.isin(UI_TEXTS) | key.startswith("© ") | key.rlike("^(en|id|home|menu)$") | contains_any(key, UI_PARTS) | contains_any(text, ["history←priornext→", "history<priornext>"])
+        key.isin(UI_TEXTS) | key.startswith("© ") | key.isin("en", "id", "home", "menu") | contains_any(key, UI_PARTS) | contains_any(text, ["history←priornext→", "history<priornext>"])
         | (key == "advertisement") | key.startswith("advertisement ") | key.rlike(r"^[a-z0-9.-]+\s+is\s+blocked$")
         | raw.rlike(r"(?i)^\[[^\]]+\]\(https?://[^)]+\)$") | raw.rlike(r"(?i)^-\s+\[[^\]]+›\]\(https?://[^)]+\)$")
-        | menu.rlike(rf"^({MENU_WORDS})(\s+\*?\s*({MENU_WORDS}))*$")
+        | key.rlike(f"^({MENU_WORDS})( ({MENU_WORDS}))*$")  # a key holds no other white space and no *
     )
 
 

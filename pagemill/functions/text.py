@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_WHITE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: White space as browsers have it; the same pattern works in Java and RE2.
-SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+SPACE = f"[{_WHITE}]+"
 HEADING = "^h[1-6]$"
 
 
+def _runs(more: str = "") -> str:
+    """Runs of white space (and `more`) that are not one blank already; letters and digits are turned away by the first test."""
+    white = rf"[^0-9A-Za-z\x{{a1}}-\x{{167f}}]&&[{_WHITE}{more}]"
+    return f"[{white}]{{2,}}|[{white}&&[^ ]]"
+
+
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _runs(), " "))
 
 
 def collapse_entity(c: Column) -> Column:
@@ -20,7 +27,13 @@ def collapse_entity(c: Column) -> Column:
 
 
 def noise_key(c: Column) -> Column:
-    return collapse(F.translate(F.lower(collapse(c)), "*_`#>[]()", " " * 9))
+    """Lower case; Markdown's symbols count as white space. A byte order mark goes first, as a final sigma looks past it."""
+    plain = F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit(" "))
+    return F.trim(F.regexp_replace(F.lower(plain), _runs(r"*_`#>\[\]()"), " "))
+
+
+def is_blank(c: Column) -> Column:
+    return ~F.coalesce(c, F.lit("")).rlike(f"[^{_WHITE}]")
 
 
 def slugify(title: Column, empty: str = "untitled-article", most: int | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.gates import is_noise_image, is_noise_table, is_truncated_heading, is_ui_noise
-from pagemill.functions.text import HEADING, collapse, contains_any, display_date, noise_key
+from pagemill.functions.text import HEADING, collapse, contains_any, display_date, is_blank, noise_key
 
 # Where an article ends, and which sections are skipped.
 STOP = ["discussion about this post", "ready for more?", "toplatestdiscussions", "temukan kumpulan riset terkait", "see all", "berikut sebaran masalahnya", "related stories"]
@@ -37,7 +37,7 @@ def mark_blocks(blocks: DataFrame) -> DataFrame:
     """Adds key, level (of headings) and live (text rows that are no noise)."""
     text, tag, key = F.coalesce("text", F.lit("")), F.lower(F.coalesce("tag", F.lit(""))), F.col("key")
     is_text = F.col("type") == "text"
-    noise = F.when(tag == "table", is_noise_table(text, key)).when(tag == "hr", F.lit(False)).otherwise((collapse(text) == "") | is_ui_noise(text, key) | is_truncated_heading(tag, text))
+    noise = F.when(tag == "table", is_noise_table(text, key)).when(tag == "hr", F.lit(False)).otherwise(is_blank(text) | is_ui_noise(text, key) | is_truncated_heading(tag, text))
     df = blocks.withColumn("key", F.when(tag == "hr", F.lit("")).otherwise(noise_key(text)))
     return df.withColumn("level", F.when(is_text & tag.rlike(HEADING), F.substring(tag, 2, 1).cast("int"))).withColumn("live", is_text & ~noise)
 

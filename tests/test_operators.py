@@ -344,3 +344,15 @@ def test_body_holds_inline_markdown_and_structured_pages_have_their_own_blocks(s
     md = {r[0]: r[1] for r in B.article_markdown(html_nodes.article_columns(parsed), blocks.withColumn("caption", F.lit("")), F.lit("2024-01-02 03:04:05")).collect()}
     assert md[2].endswith("# Told\n\nSource: https://a.b/y\n\nPara one, told.\n\nPara two.\n\n![image](a.png)\n\n![image](b.png)\n")
     assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_white_space_and_keys_against_python(spark):
+    white = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+    rng, marks = random.Random(4), "*_`#>[]()"
+    letters = [*white, *marks, *"abZ09-.~!", "\x85", "\xa1", "\u167f", "\u200b", "\xe9", "\u03a3", "\U0001f600", " ", "  "]
+    items = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", None]
+    blanks = str.maketrans({c: " " for c in white})
+    plain = [" ".join(x for x in (t or "").translate(blanks).split(" ") if x) for t in items]
+    assert values(spark, text.collapse, items) == plain and values(spark, text.is_blank, items) == [p == "" for p in plain]
+    symbols = str.maketrans({c: " " for c in marks})
+    assert values(spark, text.noise_key, items) == [" ".join(x for x in p.lower().translate(symbols).split(" ") if x) for p in plain]
