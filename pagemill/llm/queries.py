@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from pagemill.llm import chat, collocations, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
 from pagemill.llm.common import load
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_chat": lambda spark, d: chat.format_table(load(spark, d, "conversations")),
     "op9_packing": lambda spark, d: packing.pack(load(spark, d, "documents")),
     "op10_licenses": lambda spark, d: licenses.scan(load(spark, d, "documents")),
+    "op11_collocations": lambda spark, d: collocations.collocations(load(spark, d, "documents")),
+    "op12_merkle": lambda spark, d: merkle.manifest(load(spark, d, "documents")),
+    "op13_line_dedup": lambda spark, d: line_dedup.digest_lines(load(spark, d, "documents")),
 }
 
 ORACLES = {
@@ -24,4 +27,7 @@ ORACLES = {
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_licenses": licenses.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_line_dedup": line_dedup.ORACLE,
 }
