@@ -77,10 +77,10 @@ def subtree(digests: list[str], height: int, whole: bool) -> list[list[str]]:
 
 def _block_roots(height: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tree, block, n = (k.as_py() for k in key)
+        tree, block = (k.as_py() for k in key)
         digests = [x for _, x in sorted(zip(table["idx"].to_pylist(), table["leaf"].to_pylist(), strict=True))]
-        top = subtree(digests, height, n == 1)[-1][0]
-        return pa.table({"tree": [tree], "block": pa.array([block], pa.int64()), "n": pa.array([n], pa.int64()), "digest": [top]})
+        high, alone = (subtree(digests, height, whole)[-1][0] for whole in (False, True))
+        return pa.table({"tree": [tree], "block": pa.array([block], pa.int64()), "high": [high], "alone": [alone]})
 
     return run
 
@@ -156,13 +156,14 @@ def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
 
     A leaf is 8**height-th of a block; the folded root is made again from the tampered leaf, where there is one.
     """
-    rows = numbered(leaves(docs), "tree", [F.col("doc_id").asc_nulls_first(), F.col("leaf")])
+    # written first: dealing by ranges reads its rows twice, and texts are to be hashed once
+    rows = numbered(written(leaves(docs), "hashed"), "tree", [F.col("doc_id").asc_nulls_first(), F.col("leaf")])
     rows = written(rows.withColumn("block", F.expr(f"idx div {FANOUT**height}")), "leaves")
-    blocks = rows.groupBy("tree").agg((F.max("block") + 1).alias("n"))
-    # languages are few or small: Spark broadcasts this table if its size allows
-    sized = rows.select("tree", "block", "idx", "leaf").join(blocks, "tree")
-    roots = sized.groupBy("tree", "block", "n").applyInArrow(_block_roots(height), "tree string, block long, n long, digest string")
-    parts = written(butterfly(roots), "parts")
+    roots = rows.select("tree", "block", "idx", "leaf").groupBy("tree", "block").applyInArrow(_block_roots(height), "tree string, block long, high string, alone string")
+    roots = written(roots, "roots")
+    blocks = roots.groupBy("tree").agg(F.count("*").alias("n"))
+    digest = F.when(F.col("n") == 1, F.col("alone")).otherwise(F.col("high"))
+    parts = written(butterfly(roots.join(blocks, "tree").select("tree", "block", "n", digest.alias("digest"))), "parts")
 
     trees = numbered(parts.filter("block = 0").select(F.lit("all").alias("all"), "tree", F.col("digest").alias("subroot")), "all", [F.col("tree")])
     trees = written(trees, "trees")
