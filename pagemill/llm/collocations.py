@@ -37,7 +37,7 @@ from pagemill.llm.common import joined_hot, small_batches, text_of, written
 
 DEPTH, MIN_COUNT, TOP, UNKNOWN = 4, 30, 2000, "und"
 #: Bytes of text to a block of suffixes; groups to a cut; different suffixes that one task takes at once.
-CHUNK, FAN, BUDGET = 16 << 20, 128, 1 << 20
+CHUNK, FAN, BUDGET = 8 << 20, 128, 1 << 19
 _SPACE, _END = 32, 10
 _TO = bytes(_SPACE if c == 9 else _END if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = "lang string, slot string, rows long, total long, words binary, codes binary"
@@ -54,7 +54,7 @@ def suffixes(text: bytes) -> tuple[pa.Array, np.ndarray]:
     np.cumsum(ends - starts, out=offsets[1:])
     coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[word[1:-1]])]).dictionary_encode()
     piece = np.searchsorted(np.flatnonzero(raw == _END), starts)
-    out = np.zeros((DEPTH, n), np.int64)
+    out = np.zeros((DEPTH, n), np.int32)
     out[0] = np.asarray(coded.indices) + 1
     for d in range(1, min(DEPTH, n)):
         out[d, : n - d] = np.where(piece[d:] == piece[: n - d], out[0, d:], 0)
@@ -135,9 +135,9 @@ def unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         each.append((len(own), np.frombuffer(raw[:cut], kind).reshape(DEPTH, rows), np.frombuffer(raw[cut:], np.int64)))
         words += own
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    known, at, codes = np.append(0, np.asarray(coded.indices).astype(np.int64) + 1), 0, []
+    known, at, codes = np.append(np.int32(0), np.asarray(coded.indices) + np.int32(1)), 0, []
     for n, own, _ in each:
-        here = np.append(0, known[at + 1 : at + n + 1])
+        here = np.append(np.int32(0), known[at + 1 : at + n + 1])
         codes.append(here[own])
         at += n
     return coded.dictionary, np.concatenate(codes, axis=1), np.concatenate([c for _, _, c in each])
