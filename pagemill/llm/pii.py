@@ -5,16 +5,19 @@ these miss: national phone numbers, cards of 15 digits or with other separators,
 spaced e-mail addresses, addresses of IP version 6. It looks at runs of chunks of non-white-space
 text that hold a digit, `@`, `+` or a written `(at)` or `[dot]`, with the chunks beside the latter. A
 segment is up to LONGEST such chunks in a row, scored by features of the whole span (shape, groups
-of digits, checks), of the word before it, and by the type before. One dynamic program per run
-chooses boundaries and types together; its spans are added where they touch no base span.
+of digits, checks), of the whole word before it, of numbers on both sides, and by the type before. Only segments
+that could be personal data have a type: with an @ or its written form, of 7 to 19 digits and number
+marks, or one chunk in the form of an IP address. One dynamic program per run chooses boundaries and
+types together; its spans are added where they touch no base span.
 
 The field is trained by maximum likelihood on EXAMPLES made sentences with marked personal data and
 look-alikes (dates, versions, prices, book and order numbers, card numbers with a wrong check digit);
 see `pii_examples`. It reads nothing of the corpus, so a text's spans depend on that text alone.
 
 Results for odd input: null text is empty and has no spans; a null doc_id is kept; repeated rows are
-each returned; an empty table gives no rows; other columns are ignored. A run is decoded whole, in
-time in proportion to its length, in batches of a few megabytes of text.
+each returned; an empty table gives no rows; other columns are ignored. A run is decoded whole: a
+chunk that no typed segment can hold is other, so the program runs between such chunks only, with the
+scores of LONGEST chunks at a time and ten bytes a chunk for the way back.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ _WRITTEN = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.IGNORECASE)
 _TRIGGER = re.compile(r"[0-9@+]|" + _WRITTEN.pattern, re.IGNORECASE)
 #: Chunks that need their neighbours: a bare @ or a written one.
 _JOINER = re.compile(r"@|" + _WRITTEN.pattern, re.IGNORECASE)
+_NUMBER = set("+0123456789 -()./")
 _TRIM = "\"'.,;:!?()[]{}<>*#$%&|"
 _MAIL = re.compile(r"[^\W_][\w.%+-]*@[^\W_][\w-]*(?:\.[\w-]+)+")
 _DATE = re.compile(r"(?:[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{2,4})|(?:[12][0-9]{3}[-/][12][0-9]{3})")
@@ -82,7 +86,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the patterns, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 15]
@@ -112,7 +116,11 @@ def _put(out: list, text: str, a: int, b: int, at: int, last: int) -> int:
         left = len(s) - len(s.lstrip(_TRIM))
         if left and s[left - 1] == "(" and ")" in s:
             left -= 1
-        a, b = a + left, b - len(s) + len(s.rstrip(_TRIM))
+        right = len(s) - len(s.rstrip(_TRIM))
+        if "::" in s:  # a short address may begin or end with it
+            left -= 2 * (s[max(0, left - 2) : left] == "::")
+            right -= 2 * (s[len(s) - right :][:2] == "::")
+        a, b = a + left, b - right
     if a < b:
         if last != at - 1:
             out.append([])
@@ -128,13 +136,13 @@ def _version_6(s: str) -> bool:
         return False
 
 
-def features(span: str, before: str) -> list[float]:
-    """Whole-span features, which only complete spans show, and what the word before tells."""
+def features(span: str, before: str, left: bool = False, right: bool = False) -> list[float]:
+    """Whole-span features, which only complete spans show, and what the word before and plain numbers on either side tell."""
     d = digits_of(span)
     n, groups = len(d), [len(g) for g in re.findall("[0-9]+", span)]
     mail = re.sub(r"\s*" + _WRITTEN.pattern + r"\s*", lambda m: "@" if "at" in m[0].lower() else ".", span, flags=re.IGNORECASE) if _WRITTEN.search(span) else span
     mail, parts = re.sub(r"\s*@\s*", "@", mail), span.split(".")
-    letters, number = any(c.isalpha() for c in span), set(span) <= set("+0123456789 -()./")
+    letters, number = any(c.isalpha() for c in span), set(span) <= _NUMBER
     whole = number and (n < 2 or luhn(d))
     quad = len(parts) == 4 and all(0 < len(p) <= 3 and p.isdigit() and p.isascii() for p in parts)
     marks = set(span) - set("0123456789")
@@ -142,13 +150,18 @@ def features(span: str, before: str) -> list[float]:
     cues = [bool(c.search(before)) for c in CUES]
     looks = bool(_DATE.fullmatch(span) or _TIME.fullmatch(span) or _AMOUNT.fullmatch(span))
     book = n in (10, 13) and len(groups) >= 4 and (n == 10 or d[:3] in ("978", "979"))
-    local = number and 6 <= n <= 12 and not book and not looks and (span[0] in "0(" or groups in ([3, 3, 4], [3, 4], [4, 7], [4, 6], [4, 3, 4]))
+    listed = any(_AMOUNT.fullmatch(x) and not x.isdigit() for x in span.split()) and " " in span
+    # a trunk prefix, or the groups of a national number; what follows are no single digits
+    lead = span[0] in "0(" and len(groups) in (2, 3) and min(groups[1:]) >= 3 and 2 <= groups[0] <= 5
+    bare = groups in ([3, 3, 4], [3, 4], [4, 7], [4, 6], [4, 3, 4])
+    local = number and not book and not looks and not listed and 7 <= n <= 12 and (lead or bare)
+    beside = left or right
     flags = [
         True, bool(_MAIL.fullmatch(mail)), "@" in mail and not _MAIL.fullmatch(mail), letters and "@" not in mail, bool(re.search(r"\s", mail)) and letters,
-        quad and all(int(p) <= 255 for p in parts), quad, span.count(":") >= 2 and _version_6(span), span.count(":") >= 2,
+        quad and all(int(p) <= 255 for p in parts), quad, span.count(":") >= 2 and _version_6(span), span.count(":") >= 2 and not _version_6(span),
         16 <= n <= 19 and whole, n == 15 and whole and d[:2] in ("34", "37"), 13 <= n <= 19 and not whole, 13 <= n <= 19 and cards, 13 <= n <= 19 and len(marks) <= 1, 13 <= n <= 19,
-        span[0] == "+" and number and 8 <= n <= 15, span[0] == "+" and not 8 <= n <= 15, local, local and cues[0], local and cues[4], number and 8 <= n <= 15 and span[:2] == "00", looks, book, n > 19, n < 7, n == 0,
-        span.count("(") != span.count(")"), bool(re.search(r"[,;:!?][\s]|[.]\s", span)), number and " " in span, len(groups) > 5, number, *cues,
+        span[0] == "+" and number and 8 <= n <= 15, span[0] == "+" and not 8 <= n <= 15, local, local and cues[0], local and cues[4], local and not cues[4] and not beside, local and lead and "(" in span, local and beside and "(" not in span, number and 8 <= n <= 15 and span[:2] == "00" and not listed, looks, listed, book, n > 19, n < 7, n == 0,
+        span.count("(") != span.count(")"), bool(re.search(r"[,;:!?][\s]|[.]\s", span)), number and " " in span, len(groups) > 5, number, left, right, number and min(groups, default=9) == 1 and span[0] != "+", *cues,
     ]
     return list(map(float, flags))
 
@@ -156,43 +169,127 @@ def features(span: str, before: str) -> list[float]:
 WIDTH = len(features("x", ""))
 
 
+def _shapes(text: str, run: list[tuple[int, int]]) -> list[tuple[int, bool, bool, bool]]:
+    """Of each chunk: digits, whether it is a number with its marks, has an @ in any form, looks like an IP address."""
+    out = []
+    for a, b in run:
+        s = text[a:b]
+        out.append((len(digits_of(s)), set(s) <= _NUMBER, "@" in s or bool(_WRITTEN.search(s)), s.count(":") >= 2 or s.count(".") == 3))
+    return out
+
+
+def _widths(text: str, run: list[tuple[int, int]], shapes: list, i: int) -> list[int]:
+    """The lengths, in chunks, of the segments from chunk i that could have a type."""
+    out, digits, number, mail = [], 0, True, False
+    for w in range(min(LONGEST, len(run) - i)):
+        n, is_number, has_mail, address = shapes[i + w]
+        digits, number, mail = digits + n, number and is_number, mail or has_mail
+        if mail or (w == 0 and address) or (number and 7 <= digits <= 19 and set(text[run[i][0] : run[i + w][1]]) <= _NUMBER):
+            out.append(w + 1)
+        elif not number or digits > 19:
+            # only a later @ could still help, and it needs its neighbours alone
+            if not any(shapes[j][2] for j in range(i + w + 1, min(i + LONGEST, len(run)))):
+                break
+    return out
+
+
+def _word_before(text: str, a: int) -> str:
+    end = len(text[:a].rstrip()) if a and text[a - 1].isspace() and text[max(0, a - 2) : a].isspace() else a - 1 if a and text[a - 1].isspace() else a
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end]
+
+
+def _plain(text: str, run: list[tuple[int, int]], i: int) -> bool:
+    return 0 <= i < len(run) and text[run[i][0] : run[i][1]].replace(".", "").isdigit()
+
+
+def _row(text: str, run: list[tuple[int, int]], i: int, w: int, before: str, left: bool) -> list[float]:
+    return features(text[run[i][0] : run[i + w - 1][1]], before, left, _plain(text, run, i + w))
+
+
+#: Scores kept for number spans of one run; beyond that they are made anew.
+KEPT = 50_000
+_SHAPE = str.maketrans("123456789", "0" * 9)
+
+
+def _number_key(span: str) -> tuple | None:
+    """What features() sees of a span of digits and number marks: equal keys have equal features. None for other spans."""
+    if not set(span) <= _NUMBER or span.count(".") >= 3:
+        return None
+    d = digits_of(span)
+    return span.translate(_SHAPE), span[0] == "0", span[:2] == "00", d[:3] in ("978", "979"), d[:2] in ("34", "37"), len(d) >= 13 and luhn(d), bool(_DATE.fullmatch(span))
+
+
 def span_features(text: str, run: list[tuple[int, int]]) -> np.ndarray:
-    """[start, chunks - 1] -> features; zeros beyond the run's end."""
-    out = np.zeros((len(run), LONGEST, WIDTH))
+    """[start, chunks - 1] -> features; zeros beyond the run's end and where a segment can have no type."""
+    out, shapes = np.zeros((len(run), LONGEST, WIDTH)), _shapes(text, run)
     for i, (a, _) in enumerate(run):
-        before = (text[max(0, a - 40) : a].split() or [""])[-1]
-        for k in range(min(LONGEST, len(run) - i)):
-            out[i, k] = features(text[a : run[i + k][1]], before)
+        before, left = _word_before(text, a), _plain(text, run, i - 1)
+        for w in _widths(text, run, shapes, i):
+            out[i, w - 1] = _row(text, run, i, w, before, left)
     return out
 
 
 def scores_of(x: np.ndarray, weights: dict) -> np.ndarray:
-    """[start, chunks - 1, type] of span_features; type 0 is other, single chunks only, and scores nothing."""
-    n = len(x)
-    out = np.concatenate([np.zeros((n, LONGEST, 1)), x @ weights["span"].T], axis=2)
-    out[:, 1:, 0] = -np.inf
-    out[np.arange(n)[:, None] + np.arange(LONGEST) >= n] = -np.inf
+    """[..., start, chunks - 1, type] of span_features; type 0 is other, single chunks only, and scores nothing."""
+    n = x.shape[-3]
+    typed = np.where(x[..., :1] > 0, x @ weights["span"].T, -np.inf)
+    out = np.concatenate([np.zeros((*x.shape[:-1], 1)), typed], axis=-1)
+    out[..., 1:, 0] = -np.inf
+    out[..., np.arange(n)[:, None] + np.arange(LONGEST) >= n, :] = -np.inf
     return out
 
 
 def decode(text: str, run: list[tuple[int, int]], weights: dict) -> list[tuple[str, int, int]]:
     """The best segmentation of a run: boundaries and types together."""
-    n, k, scores = len(run), len(KINDS) + 1, scores_of(span_features(text, run), weights)
-    best, back = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k, 2), np.int32)
-    best[0, 0] = 0.0
+    out, shapes, i, n, known = [], _shapes(text, run), 0, len(run), {}
+    widths = [_widths(text, run, shapes, k) for k in range(n)]
+    while i < n:
+        end = j = i
+        while j < n and (widths[j] or j < end):
+            end = max(end, j + max(widths[j], default=1))
+            j += 1
+        if j > i:
+            out += _island(text, run, i, j, widths, weights, known)
+        i = j + 1
+    return out
+
+
+def _island(text: str, run: list[tuple[int, int]], first: int, last: int, widths: list[list[int]], weights: dict, known: dict) -> list[tuple[str, int, int]]:
+    """The best cut of the chunks from first to last, before and behind which all is other."""
+    k, span, step = len(KINDS) + 1, weights["span"], weights["next"].tolist()
+    n, types = last - first, range(len(KINDS) + 1)
+    best = {0: [0.0] + [-np.inf] * (k - 1)}
+    back = np.zeros((n + 1, k, 2), np.int8)
     for i in range(n):
-        step = best[i][:, None] + weights["next"]
-        prev, value = step.argmax(axis=0), step.max(axis=0)
-        for w in range(min(LONGEST, n - i)):
-            j, here = i + w + 1, value + scores[i, w]
-            for y in np.flatnonzero(here > best[j]):
-                best[j, y], back[j, y] = here[y], (i, prev[y])
-    out, j, y = [], n, int(best[n].argmax())
+        now = best.pop(i)
+        into = [max((now[p] + step[p][y], -p) for p in types) for y in types]
+        at = best.setdefault(i + 1, [-np.inf] * k)
+        if into[0][0] > at[0]:
+            at[0], back[i + 1, 0] = into[0][0], (1, -into[0][1])
+        if widths[first + i]:
+            before, left = _word_before(text, run[first + i][0]), _plain(text, run, first + i - 1)
+            told = tuple(bool(c.search(before)) for c in CUES)
+        for w in widths[first + i]:
+            at = best.setdefault(i + w, [-np.inf] * k)
+            key = _number_key(text[run[first + i][0] : run[first + i + w - 1][1]])
+            key = key and (key, told, left, _plain(text, run, first + i + w))
+            if key is None or (scores := known.get(key)) is None:
+                scores = (span @ np.array(_row(text, run, first + i, w, before, left))).tolist()
+                if key and len(known) < KEPT:
+                    known[key] = scores
+            for y, score in enumerate(scores, 1):
+                if into[y][0] + score > at[y]:
+                    at[y], back[i + w, y] = into[y][0] + score, (w, -into[y][1])
+    final = best[n] if last == len(run) else [v + step[y][0] for y, v in enumerate(best[n])]
+    out, j, y = [], n, max(types, key=lambda y: final[y])
     while j:
-        i, before = map(int, back[j, y])
+        w, before = map(int, back[j, y])
         if y:
-            out.append((KINDS[y - 1], run[i][0], run[j - 1][1]))
-        j, y = i, before
+            out.append((KINDS[y - 1], run[first + j - w][0], run[first + j - 1][1]))
+        j, y = j - w, before
     return out[::-1]
 
 
@@ -222,8 +319,7 @@ def _sums(a: np.ndarray, axis) -> np.ndarray:
 def expected(x: np.ndarray, sizes: np.ndarray, weights: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log of the sum over all segmentations, expected span features by type, expected steps) of runs padded to one length."""
     many, n, k = len(x), x.shape[1], len(KINDS) + 1
-    scores = np.concatenate([np.zeros((*x.shape[:3], 1)), x @ weights["span"].T], axis=3)
-    scores[:, :, 1:, 0] = -np.inf
+    scores = scores_of(x, weights)
     scores[(np.arange(n)[:, None] + np.arange(LONGEST))[None] >= sizes[:, None, None]] = -np.inf
     fore, into = np.full((many, n + 1, k), -np.inf), np.full((many, n, k), -np.inf)
     fore[:, 0, 0] = 0.0

@@ -41,7 +41,8 @@ def _ip(r: random.Random) -> str:
     if r.random() < 0.4:
         return ".".join(str(r.randrange(256)) for _ in range(4))
     made = ipaddress.IPv6Address(r.getrandbits(128) & ~(((1 << 16 * r.randrange(0, 5)) - 1) << 32))
-    return r.choice([made.compressed, made.exploded, made.compressed.upper()])
+    short = f"{r.choice(['fe80', '2001:db8', 'fd00:1', 'ff02', '2a02:8108', '2001:db8:0:1'])}::{r.choice(['', f'{r.randrange(1, 65536):x}', f'{r.randrange(65536):x}:{r.randrange(1, 65536):x}'])}"
+    return r.choice([made.compressed, made.exploded, made.compressed.upper(), short, "::1", f"::ffff:{r.randrange(1, 65536):x}"])
 
 
 def _card(r: random.Random) -> str:
@@ -87,12 +88,22 @@ def _look_alike(r: random.Random) -> str:
         lambda: f"978-{n(0, 9)}-{n(10, 99)}-{n(100000, 999999)}-{n(0, 9)}", lambda: f"{n(0, 9)}-{n(100, 999)}-{n(10000, 99999)}-{n(0, 9)}", lambda: _wrong_card(r), lambda: _wrong_card(r), lambda: _digits(r, n(20, 30)),
         lambda: f"{n(1000, 9999)} {n(1000, 9999)}", lambda: f"@{r.choice(NAMES)}", lambda: f"+{n(1, 30)}", lambda: f"{n(1, 9)}+{n(1, 9)}", lambda: f"+{n(1, 9)} {n(10, 99)} {n(1, 9)}", lambda: "C++11",
         lambda: ":".join(f"{n(0, 256):02x}" for _ in range(6)), lambda: f"{r.getrandbits(160):040x}", lambda: f"{n(1, 90)}.{n(1000, 9999)}, {n(1, 90)}.{n(1000, 9999)}", lambda: f"{n(1, 9)}:{n(1, 9)}", lambda: f"{n(1950, 1999)}-{n(2000, 2020)}",
+        lambda: " ".join(f"{r.random():.{n(1, 4)}f}" for _ in range(n(2, 7))), lambda: " ".join(f"{n(0, 40)}.{n(10, 999)}" for _ in range(n(2, 6))), lambda: " ".join(f"{n(1, 32):02d}" for _ in range(n(2, 8))),
+        lambda: " ".join(str(n(1, 10 ** n(1, 7))) for _ in range(n(3, 9))), lambda: f"{n(1, 32):02d} {n(1, 13):02d} {n(1900, 2030)}", lambda: f"{n(1, 99)} {n(100, 999)} {n(100, 999)}",
         lambda: f"{n(1, 99)}-{n(100, 999)}", lambda: " ".join(str(n(0, 10)) for _ in range(n(2, 7))), lambda: " ".join(f"{n(1, 9)}{r.choice('abx')}" for _ in range(n(2, 5))), lambda: f"{n(1, 99)}a {_wrong_card(r)}", lambda: _digits(r, n(6, 13)), lambda: f"({n(1, 99)})",
         lambda: " ".join(str(n(100, 1000)) for _ in range(n(2, 5))), lambda: f"{n(1, 9)}x{n(10, 99)}", lambda: f"B{n(100, 999)}-{n(1000, 9999)}", lambda: f"§ {n(1, 99)}", lambda: f"{n(10000, 99999)} {n(1, 99)}",
     ]
     return r.choice(shapes)()
 
 
+def _in_numbers(r: random.Random) -> tuple[str, str, str]:
+    """A number in brackets or with a country's code, and the plain numbers on both sides."""
+    area, line = _digits(r, 3, "23456789"), _digits(r, 7, "23456789")
+    item = r.choice([f"({area}) {line[:3]}-{line[3:]}", f"(0{area}) {line[:4]}-{line[4:]}", f"(0{area[:2]}) {line[:3]}-{line[3:]}"])
+    side = lambda: " ".join(str(r.randrange(10 ** r.randrange(1, 4))) for _ in range(r.randrange(1, 5)))
+    return side() + " ", item, " " + side()
+
+
 _MAKE = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "none": _look_alike}
 
 
@@ -106,9 +117,16 @@ def examples(size: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]
             words = r.choices(PLAIN, k=r.randrange(1, 5))
             cue = r.choice(BEFORE[kind]) if r.random() < 0.6 else r.choice(PLAIN)
             text += " ".join([*words, cue]) + " "
-            item = _MAKE[kind](r)
+            lead, item, tail = "", _MAKE[kind](r), ""
+            if kind == "phone" and r.random() < 0.2:
+                lead, item, tail = _in_numbers(r)
+            elif kind == "none" and r.random() < 0.1:
+                # a phone's form behind a word that says what it is
+                item = _phone(r).lstrip("+(").replace(")", "")
+                text += r.choice(["order", "No.", "invoice", "item", "ref", "serial", "ticket"]) + " "
+            text += lead
             if kind != "none":
                 spans.append((kind, len(text), len(text) + len(item)))
-            text += item + r.choice(["", "", ".", ",", "!", " ###"]) + " "
+            text += item + tail + r.choice(["", "", ".", ",", "!", " ###"]) + " "
         out.append((text + r.choice(PLAIN), spans))
     return out
