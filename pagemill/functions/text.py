@@ -61,11 +61,24 @@ def contains_any(c: Column, needles: list[str]) -> Column:
     return out
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"\A[{_WHITE}]+|[{_WHITE}]+\z", "")
+
+
 def frontmatter_title(md: Column) -> Column:
-    block = F.regexp_extract(md, r"(?s)\A---\s*\n(.*?)\n---", 1)
-    title = F.regexp_extract(block, r"(?m)^title:[ \t]*(.+)$", 1)
-    return F.nullif(F.trim(F.regexp_replace(F.trim(title), "^[\"']|[\"']$", "")), F.lit(""))
+    """The title line of a block between two lines of dashes at the start, in any case, without one pair of quotes; null if there is none."""
+    block = F.regexp_extract(md, r"(?s)\A---\s*\n(.*?)\n---(?:\s*\n|\s*\z)", 1)
+    title = strip(F.regexp_extract(block, r"(?im)^title:\s*(.+)$", 1))
+    return F.nullif(collapse(F.regexp_replace(title, "\\A[\"']|[\"']\\z", "")), F.lit(""))
 
 
 def line_title(md: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(md, r"(?m)^Title:[ \t]*(.+)$", 1)), F.lit(""))
+    """The text of the first line that begins with Title:, null if there is none."""
+    return F.nullif(collapse(F.regexp_extract(md, r"(?m)^Title:\s*(.+)$", 1)), F.lit(""))
+
+
+def document_title(md: Column, url: Column) -> Column:
+    """The title of a Markdown document: of its front matter, else of its title line, else the host of its URL, else Untitled."""
+    host = F.nullif(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    return F.coalesce(frontmatter_title(md), line_title(md), host, F.lit("Untitled"))

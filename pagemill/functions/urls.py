@@ -97,6 +97,11 @@ def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype="object")
 
 
+def media_url(src: Column, page_url: Column) -> Column:
+    """An image's source against its page, fragment and other hosts kept; what can't be resolved stays as it is."""
+    return F.when(F.coalesce(src, F.lit("")) == "", src).otherwise(F.coalesce(resolve_url(src, page_url), src))
+
+
 def scoped_link(resolved: Column, root: Column) -> Column:
     """Without fragment, same origin as root, else null."""
     bare = F.regexp_replace(resolved, "#.*$", "")

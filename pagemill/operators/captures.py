@@ -5,29 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.gates import is_archive_reject, is_blocked, is_challenge_html, is_unreadable
-from pagemill.functions.text import collapse, collapse_entity
+from pagemill.functions.text import collapse, collapse_entity, strip
 
 
-def structured_article(parsed: DataFrame) -> DataFrame:
-    """page_id, title, description, body, published_at: the first JSON-LD article of a page, by script and item place."""
-    scripts = parsed.select("page_id", F.posexplode("jsonld").alias("script", "raw")).withColumn("v", F.try_parse_json("raw"))
-    text = lambda path: F.try_variant_get("v", path, "string")
-    one = scripts.filter("v is not null").withColumn("items", F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v")))
-    items = one.select("page_id", "script", F.posexplode("items").alias("item", "v")).filter("v is not null")
-    kinds = F.coalesce(F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), " "), text("$['@type']"), F.lit(""))
-    body = collapse_entity(F.regexp_replace(F.coalesce(text("$.articleBody"), F.lit("")), r"\n+", "\n\n"))
-    items = items.filter(kinds.rlike("(?i)article|newsarticle|blogposting") & (F.length(body) >= 10))
-    paragraphs = F.filter(F.transform(F.split(text("$.articleBody"), r"\n+"), collapse_entity), lambda p: p != "")
-    row = F.struct("script", "item", collapse_entity(F.coalesce(text("$.headline"), F.lit(""))).alias("title"), collapse_entity(F.coalesce(text("$.description"), F.lit(""))).alias("description"), F.array_join(paragraphs, "\n\n").alias("body"), text("$.datePublished").alias("published_at"))
-    return items.groupBy("page_id").agg(F.min(row).alias("a")).select("page_id", "a.title", "a.description", "a.body", "a.published_at")
-
-
-def first_article(jsonld: Column) -> Column:
-    """structured_article's choice within a row: a struct of title, description, body, published_at and images, null if there is none."""
+def articles_of(jsonld: Column) -> Column:
+    """The JSON-LD articles of a page's scripts in order: structs of title, description, body, published_at and images."""
     get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
     listed = lambda v, path: F.coalesce(get(v, path, "array<variant>"), F.array(get(v, path, "variant")))
     items = F.flatten(F.transform(F.filter(jsonld, lambda raw: F.try_parse_json(raw).isNotNull()), lambda raw: listed(F.try_parse_json(raw), "$")))
@@ -37,32 +22,81 @@ def first_article(jsonld: Column) -> Column:
     images = lambda v: F.array_distinct(F.filter(F.transform(listed(v, "$.image"), lambda i: F.coalesce(get(i, "$.url"), get(i, "$"))), lambda u: u != ""))
     made = lambda v: F.struct(text(v, "$.headline").alias("title"), text(v, "$.description").alias("description"), F.array_join(paragraphs(v), "\n\n").alias("body"), get(v, "$.datePublished").alias("published_at"), images(v).alias("images"))
     fits = lambda v: v.isNotNull() & kinds(v).rlike("(?i)article|newsarticle|blogposting") & (F.length(text(v, "$.articleBody")) >= 10)
-    return F.get(F.transform(F.filter(items, fits), made), 0)
+    return F.transform(F.filter(items, fits), made)
+
+
+def first_article(jsonld: Column) -> Column:
+    """The first of articles_of, null if there is none."""
+    return F.get(articles_of(jsonld), 0)
+
+
+def structured_article(parsed: DataFrame) -> DataFrame:
+    """page_id, title, description, body, published_at: the first JSON-LD article of each page that has one."""
+    told = parsed.select("page_id", first_article(F.col("jsonld")).alias("a")).filter("a is not null")
+    return told.select("page_id", "a.title", "a.description", "a.body", "a.published_at")
+
+
+#: Where the proxy's text begins, its name for a title, and a line that stands for a picture to come.
+MARKER, _TITLE, _LOADING = "Markdown Content:", r"(?m)^Title:\s*(.+)$", "Loading diagram..."
+_IMAGE, _LINKED, _RULE = r"^!\[(.*?)\]\((.*?)\)$", r"^\[!\[(.*?)\]\((.*?)\)\]\((.*?)\)$", r"^[-=*]{3,}$"
+
+
+def _pieces(markdown: Column) -> Column:
+    """Paragraphs and image lines in order; an image line begins with a tab, which no paragraph does.
+
+    Lines are trimmed and hold no line feed, so a line feed can stand for the end of a paragraph: lines of text are joined by
+    blanks, all other lines end what stands before them. One pass, however many lines a paragraph has.
+    """
+    lines = F.transform(F.split(strip(markdown), r"\r?\n", -1), strip)
+    picture = lambda x: x.rlike(_IMAGE) | x.rlike(_LINKED)
+    marked = F.transform(lines, lambda x: F.when(picture(x), F.concat(F.lit("\n\t"), x, F.lit("\n"))).when((x == "") | x.rlike(_RULE) | (x == _LOADING), "\n").otherwise(x))
+    cut = F.split(F.array_join(marked, " "), "\n", -1)
+    return F.filter(F.transform(cut, lambda x: F.when(x.startswith("\t"), F.rtrim(x)).otherwise(F.trim(x))), lambda x: x != "")
+
+
+def _block(piece: Column) -> Column:
+    """A typed block of a piece: an image with its caption, or a paragraph without heading marks and with links as their labels."""
+    line = F.substring(piece, 2, 1 << 30)
+    image, plain = piece.startswith("\t"), line.rlike(_IMAGE)
+    part = lambda i: collapse(F.when(plain, F.regexp_extract(line, _IMAGE, i)).otherwise(F.regexp_extract(line, _LINKED, i)))
+    bare = F.regexp_replace(F.regexp_replace(piece, r"^#{1,6}\s*", ""), r"^[-*_]{3,}$", "")
+    text = collapse(F.regexp_replace(bare, r"\[(.*?)\]\((.*?)\)", "$1"))
+    some = lambda c: F.when(image, c)
+    return F.struct(
+        F.when(image, "image").otherwise("text").alias("type"), F.when(~image, "p").alias("tag"), F.when(~image, text).alias("text"), some(part(2)).alias("src"),
+        some(F.coalesce(F.nullif(part(1), F.lit("")), F.lit("image"))).alias("alt"), some(F.when(plain, "").otherwise(collapse(F.regexp_extract(line, _LINKED, 3)))).alias("caption"),
+    )
 
 
 def rendered_article(docs: DataFrame) -> DataFrame:
-    """url, title, body from the proxy's text form (title line, marker, paragraphs); no row where no text follows."""
-    marker = "Markdown Content:"
-    raw = F.regexp_replace("raw_text", "\r\n", "\n")
-    title = F.trim(F.regexp_extract(raw, r"(?m)^Title:[ \t]*(.*)$", 1))
-    content = F.when(F.instr(raw, marker) > 0, F.substring_index(raw, marker, -1)).otherwise(raw)
-    paragraphs = F.split(content, r"\n(?:\s*\n|\s*(?:\*\s*\*\s*\*|-{3,}|={3,})\s*(?:\n|$))+")
-    kept = F.filter(F.transform(paragraphs, lambda p: collapse(p)), lambda p: (p != "") & ~p.rlike(r"^!?\[!?\[?[^\]]*\]\([^)]*\)(\]\([^)]*\))?$") & ~p.rlike(r"^([*]\s*[*]\s*[*]|-{3,}|={3,})$"))
-    head = F.regexp_replace(F.element_at(F.filter(kept, lambda p: p.rlike("^#+ ")), 1), "^#+ ", "")
-    texts = F.filter(kept, lambda p: ~p.rlike("^#+ "))
-    df = docs.select("url", F.coalesce(F.nullif(title, F.lit("")), head, F.lit("")).alias("title"), F.array_join(texts, "\n\n").alias("body"))
-    return df.filter("body != ''")
+    """url, title, description, body, blocks, image_count from the proxy's text form (title line, marker, lines of Markdown).
+
+    Everything after the first marker is content. A row needs the marker, a title (of the title line, else of the first heading)
+    and a paragraph; the description is the first paragraph. Blocks keep the order of text and images.
+    """
+    raw = F.coalesce("raw_text", F.lit(""))
+    at = F.instr(raw, MARKER)
+    df = docs.filter(at > 0).select("url", collapse(F.regexp_extract(raw, _TITLE, 1)).alias("__title"), strip(F.substr(raw, at + len(MARKER))).alias("__md"))
+    filled = lambda b: F.when(b["type"] == "text", b["text"] != "").otherwise(b["src"] != "")
+    df = df.withColumn("blocks", F.filter(F.transform(_pieces(F.col("__md")), _block), filled))
+    texts = F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"])
+    head = collapse(F.regexp_extract("__md", r"(?m)^#{1,6}\s*(.+)$", 1))
+    df = df.withColumn("__texts", texts).select(
+        "url", F.coalesce(F.nullif("__title", F.lit("")), head).alias("title"), F.get("__texts", 0).alias("description"), F.array_join("__texts", "\n\n").alias("body"), "blocks",
+        F.size(F.filter("blocks", lambda b: b["type"] == "image")).alias("image_count"),
+    )
+    return df.filter("title != '' and description is not null")
+
+
+def rendered_blocks(docs: DataFrame) -> DataFrame:
+    """url, pos, type, tag, text, src, alt, caption: the blocks of rendered_article as rows."""
+    return rendered_article(docs).select("url", F.posexplode("blocks").alias("pos", "b")).select("url", "pos", "b.*")
 
 
 def rendered_images(docs: DataFrame) -> DataFrame:
-    """url, order, src, alt, caption: the image lines of the proxy's text form; the target of a linked image is its caption."""
-    content = F.substring_index(F.regexp_replace("raw_text", "\r\n", "\n"), "Markdown Content:", -1)
-    lines = docs.select("url", F.posexplode(F.split(content, "\n", -1)).alias("at", "line")).withColumn("line", F.trim("line"))
-    plain, linked = r"^!\[(.*?)\]\((.*?)\)$", r"^\[!\[(.*?)\]\((.*?)\)\]\((.*?)\)$"
-    part = lambda i: F.when(F.col("line").rlike(plain), F.regexp_extract("line", plain, i)).otherwise(F.regexp_extract("line", linked, i))
-    found = lines.filter(F.col("line").rlike(plain) | F.col("line").rlike(linked)).select("url", "at", collapse(part(2)).alias("src"), F.coalesce(F.nullif(collapse(part(1)), F.lit("")), F.lit("image")).alias("alt"), collapse(F.regexp_extract("line", linked, 3)).alias("caption"))
-    order = F.row_number().over(W.partitionBy("url").orderBy("at"))
-    return found.filter("src != ''").select("url", order.alias("order"), "src", "alt", "caption")
+    """url, order, src, alt, caption: the images of rendered_article in order; the target of a linked image is its caption."""
+    images = F.filter("blocks", lambda b: b["type"] == "image")
+    return rendered_article(docs).select("url", F.posexplode(images).alias("at", "b")).select("url", (F.col("at") + 1).alias("order"), "b.src", "b.alt", "b.caption")
 
 
 #: (name, runs when, accepts when) after the direct capture; lengths in code points.

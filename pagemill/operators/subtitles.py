@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import collapse
+from pagemill.functions.text import collapse, strip
 
 KEY, MAX_CUES = ["video_id", "lang"], 4000
 _TIME = r"^\s*(?:(\d{2}):)?(\d{2}):(\d{2})(?:[.,]\d{1,3})?\s*-->"
@@ -66,16 +66,33 @@ def transcript_timestamped(cues: DataFrame) -> DataFrame:
     return _joined(cues.withColumn("l", F.concat(F.lit("["), "start", F.lit("] "), "text")), "l", "transcript")
 
 
-def subtitle_document(videos: DataFrame, plain: DataFrame, timed: DataFrame, include_timestamp: bool = True) -> DataFrame:
-    """video_id, lang, document: a header and the transcript; a placeholder line where there are no times."""
-    body = timed if include_timestamp else plain
-    text = F.coalesce(F.nullif("transcript", F.lit("")), F.lit("(no timestamps)" if include_timestamp else "(empty)"))
-    return videos.join(body, KEY, "left").select(*KEY, F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))), F.lit(""), F.concat(F.lit("Language: "), "lang"), F.lit(""), text).alias("document"))
+#: The bar of a document's head, the names of its section, and the line that stands for times that aren't there.
+_BAR, _SECTIONS, NO_TIMES = "=" * 80, ("Transcript", "Transcript With Timestamp"), "[00:00:00] Timestamp tidak tersedia dari sumber subtitle."
+
+
+def subtitle_documents(videos: DataFrame, plain: DataFrame, timed: DataFrame, include_timestamp: bool = True) -> DataFrame:
+    """video_id, lang, markdown, text: both documents of a transcript.
+
+    videos: video_id, lang, title, source. A head between bars, title, source and language, then one section: the timed transcript,
+    or a placeholder where it is empty, or else the plain one.
+    """
+    said = strip(F.coalesce("transcript", F.lit("")))
+    section = F.nullif(said, F.lit("")) if include_timestamp else said
+    df = videos.join(timed if include_timestamp else plain, KEY, "left").withColumn("__said", F.coalesce(section, F.lit(NO_TIMES)) if include_timestamp else section)
+    named = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")))
+    title, source, lang = F.coalesce("title", F.lit("")), F.col("source"), F.col("lang")
+
+    def made(mark: str, section_mark: str) -> Column:
+        head = [F.lit(_BAR), named("TITLE", title), named("SOURCE", source), named("LANGUAGE", lang), F.lit(_BAR), F.lit("")]
+        body = [F.concat(F.lit(mark), title), F.lit(""), named("Source", source), F.lit(""), named("Language", lang), F.lit(""), F.lit(section_mark + _SECTIONS[include_timestamp]), F.lit(""), F.col("__said"), F.lit(""), F.lit("")]
+        return F.concat_ws("\n", *head, *body)
+
+    return df.select(*KEY, made("# ", "## ").alias("markdown"), made("", "").alias("text"))
 
 
 def subtitle_languages(meta: DataFrame) -> DataFrame:
     """video_id, rank, code, has_manual, has_auto from the maps manual and auto; manual first, then code."""
-    names = lambda c: F.array_distinct(F.filter(F.transform(F.map_keys(c), F.trim), lambda x: x != ""))
+    names = lambda c: F.array_distinct(F.filter(F.transform(F.map_keys(c), lambda x: F.trim(x)), lambda x: x != ""))
     df = meta.select("video_id", names("manual").alias("m"), names("auto").alias("a"))
     df = df.select("video_id", "m", "a", F.explode(F.array_union("m", "a")).alias("code"))
     df = df.select("video_id", "code", F.array_contains("m", F.col("code")).alias("has_manual"), F.array_contains("a", F.col("code")).alias("has_auto"))

@@ -161,6 +161,39 @@ def url_rules(spark, d):
     return table(spark, d, "pages").select("page_id", U.site_folder(u).alias("site"), U.request_key(u, F.col("page_id")).alias("key"), U.is_archive_host(U.host(u)).alias("archived"), U.is_supported_href(u).alias("supported"), U.queue_scope(u, F.lit("http://ththre.example.com/")).alias("in_scope"))
 
 
+S_ORIGIN_OF = "lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))"
+
+
+@query(f"""WITH o AS (SELECT page_id, {S_ORIGIN_OF} AS o FROM pages)
+  SELECT page_id, CASE page_id % 6 WHEN 0 THEN o || '/a/b.png' WHEN 1 THEN o || '/c.png?x=1#f' WHEN 2 THEN regexp_extract(o, '^([a-z]+):', 1) || '://cdn.x.y/z.png' WHEN 3 THEN 'https://other.z/q%20r.svg' WHEN 4 THEN 'data:image/png;base64,AA==' ELSE '' END AS src,
+  page_id % 6 IN (3, 4) AS noise FROM o""")
+def media_urls(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.concat(U.origin(F.col("url")), F.lit("/d/e.html")).alias("url"))
+    given = F.get(F.array(*[F.lit(x) for x in ("/a/b.png", "../c.png?x=1#f", "//cdn.x.y/z.png", "HTTPS://Other.z:443/q r.svg", "data:image/png;base64,AA==", "")]), (F.col("page_id") % 6).cast("int"))
+    src = pages.select("page_id", U.media_url(given, F.col("url")).alias("src"))
+    return src.select("page_id", "src", G.is_noise_image_src(F.col("src")).alias("noise"))
+
+
+@query(f"""WITH o AS (SELECT page_id, url, {S_ORIGIN_OF} AS o FROM pages)
+  SELECT page_id, page_id % 7 NOT IN (3, 4, 5, 6) AS supported, page_id % 7 IN (0, 1) AS archived, CASE page_id % 7 WHEN 0 THEN o || '/w' WHEN 1 THEN o || '/v?q=a+b' END AS original FROM o""")
+def archive_links(spark, d):
+    """Links to an archive's copies (plain, and percent-encoded in a query), a look-alike host, and hrefs that are no links."""
+    k, o = F.col("page_id") % 7, U.origin(F.col("url"))
+    encoded = F.replace(F.replace(o, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F"))
+    href = F.when(k == 0, F.concat(F.lit("https://archive.ph/2024.01.02-030405/"), o, F.lit("/w)."))).when(k == 1, F.concat(F.lit("https://www.Archive.today/?url="), encoded, F.lit("%2Fv%3Fq%3Da+b"))).when(k == 2, F.concat(F.lit("https://notarchive.is/2024/"), o))
+    href = href.when(k == 3, "mailto:a@b.c").when(k == 4, "#top").when(k == 5, "javascript:void(0)").otherwise("")
+    return table(spark, d, "pages").select("page_id", href.alias("h")).select("page_id", U.is_supported_href(F.col("h")).alias("supported"), F.coalesce(U.is_archive_host(U.host(F.col("h"))), F.lit(False)).alias("archived"), U.archive_original_url(F.col("h")).alias("original"))
+
+
+@query("""SELECT page_id, page_id % 4 = 1 AS challenge, page_id % 4 = 2 AS rejected, page_id % 4 IN (0, 3) AS noise_table FROM pages""")
+def capture_gates(spark, d):
+    """Whole pages with and without the marks of a check page, a refusing archive, and the tables of its toolbar."""
+    k = F.col("page_id") % 4
+    pages = table(spark, d, "pages").withColumn("h", F.concat(F.regexp_replace("html", "(?i)captcha|No results|turnstile", "x"), F.when(k == 1, "<p>Checking your BROWSER</p>").when(k == 2, "No results").otherwise("no results")))
+    cells = F.when(k == 0, "| 0% | 50% | 100% |").when(k == 3, "archive.today  *webpage* capture").when(k == 1, "| 10% | 100% |").otherwise("| 0% | 1000% |")
+    return pages.select("page_id", G.is_challenge_html(F.col("h")).alias("challenge"), G.is_archive_reject(F.col("h")).alias("rejected"), G.is_noise_table(F.regexp_replace(cells, "today  [*]", "today")).alias("noise_table"))
+
+
 @query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages)
   SELECT page_id, host, CASE WHEN ends_with(host, '.example.com') THEN 'com' WHEN ends_with(host, '.example.net') THEN 'net' ELSE 'none' END AS rule FROM p""")
 def host_rules(spark, d):
@@ -211,7 +244,60 @@ def structured_articles(spark, d):
 def rendered_articles(spark, d):
     docs = table(spark, d, "documents")
     raw = F.concat(F.lit("Title: Doc "), F.col("doc_id").cast("string"), F.lit("\n\nMarkdown Content:\n"), F.regexp_replace("text", r"\s*\n\s*", "\n"))
-    return K.rendered_article(docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), raw.alias("raw_text")))
+    return K.rendered_article(docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), raw.alias("raw_text"))).select("url", "title", "body")
+
+
+def rendered_docs(spark, d) -> DataFrame:
+    """Documents in the proxy's form: their lines as paragraphs, headings, images, linked images, rules, links and blank lines."""
+    docs = table(spark, d, "documents")
+    place = lambda i: (i + F.col("doc_id")) % 8
+    no = lambda i: i.cast("string")
+    line = lambda x, i: (
+        F.when(place(i) == 1, F.concat(F.lit("## "), x)).when(place(i) == 2, F.concat(F.lit("  ![alt "), no(i), F.lit("](https://x.y/i.png) "))).when(place(i) == 3, F.lit("[![](/p.png)](https://x.y/t)"))
+        .when(place(i) == 4, F.when(F.col("doc_id") % 2 == 0, "-----").otherwise("Loading diagram...")).when(place(i) == 5, F.concat(F.lit("see [the *link*](https://l.k) "), x)).when(place(i) == 6, F.when(F.col("doc_id") % 3 == 0, " ").otherwise("![none]()")).otherwise(x)
+    )
+    made = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n")
+    title = F.when(F.col("doc_id") % 4 == 0, "URL Source: x").otherwise(F.concat(F.lit("Title:  Doc "), F.col("doc_id").cast("string")))
+    marker = F.when(F.col("doc_id") % 9 != 5, "\n\nMarkdown Content:\n").otherwise("\n\n")
+    return docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.concat(title, marker, made).alias("raw_text"))
+
+
+_IMG, _LNK = r"'^!\[(.*?)\]\((.*?)\)$'", r"'^\[!\[(.*?)\]\((.*?)\)\]\((.*?)\)$'"
+S_RENDERED = rf"""b AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents WHERE doc_id % 9 <> 5)),
+w AS (SELECT doc_id, i, CASE (i + doc_id) % 8 WHEN 1 THEN '## ' || x WHEN 2 THEN '![alt ' || i || '](https://x.y/i.png)' WHEN 3 THEN '[![](/p.png)](https://x.y/t)' WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '-----' ELSE 'Loading diagram...' END
+  WHEN 5 THEN 'see [the *link*](https://l.k) ' || x WHEN 6 THEN CASE WHEN doc_id % 3 = 0 THEN '' ELSE '![none]()' END ELSE x END AS t FROM b),
+t AS (SELECT doc_id, i, regexp_replace(t, '^{X.SPACE}|{X.SPACE}$', '', 'g') AS t FROM w),
+m AS (SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 4 <> 0 THEN 'Doc ' || doc_id ELSE '' END, ''), {s_collapse(r"regexp_extract(regexp_replace(string_agg(t, chr(10) ORDER BY i), '^\s+', ''), '(?m)^#{{1,6}}\s*(.+)$', 1)".replace("{{", "{").replace("}}", "}"))}) AS title FROM t GROUP BY doc_id),
+k AS (SELECT *, CASE WHEN regexp_matches(t, {_IMG}) THEN 'image' WHEN regexp_matches(t, {_LNK}) THEN 'linked' WHEN t = '' OR t = 'Loading diagram...' OR regexp_matches(t, '^[-=*]{{3,}}$') THEN 'end' ELSE 'text' END AS kind FROM t),
+g AS (SELECT *, count(*) FILTER (kind <> 'text') OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM k),
+p AS (SELECT doc_id, min(i) AS i, string_agg(t, ' ' ORDER BY i) AS t FROM g WHERE kind = 'text' GROUP BY doc_id, g),
+c AS (SELECT doc_id, i, {s_collapse(r"regexp_replace(regexp_replace(regexp_replace(t, '^#{1,6}\s*', ''), '^[-*_]{3,}$', ''), '\[(.*?)\]\((.*?)\)', '\1', 'g')")} AS text FROM p),
+q AS (SELECT doc_id, i, 'text' AS type, 'p' AS tag, text, NULL AS src, NULL AS alt, NULL AS caption FROM c WHERE text <> '' UNION ALL
+  SELECT doc_id, i, 'image', NULL, NULL, regexp_extract(t, {_IMG}, 2), regexp_extract(t, {_IMG}, 1), '' FROM k WHERE kind = 'image' AND regexp_extract(t, {_IMG}, 2) <> '' UNION ALL
+  SELECT doc_id, i, 'image', NULL, NULL, regexp_extract(t, {_LNK}, 2), 'image', regexp_extract(t, {_LNK}, 3) FROM k WHERE kind = 'linked'),
+r AS (SELECT q.*, m.title, count(*) FILTER (type = 'text') OVER (PARTITION BY doc_id) AS texts, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM q JOIN m USING (doc_id))"""
+
+
+@query(f"WITH {S_RENDERED} SELECT 'doc:' || doc_id AS url, CAST(pos AS INTEGER) AS pos, type, tag, text, src, alt, caption FROM r WHERE title <> '' AND texts > 0")
+def rendered_blocks(spark, d):
+    return K.rendered_blocks(rendered_docs(spark, d))
+
+
+@query(f"WITH {S_RENDERED} SELECT 'doc:' || doc_id AS url, any_value(title) AS title, arg_min(text, pos) FILTER (type = 'text') AS description, md5(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (type = 'text')) AS body_md5, count(*) FILTER (type = 'image') AS images FROM r WHERE title <> '' AND texts > 0 GROUP BY doc_id")
+def rendered_documents(spark, d):
+    return K.rendered_article(rendered_docs(spark, d)).select("url", "title", "description", F.md5("body").alias("body_md5"), F.col("image_count").cast("long").alias("images"))
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN coalesce(nullif({s_collapse("h")}, ''), 'a.b') WHEN 1 THEN coalesce(nullif({s_collapse("h")}, ''), 'a.b') WHEN 2 THEN 'a.b' WHEN 3 THEN 'Untitled' ELSE 'a.b' END AS title
+  FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS h FROM documents)""")
+def document_titles(spark, d):
+    """Documents as Markdown with a title in front matter, in a title line, in no place, and with a front matter that doesn't end."""
+    docs = table(spark, d, "documents").withColumn("h", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    k = F.col("doc_id") % 5
+    md = F.when(k == 0, F.concat(F.lit("---\nsource: x\nTITLE: 'x"), F.col("h"), F.lit("'\n---\nBody"))).when(k == 1, F.concat(F.lit("Text\nTitle:  x"), F.col("h"), F.lit("\nmore"))).when(k == 4, "--- \ntitle: never ends\n").otherwise("# Heading\n\ntitle: x")
+    md = F.regexp_replace(md, "(TITLE: '|Title:  )x", "$1")
+    url = F.when(k == 3, "").otherwise("https://A.b:81/x")
+    return docs.select("doc_id", X.document_title(md, url).alias("title"))
 
 
 # --- blocks
@@ -252,12 +338,20 @@ def text_rules(spark, d):
     return B.mark_blocks(lines(spark, d)).filter("type = 'text'").select("page_id", "pos", "key", "live", X.slugify(t).alias("slug"), G.is_noise_text(t).alias("noise"))
 
 
-@query(f"WITH {S_SKIP} SELECT page_id, pos, key FROM b6")
+#: A walk over each page's blocks in order: the level of the section that is skipped (0: none), whether the row is hidden, and whether all has stopped.
+S_WALK = f"""WITH RECURSIVE {S_LINES}, e AS (SELECT page_id, pos, type, key, live, coalesce(level, 0) AS level, live AND level IS NOT NULL AND {s_begins("key", SKIP)} AS opens,
+  live AND ({s_any("key", STOP)} OR (level IS NOT NULL AND {s_begins("key", SECTION_STOP)})) AS ends, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM k),
+v AS (SELECT DISTINCT page_id, 0::BIGINT AS n, -1 AS pos, '' AS key, 0 AS skip, false AS hidden, false AS stopped FROM e UNION ALL
+  SELECT page_id, n, pos, key, skip, type = 'text' AND skip > 0, stopped OR (ends AND NOT (type = 'text' AND skip > 0)) FROM (
+    SELECT e.*, v.stopped, CASE WHEN NOT e.live OR e.level = 0 THEN v.skip WHEN v.skip > 0 AND e.level > v.skip THEN v.skip WHEN e.opens THEN e.level ELSE 0 END AS skip FROM v JOIN e ON e.page_id = v.page_id AND e.n = v.n + 1))"""
+
+
+@query(f"{S_WALK} SELECT page_id, pos, key FROM v WHERE n > 0 AND NOT hidden")
 def skipped_sections(spark, d):
     return B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP).select("page_id", "pos", "key")
 
 
-@query(f"WITH {S_STOP} SELECT page_id, pos, key FROM b7")
+@query(f"{S_WALK} SELECT page_id, pos, key FROM v WHERE n > 0 AND NOT hidden AND NOT stopped")
 def stopped_blocks(spark, d):
     return B.stop_at_marker(B.drop_skipped_sections(B.mark_blocks(lines(spark, d)), SKIP), STOP, SECTION_STOP).select("page_id", "pos", "key")
 
@@ -464,3 +558,35 @@ def transcript_plain(spark, d):
 @query(f"WITH {S_CUES} SELECT video_id, md5(string_agg('[' || start || '] ' || text, chr(10) ORDER BY turn, rep)) AS transcript FROM q GROUP BY video_id")
 def transcript_timestamped(spark, d):
     return S.transcript_timestamped(S.normalize_cues(S.vtt_cues(subtitle_files(spark, d, vtt=True)))).select("video_id", F.md5("transcript").alias("transcript"))
+
+
+@query(f"""WITH {S_CUES}, t AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY turn, rep) AS p FROM q),
+  pl AS (SELECT video_id, string_agg(text, chr(10) ORDER BY turn, rep) AS x FROM t WHERE p IS NULL OR p <> text GROUP BY video_id), ti AS (SELECT video_id, string_agg('[' || start || '] ' || text, chr(10) ORDER BY turn, rep) AS x FROM q WHERE video_id % 5 <> 0 GROUP BY video_id),
+  v AS (SELECT DISTINCT conv_id AS video_id, 'Talk ' || conv_id AS title, 'https://v.w/' || conv_id AS source FROM conversations),
+  h AS (SELECT v.*, '{"=" * 80}' || chr(10) || 'TITLE: ' || title || chr(10) || 'SOURCE: ' || source || chr(10) || 'LANGUAGE: en' || chr(10) || '{"=" * 80}' || chr(10) || chr(10) AS head, 'Source: ' || source || chr(10) || chr(10) || 'Language: en' || chr(10) || chr(10) AS about,
+    coalesce(nullif(ti.x, ''), '{S.NO_TIMES}') AS timed, coalesce(pl.x, '') AS plain FROM v LEFT JOIN pl USING (video_id) LEFT JOIN ti USING (video_id))
+  SELECT video_id, md5(head || '# ' || title || chr(10) || chr(10) || about || '## Transcript With Timestamp' || chr(10) || chr(10) || timed || chr(10) || chr(10)) AS markdown,
+    md5(head || title || chr(10) || chr(10) || about || 'Transcript' || chr(10) || chr(10) || plain || chr(10) || chr(10)) AS "text" FROM h""")
+def subtitle_documents(spark, d):
+    """The Markdown document with times, and the text one without; every fifth video has no times."""
+    cues = S.normalize_cues(S.srt_cues(subtitle_files(spark, d)))
+    plain, timed = S.transcript_plain(cues), S.transcript_timestamped(cues).filter("video_id % 5 != 0")
+    named = lambda x: F.concat(F.lit(x), F.col("conv_id").cast("string"))
+    videos = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), F.lit("en").alias("lang"), named("Talk ").alias("title"), named("https://v.w/").alias("source")).distinct()
+    md, txt = S.subtitle_documents(videos, plain, timed), S.subtitle_documents(videos, plain, timed, include_timestamp=False)
+    return md.select("video_id", F.md5("markdown").alias("markdown")).join(txt.select("video_id", F.md5("text").alias("text")), "video_id")
+
+
+@query("""WITH c AS (SELECT conv_id AS video_id, count(*) AS n FROM conversations GROUP BY 1)
+  SELECT video_id, CASE n % 3 WHEN 0 THEN 'de,en,es-MX,fr' WHEN 1 THEN 'en,es,fr' ELSE 'ja,ko' END AS codes, CASE n % 3 WHEN 0 THEN 'es-MX,en' WHEN 1 THEN 'en' ELSE 'ja,ko' END AS chosen,
+  CASE n % 3 WHEN 0 THEN 'es-MX' WHEN 1 THEN 'en' ELSE 'ja' END AS best, CASE n % 3 WHEN 0 THEN 'es-MX' WHEN 1 THEN 'en' ELSE 'ja' END AS original FROM c""")
+def language_choices(spark, d):
+    """Videos with manual and automatic languages, by their number of turns: the original by its base part, by its own name, and unknown."""
+    talk = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("video_id")).agg((F.count("*") % 3).alias("k"))
+    kinds = spark.createDataFrame([(0, ["de", " en "], ["fr", "es-MX", "en"], "ES"), (1, ["en", "es"], ["fr"], "en"), (2, [], ["ko", "ja"], None)], "k long, m array<string>, a array<string>, original string")
+    names = lambda c: F.map_from_arrays(c, F.transform(c, lambda x: F.lit("u")))
+    rows = talk.join(kinds, "k")
+    langs, told = S.subtitle_languages(rows.select("video_id", names(F.col("m")).alias("manual"), names(F.col("a")).alias("auto"))), rows.select("video_id", "original")
+    listed = lambda df, by, name: df.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "code"))), lambda x: x["code"]), ",").alias(name))
+    best, first = S.best_language(langs, told).withColumnRenamed("code", "best"), S.original_language(langs, told).withColumnRenamed("code", "original")
+    return listed(langs, "rank", "codes").join(listed(S.preferred_languages(langs, told), "choice", "chosen"), "video_id").join(best, "video_id").join(first, "video_id")

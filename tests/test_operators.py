@@ -1,6 +1,7 @@
 """Fixtures and sequential models for what the driver tables don't show."""
 
 import random
+import re
 import time
 from datetime import datetime
 
@@ -356,3 +357,71 @@ def test_white_space_and_keys_against_python(spark):
     assert values(spark, text.collapse, items) == plain and values(spark, text.is_blank, items) == [p == "" for p in plain]
     symbols = str.maketrans({c: " " for c in marks})
     assert values(spark, text.noise_key, items) == [" ".join(x for x in p.lower().translate(symbols).split(" ") if x) for p in plain]
+
+
+def rendered_model(raw):
+    """The line automaton of rendered captures, step by step: None, or (title, blocks)."""
+    space = r"[\s\ufeff]+"
+    norm = lambda s: re.sub(space, " ", s).strip(" ")
+    if "Markdown Content:" not in raw:
+        return None
+    md = raw[raw.index("Markdown Content:") + 17 :].strip()
+    blocks, held = [], []
+
+    def flush():
+        text = re.sub(r"^#{1,6}\s*", "", " ".join(held))
+        text = norm(re.sub(r"\[(.*?)\]\((.*?)\)", r"\1", re.sub(r"^[-*_]{3,}$", "", text)))
+        if text:
+            blocks.append(("text", "p", text, None, None, None))
+        held.clear()
+
+    for line in re.split(r"\r?\n", md):
+        line = line.strip()
+        image, linked = re.match(r"^!\[(.*?)\]\((.*?)\)$", line), re.match(r"^\[!\[(.*?)\]\((.*?)\)\]\((.*?)\)$", line)
+        if image or linked:
+            flush()
+            m = image or linked
+            if norm(m[2]):
+                blocks.append(("image", None, None, norm(m[2]), norm(m[1]) or "image", "" if image else norm(m[3])))
+        elif not line or re.match(r"^[-=*]{3,}$", line) or line == "Loading diagram...":
+            flush()
+        else:
+            held.append(line)
+    flush()
+    title = re.search(r"^Title:\s*(.+)$", raw, re.M)
+    title = norm(title[1]) if title else ""
+    title = title or norm((re.search(r"^#{1,6}\s*(.+)$", md, re.M) or ["", ""])[1])
+    return (title, blocks) if title and any(b[0] == "text" for b in blocks) else None
+
+
+def test_rendered_captures_against_line_automaton(spark):
+    rng = random.Random(8)
+    lines = ["Text of a line", "  more\ttext ", "", "", "## Heading [a](b)", "#No blank", "---", "***", "* * *", "===", "Loading diagram...", "![alt](i.png)", "![ ](/j.png?a=(b))", "![x]()", "[![p](q.png)](https://t)", "[![](q.png)]( )", "[link](u) and ![in](line.png) text", "Markdown Content:", "Title: later", "___", "[-](u)", "a\u00a0b", "![a](b)](c)", "- item"]
+    heads = ["Title: T  t\n", "Title:\n\nNext line\n", "", "URL Source: x\n", "Title: \n"]
+    raws = [rng.choice(heads) + rng.choice(["\nMarkdown Content:", "\nMarkdown Content:\n", "\n"]) + rng.choice(["\n", "\r\n"]).join(rng.choices(lines, k=rng.randrange(0, 14))) for _ in range(600)] + ["", None, "no title, no marker", "Markdown Content:\n# Only heading", "Markdown Content:\n![a](b)"]
+    docs = spark.createDataFrame([(str(i), r) for i, r in enumerate(raws)], "url string, raw_text string")
+    got = {int(r["url"]): (r["title"], [tuple(b) for b in r["blocks"]]) for r in captures.rendered_article(docs).collect()}
+    want = {i: m for i, r in enumerate(raws) if (m := rendered_model(r or ""))}
+    assert got == want and 200 < len(want) < 600
+    one = captures.rendered_article(docs.filter("url = '%d'" % min(want))).first()
+    texts = [b[2] for b in want[min(want)][1] if b[0] == "text"]
+    assert one["body"] == "\n\n".join(texts) and one["description"] == texts[0]
+
+
+def test_titles_of_documents(spark):
+    mds = ['---\nTitle:  "Hello   World"\n---\nBody', "---\ntitle: 'x'\n---", "---\ntitle: x\n--- no end", "a\nTitle: In  text\nb", "# H", None, "---\ntitle: ''\n---\n"]
+    assert values(spark, text.frontmatter_title, mds) == ["Hello World", "x", None, None, None, None, None]
+    assert values(spark, lambda c: text.document_title(c, F.lit("https://u@A.b:1/x")), mds) == ["Hello World", "x", "a.b", "In text", "a.b", "a.b", "a.b"]
+    assert values(spark, lambda c: text.document_title(c, F.lit(None)), ["# H"]) == ["Untitled"]
+
+
+def test_subtitle_documents(spark):
+    videos = spark.createDataFrame([("v", "en", "My talk", "https://v"), ("w", "id", None, None)], "video_id string, lang string, title string, source string")
+    plain = spark.createDataFrame([("v", "en", "one\ntwo")], "video_id string, lang string, transcript string")
+    timed = spark.createDataFrame([("v", "en", "[00:00:01] one ")], "video_id string, lang string, transcript string")
+    bar = "=" * 80
+    rows = {r["video_id"]: r for r in subtitles.subtitle_documents(videos, plain, timed).collect()}
+    assert rows["v"]["markdown"] == f"{bar}\nTITLE: My talk\nSOURCE: https://v\nLANGUAGE: en\n{bar}\n\n# My talk\n\nSource: https://v\n\nLanguage: en\n\n## Transcript With Timestamp\n\n[00:00:01] one\n\n"
+    assert f"Transcript With Timestamp\n\n{subtitles.NO_TIMES}\n\n" in rows["w"]["text"] and rows["w"]["text"].startswith(f"{bar}\nTITLE: \nSOURCE: \nLANGUAGE: id\n")
+    shown = {r["video_id"]: r["text"] for r in subtitles.subtitle_documents(videos, plain, timed, include_timestamp=False).collect()}
+    assert shown["v"].endswith("My talk\n\nSource: https://v\n\nLanguage: en\n\nTranscript\n\none\ntwo\n\n") and shown["w"].endswith("Transcript\n\n\n\n")
