@@ -6,13 +6,15 @@ import tempfile
 from functools import cache
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 
-MAX_LINKS = 400
+#: Links scanned of a page; the bound of a walk's queue by pages to select, and its least.
+MAX_LINKS, QUEUE_PER_PAGE, LEAST_QUEUE = 400, 25, 60
 
 
 def page_links(articles: DataFrame) -> DataFrame:
@@ -53,42 +55,65 @@ def cut(df: DataFrame) -> DataFrame:
     """Lineage ends in a table in the shared folder; a temporary one serves a single machine only."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     df.write.parquet(path := f"{(root or _temporary()).rstrip('/')}/level-{uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl_select(pages: DataFrame, edges: DataFrame, roots: DataFrame, max_pages: int = 10) -> DataFrame:
+def _enqueue(limit: int):
+    """The links of a level that find a place in the queue, and the number each gets in it.
+
+    A root's pages of a level and their links are at most max_pages and MAX_LINKS, so a group is small. When the entry numbered q
+    is scanned, q entries have left the queue: it holds the number of all entries so far, less q.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "link_pos", "url"])
+        last, seen, out = int(pdf["pushed"].iat[0]), set(), []
+        for place, url in zip(pdf["place"], pdf["url"], strict=True):
+            if url not in seen and last - place < limit:
+                last += 1
+                seen.add(url)
+                out.append((pdf["root"].iat[0], url, last))
+        return pd.DataFrame(out, columns=["root", "url", "place"])
+
+    return run
+
+
+def crawl_select(pages: DataFrame, edges: DataFrame, roots: DataFrame, max_pages: int = 10, queue_limit: int | None = None) -> DataFrame:
     """root, url, order: pages in the order of a first-in first-out walk from each root.
 
     pages: url, ok. edges: src, link_pos, dst. A page that is absent or not ok takes no place and its
     links are not followed; a root that fails selects nothing. A level is one equi-join on the source
     and one anti-join with what was queued before. A URL finds the page stored under it, or under it
     with a fragment; a root with a fragment finds its page, keeps its own URL, and may meet that page
-    again by a link. An archive root gives its original URL and follows no links. The walk's queue has
-    no bound: the reference's drops only ends of queues, after 24 times max_pages failures.
+    again by a link. An archive root gives its original URL and follows no links. The queue has a
+    bound: while it is full a page's links are passed by, and a later page may queue them again.
     """
+    limit = queue_limit or max(max_pages * QUEUE_PER_PAGE, LEAST_QUEUE)
     bare = lambda c: F.regexp_replace(c, "#.*$", "")
     named = pages.filter("ok").select("url", F.explode(F.array(F.struct(F.col("url").alias("k"), F.lit(0).alias("r")), F.struct(bare("url").alias("k"), F.lit(1).alias("r")))).alias("n"))
     known = cut(named.groupBy(F.col("n.k").alias("key")).agg(F.min(F.struct("n.r", "url")).alias("p")).select("key", F.col("p.url").alias("page")))
     tries = roots.select("root").distinct().select("root", F.posexplode(F.array(F.col("root"), bare("root"))).alias("r", "key"))
     start = tries.join(known, "key").groupBy("root").agg(F.min(F.struct("r", "page")).alias("p"))
-    front = cut(start.select("root", F.col("root").alias("url"), F.col("p.page").alias("page"), F.lit(1).cast("long").alias("order")))
-    chosen, queued = front, front.select("root", "url")
+    one = F.lit(1).cast("long")
+    front = cut(start.select("root", F.col("root").alias("url"), F.col("p.page").alias("page"), one.alias("order"), one.alias("place")))
+    chosen, queued = front.drop("place"), front.select("root", "url", "place")
     front = front.filter(U.archive_original_url(F.col("root")).isNull())
     shown = lambda df: df.select(U.unwrap_archive_url(F.col("root")).alias("root"), U.unwrap_archive_url(F.col("url")).alias("url"), "order")
     while True:
         links = front.join(edges, front["page"] == edges["src"]).filter(U.queue_scope(F.col("dst"), F.col("root")))
-        new = links.groupBy("root", F.col("dst").alias("url")).agg(F.min(F.struct("order", "link_pos")).alias("by")).join(queued, ["root", "url"], "left_anti")
-        new = cut(new)
+        found = links.select("root", F.col("dst").alias("url"), "place", F.col("link_pos").cast("long").alias("link_pos")).join(queued.select("root", "url"), ["root", "url"], "left_anti")
+        pushed = queued.groupBy("root").agg(F.max("place").alias("pushed"))
+        new = cut(found.join(pushed, "root").groupBy("root").applyInPandas(_enqueue(limit), "root string, url string, place long"))
         if new.isEmpty():
             return shown(chosen)
-        queued = cut(queued.union(new.select("root", "url")))
+        queued = cut(queued.union(new))
         had = chosen.groupBy("root").agg(F.max("order").alias("had"))
-        rank = F.row_number().over(W.partitionBy("root").orderBy("by.order", "by.link_pos", "url"))
-        live = new.join(known.withColumnRenamed("key", "url"), "url").withColumn("rank", rank).join(had, "root").select("root", "url", "page", (F.col("had") + F.col("rank")).alias("order"))
+        rank = F.row_number().over(W.partitionBy("root").orderBy("place"))
+        live = new.join(known.withColumnRenamed("key", "url"), "url").withColumn("rank", rank).join(had, "root").select("root", "url", "page", (F.col("had") + F.col("rank")).alias("order"), "place")
         front = cut(live.filter(F.col("order") <= max_pages))
         if front.isEmpty():
             return shown(chosen)
-        chosen = cut(chosen.unionByName(front))
+        chosen = cut(chosen.unionByName(front.drop("place")))

@@ -1,7 +1,9 @@
-"""Versions, retention and run lists. Sorts carry hashes, not texts."""
+"""Versions, retention and run lists. Windows rank keys, times and hashes; contents meet the rows that stay by a join."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,20 +38,62 @@ def changed_versions(history: DataFrame) -> DataFrame:
     return history.withColumn("__old", before).filter(F.col("__old").isNull() | (F.col("__old") != F.col("signature"))).drop("__old")
 
 
-def cap_history(history: DataFrame, keep: int = KEEP_HISTORY) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy("site", "slug", "ext").orderBy(F.col("collected_at").desc()))
-    return history.withColumn("__nth", nth).filter(F.col("__nth") <= keep).drop("__nth")
-
-
 def masked_content(ext: Column, content: Column) -> Column:
     date = F.regexp_replace(content, r"(^|\n)DATE: [^\n]*", "$1DATE: #")
     return F.when(ext == "md", F.regexp_replace(date, r"(^|\n)collectedAt: [^\n]*", "$1collectedAt: #")).when(ext == "txt", date).otherwise(content)
 
 
+def _kept(history: DataFrame, group: list[Column], narrow: list[Column], keep: int) -> DataFrame:
+    """The newest `keep` rows of each group; of rows with equal keys and times those with the least digests."""
+    digest = F.sha2(F.coalesce("content", F.lit("-")), 256)
+    rows = history.select("site", "slug", "ext", "collected_at", digest.alias("__digest"), *narrow)
+    nth = F.row_number().over(W.partitionBy(*group).orderBy(F.col("collected_at").desc(), "__digest"))
+    stay = rows.withColumn("__nth", nth).filter(F.col("__nth") <= keep).groupBy("site", "slug", "ext", "collected_at", "__digest").agg(F.count("*").alias("__times"))
+    keys = ("site", "slug", "ext", "collected_at")
+    stay = stay.select(*[F.col(c).alias(f"__{c}") for c in keys], "__digest", "__times")
+    found = history.join(stay, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), keys, digest == F.col("__digest")))
+    # rows that repeat key, time and content: as many as the ranking kept
+    return found.dropDuplicates([*keys, "__digest"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*history.columns)
+
+
+def cap_history(history: DataFrame, keep: int = KEEP_HISTORY) -> DataFrame:
+    """The newest versions of each article and format."""
+    return _kept(history, [F.col(c) for c in ("site", "slug", "ext")], [], keep)
+
+
 def dedupe_history(history: DataFrame) -> DataFrame:
     """Among equal contents (dates masked) of an article and format the newest stays."""
-    same = W.partitionBy("site", "slug", "ext", F.sha2(masked_content(F.col("ext"), F.col("content")), 256)).orderBy(F.col("collected_at").desc())
-    return history.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__nth")
+    same = F.sha2(masked_content(F.col("ext"), F.col("content")), 256).alias("__same")
+    return _kept(history, [F.col(c) for c in ("site", "slug", "ext", "__same")], [same], 1)
+
+
+#: What an article is written as.
+FORMATS = ["md", "txt", "json"]
+
+
+def format_versions(articles: DataFrame, latest: DataFrame) -> DataFrame:
+    """site, slug, ext, collected_at, content, signature: the files that a run has to write.
+
+    articles: site, slug, collected_at, signature and a text per format. latest: site, slug, ext, signature, digest (sha256 of what is
+    stored). An article whose signature is the stored one writes nothing; of a changed one, each format whose text is
+    the stored one writes nothing. Only keys and digests of what is stored are read, and one row per article and format is joined.
+    """
+    old = latest.groupBy("site", "slug").agg(F.max("signature").alias("__old"), F.map_from_entries(F.collect_list(F.struct("ext", "digest"))).alias("__digests"))
+    changed = articles.join(old, ["site", "slug"], "left").filter(~F.col("signature").eqNullSafe(F.col("__old")))
+    files = F.explode(F.array(*[F.struct(F.lit(x).alias("ext"), F.col(x).alias("content")) for x in FORMATS]))
+    rows = changed.select("site", "slug", "collected_at", "signature", "__digests", files.alias("f")).select("site", "slug", "f.ext", "collected_at", "f.content", "signature", "__digests")
+    stored = F.try_element_at("__digests", F.col("ext"))
+    return rows.filter(~F.sha2("content", 256).eqNullSafe(stored)).drop("__digests")
+
+
+def article_files(articles: DataFrame, documents: DataFrame) -> DataFrame:
+    """site, slug, collected_at, signature, md, txt, json: both documents of an article, and its columns as JSON.
+
+    articles: page_id, site, slug, collected_at, signature and the article's columns. documents: page_id, md, txt.
+    """
+    rest = [c for c in articles.columns if c not in ("page_id", "site", "slug", "collected_at", "signature")]
+    made = articles.withColumn("json", F.concat(F.to_json(F.struct(*rest), {"ignoreNullFields": "false", "pretty": "true"}), F.lit("\n")))
+    return made.join(documents, "page_id").select("site", "slug", "collected_at", "signature", *FORMATS)
 
 
 def exportable_pages(pages: DataFrame) -> DataFrame:
@@ -108,6 +152,15 @@ def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
     return runs.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def site_scope(scope: Column) -> Column:
+    """The folder that a typed site means: an empty scope has none, a plain host is its own, anything else is read as a URL."""
+    raw = F.lower(F.trim(F.coalesce(scope, F.lit(""))))
+    folder = lambda u: site_folder(u)
+    return F.when(raw == "", None).when(F.contains(raw, F.lit("://")), folder(raw)).when(raw.rlike("^[a-z0-9.-]+$"), raw).otherwise(folder(F.concat(F.lit("https://"), raw)))
+
+
 def purge_site(df: DataFrame, scope: str) -> DataFrame:
-    url = scope if "://" in scope else f"https://{scope}"
-    return df.filter(~F.col("site").eqNullSafe(site_folder(F.lit(url))))
+    """df without the rows of a site; the scope `all` leaves none, and one that names no site leaves all."""
+    if scope.strip().lower() == "all":
+        return df.limit(0)
+    return df.filter(F.coalesce(F.col("site") != site_scope(F.lit(scope)), F.lit(True)))

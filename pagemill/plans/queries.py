@@ -154,6 +154,34 @@ def crawl_select(spark, d):
     return L.crawl_select(pages.select("url", (F.col("page_id") % 7 != 3).alias("ok")), edges, roots)
 
 
+@query(f"""WITH RECURSIVE {S_LINKS}, g AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY host) AS many FROM g),
+a AS (SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS i FROM (SELECT DISTINCT e.url, g.host FROM e JOIN g USING (page_id))),
+s AS (SELECT a.url, k.page_id FROM a JOIN k ON k.host = a.host AND a.i % k.many = k.i UNION SELECT url, page_id FROM k),
+l AS (SELECT page_id, list(url ORDER BY link_pos) AS next FROM e WHERE link_pos <= 400 GROUP BY page_id),
+n AS (SELECT s.url, s.page_id % 7 <> 3 AS ok, coalesce(next, []) AS next FROM s LEFT JOIN l USING (page_id)),
+w AS (SELECT url AS root, [url] AS queue, [url] AS seen, CAST([] AS VARCHAR[]) AS got FROM k WHERE i = 0 AND page_id % 7 <> 3
+  UNION ALL SELECT root, list_concat(queue[2:], new), list_concat(seen, new), CASE WHEN ok THEN list_append(got, queue[1]) ELSE got END
+  FROM (SELECT w.*, n.ok, list_filter(CASE WHEN n.ok THEN n.next ELSE [] END, lambda x: NOT list_contains(w.seen, x) AND {S_ORIGIN.format("x")} = {S_ORIGIN.format("w.root")})[1 : greatest(0, 9 - len(w.queue))] AS new
+    FROM w JOIN n ON n.url = w.queue[1] WHERE len(w.got) < 12))
+SELECT root, unnest(got) AS url, unnest(range(1, len(got) + 1)) AS "order" FROM w WHERE len(queue) = 0 OR len(got) = 12""")
+def crawl_links(spark, d):
+    """A walk over the links of the pages themselves, with a queue of 8: each link leads to one of its host's pages, dealt in the order of URLs."""
+    from pyspark.sql import Window as W
+
+    pages = table(spark, d, "pages")
+    edges = L.cut(L.link_edges(L.page_links(H.articles(pages))))
+    host = lambda: W.partitionBy("host")
+    known = pages.select("page_id", "url", U.host(F.col("url")).alias("host"))
+    known = known.withColumn("i", F.row_number().over(host().orderBy("page_id")) - 1).withColumn("many", F.count("*").over(host()))
+    names = edges.join(known.select("page_id", "host"), "page_id").select("url", "host").distinct().withColumn("at", F.row_number().over(host().orderBy("url")) - 1)
+    many = known.groupBy("host").agg(F.first("many").alias("all"))
+    led = names.join(many, "host").select("url", "host", (F.col("at") % F.col("all")).alias("i")).join(known.select("host", "i", "page_id"), ["host", "i"]).select("url", "page_id")
+    served = L.cut(led.union(known.select("url", "page_id")).distinct())
+    links = served.join(edges.select("page_id", "link_pos", F.col("url").alias("dst")), "page_id").select(F.col("url").alias("src"), "link_pos", "dst")
+    return L.crawl_select(served.select("url", (F.col("page_id") % 7 != 3).alias("ok")), links, known.filter("i = 0").select(F.col("url").alias("root")), 12, 8)
+
+
 @query(rf"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '[^a-z0-9.-]', '-', 'g') AS site, url || '::' || page_id AS key, false AS archived, true AS supported,
   lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) = 'http://ththre.example.com' AS in_scope FROM pages""")
 def url_rules(spark, d):
@@ -447,6 +475,19 @@ def retained_history(spark, d):
     return V.dedupe_history(V.cap_history(history(spark, d), 20)).select("site", "slug", "ext", "collected_at")
 
 
+@query("""WITH f AS (SELECT doc_id, source AS site, unnest(['md', 'txt', 'json']) AS ext, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, t || CASE ext WHEN 'md' THEN CASE WHEN doc_id % 2 = 0 THEN ' new' ELSE '' END WHEN 'txt' THEN CASE WHEN doc_id % 5 = 0 THEN ' new' ELSE '' END ELSE '{}' || doc_id END AS content FROM f)
+SELECT site, 'd' || doc_id AS slug, ext, md5(content) AS content FROM n WHERE doc_id % 3 = 2 OR (doc_id % 4 <> 0 AND content <> t)""")
+def format_versions(spark, d):
+    """A run over stored articles: a third are new, a quarter have the stored signature; of the others the formats whose text has changed."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("site"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"), F.coalesce("text", F.lit("")).alias("t"))
+    new = lambda k: F.concat("t", F.when(F.col("doc_id") % k == 0, " new").otherwise(""))
+    signed = F.md5(F.concat("t", F.when(F.col("doc_id") % 4 != 0, "later").otherwise("")))
+    run = docs.select("site", "slug", F.lit(2).alias("collected_at"), signed.alias("signature"), new(2).alias("md"), new(5).alias("txt"), F.concat("t", F.lit("{}"), F.col("doc_id").cast("string")).alias("json"))
+    stored = docs.filter("doc_id % 3 != 2").select("site", "slug", F.md5("t").alias("signature"), F.sha2("t", 256).alias("digest"), F.explode(F.array(*map(F.lit, V.FORMATS))).alias("ext"))
+    return V.format_versions(run, stored).select("site", "slug", "ext", F.md5("content").alias("content"))
+
+
 def run_pages(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("order"), (F.col("event_type") == "click").alias("is_article"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("site"), F.col("event_type").alias("title"), F.unix_micros(F.col("ts").cast("timestamp")).alias("collected_at"))

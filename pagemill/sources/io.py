@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import site_folder
+from pagemill.operators.versions import format_versions, site_scope
 
 MAX_SUBTITLE_BYTES = 10 * 1024 * 1024
 RUN_SCHEMA = "id string, site string, createdAt string, rootUrl string, maxPages int, crawledPages int, articleFiles int, runDir string, resultFile string"
@@ -48,3 +49,72 @@ def write_runs(df: DataFrame, path: str, per_site: bool = False) -> None:
 
 def export_page_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+STORED = "slug string, ext string, collected_at timestamp, content string, signature string, digest string, site string"
+
+
+class ArticleStore:
+    """Article files as two tables, `latest` (one row per article and format) and `history` (one per version), partitioned by site.
+
+    A run reads of `latest` keys and digests of its own sites only, adds its versions to `history` in a partition of its own name,
+    and replaces the partitions of `latest` that it changes. Run again after a loss it writes the same: its history partition is
+    overwritten, and latest is the newest of what stood there and of the run's own versions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*("site", "run")[: 1 + (name == "history")]).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def latest(self) -> DataFrame:
+        return self._read("latest", STORED)
+
+    def history(self) -> DataFrame:
+        return self._read("history", f"{STORED}, run string")
+
+    def _replace(self, df: DataFrame, name: str) -> None:
+        """The site partitions that df has rows of; others stay untouched."""
+        by = ["site", "run"] if name == "history" else ["site"]
+        df.repartition(*by, F.pmod(F.xxhash64("slug"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
+
+    def publish(self, articles: DataFrame, run: str) -> None:
+        """articles: site, slug, collected_at, signature, md, txt, json; one row per article. run: a name that no other run has."""
+        sites = articles.select("site").distinct()
+        before = self.history().filter(F.col("run") == run).select("site", "slug", "ext", "collected_at", "signature", "digest")
+        # what this very run has stored before it was lost is no earlier version
+        old = self.latest().join(sites, "site", "left_semi").join(before, ["site", "slug", "ext", "collected_at", "signature", "digest"], "left_anti")
+        new = format_versions(articles, old.select("site", "slug", "ext", "signature", "digest")).withColumn("digest", F.sha2("content", 256))
+        self._replace(new.withColumn("run", F.lit(run)).select(*[c.split()[0] for c in STORED.split(", ")], "run"), "history")
+        mine = self.history().filter(F.col("run") == run).drop("run")
+        touched = mine.select("site").distinct()
+        # an article has one signature: of its formats that stay as they are too
+        signed = mine.groupBy("site", "slug").agg(F.max("signature").alias("__new"))
+        stay = self.latest().join(touched, "site", "left_semi").join(mine.select("site", "slug", "ext"), ["site", "slug", "ext"], "left_anti")
+        stay = stay.join(signed, ["site", "slug"], "left").withColumn("signature", F.coalesce("__new", "signature")).drop("__new")
+        whole = stay.unionByName(mine)
+        # Spark can't overwrite what it reads: the new partitions are written aside first
+        aside = f"{self.path}/_aside-{run}"
+        whole.write.mode("overwrite").parquet(aside)
+        self._replace(self.spark.read.schema(whole.schema).parquet(aside), "latest")
+        self._drop(aside)
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def purge(self, scope: str) -> list[str]:
+        """Deletes the folders of a site, or of all sites for `all`; a scope that names no site is an error. The folders that went."""
+        kinds = ("latest", "history")
+        if scope.strip().lower() == "all":
+            gone = [f"{self.path}/{k}" for k in kinds]
+        else:
+            site = self.spark.range(1).select(site_scope(F.lit(scope))).first()[0]
+            if not site:
+                raise ValueError("the scope is neither all nor a site")
+            gone = [f"{self.path}/{k}/site={site}" for k in kinds]
+        for folder in gone:
+            self._drop(folder)
+        return gone

@@ -7,15 +7,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions.text import slugify
 from pagemill.functions.urls import site_folder
 from pagemill.operators.html_nodes import article_columns, parsed_pages
-from pagemill.operators.links import cut
 from pagemill.operators.requests import accept
 from pagemill.operators.versions import page_signature
 
@@ -71,34 +70,64 @@ def stream_ttl_cache(requests: DataFrame, ttl_s: float = 21600, late: str = "10
 VERSION = "site string, slug string, collected_at timestamp, url string, article_title string, content string, description string, published_at string, signature string"
 
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def article_rows(pages: DataFrame, collected_at: Column) -> DataFrame:
     """Rows of captures; the signature also covers the ordered blocks with their links, tables and images. A column collected_at of `pages` goes before the one given."""
-    taken = pages.select(F.col("page_id"), "url", "html", (F.col("collected_at").cast("timestamp") if "collected_at" in pages.columns else collected_at).alias("at"))
-    # a page and its time travel as one through the parser: the row number stands for both
-    rows = cut(taken.withColumn("page_id", F.monotonically_increasing_id()))
-    df = article_columns(parsed_pages(rows), blocks=True).join(rows.select("page_id", "at"), "page_id")
-    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), F.col("at").alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at", "content_blocks")
+    at = F.coalesce(F.col("collected_at").cast("timestamp"), collected_at) if "collected_at" in pages.columns else collected_at
+    # the time takes the place of page_id through the parser, so that nothing has to be joined or written for it
+    df = article_columns(parsed_pages(pages.select(F.unix_micros(at.cast("timestamp")).alias("page_id"), "url", "html")), blocks=True)
+    df = df.select(site_folder(F.col("url")).alias("site"), slugify(F.col("article_title")).alias("slug"), F.timestamp_micros("page_id").alias("collected_at"), "url", "article_title", F.col("article_body_text").alias("content"), "description", "published_at", "content_blocks")
     return df.withColumn("signature", page_signature("url", "article_title", "description", "content", "content_blocks", "published_at")).drop("content_blocks")
 
 
+class LatestSignature(StatefulProcessor):
+    """Of a URL's rows those that differ from the row before; the state is the signature of the last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "signature string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((initialState["signature"].iat[0],))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["collected_at", "signature"], kind="stable")
+        before = pdf["signature"].shift()
+        before.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        self.last.update((pdf["signature"].iat[-1],))
+        yield pdf[pdf["signature"] != before].drop(columns="key")
+
+    def close(self) -> None:
+        pass
+
+
 def incremental_extract(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of captures is extracted, and each that differs from the one before of its URL is a new version in target.
+    """Captures are extracted, and each that differs from the one before of its URL is a new version in target.
 
     An article is its URL: pages with equal titles stay apart, and `assign_article_dirs` names them when they are exported. Captures
-    of one URL in one batch are compared in the order of collected_at. A batch writes a folder of its own, so run twice it writes the
-    same; of what is stored only URLs, times and signatures are read.
+    of one URL in one batch are compared in the order of collected_at. The signature last seen of each URL is keyed state (on disk,
+    changes only are saved), so a batch touches the state of its own URLs, however much is stored; a new checkpoint takes the
+    signatures once from what target holds. A batch writes a folder of its own, so run twice it writes the same.
     """
-    spark, run = stream.sparkSession, zlib.crc32(checkpoint.encode())
+    spark, run, columns = stream.sparkSession, zlib.crc32(checkpoint.encode()), [c.split()[0] for c in VERSION.split(", ")]
     spark.createDataFrame([], f"{VERSION}, batch string").write.mode("ignore").partitionBy("batch").parquet(target)
+    # a null URL is a key of its own
+    key = F.coalesce("url", F.lit("")).alias("key")
+    stored = spark.read.schema(VERSION).parquet(target).groupBy(key).agg(F.max_by("signature", F.struct("collected_at", "signature")).alias("signature"))
+    rows = article_rows(stream, F.current_timestamp()).select(key, *columns)
+    new = rows.groupBy("key").transformWithStateInPandas(LatestSignature(), VERSION, "Append", "None", stored.groupBy("key"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        mine = f"{run}-{epoch}"
-        stored = df.sparkSession.read.schema(f"{VERSION}, batch string").parquet(target).filter(F.col("batch") != mine)
-        latest = stored.groupBy("url").agg(F.max_by("signature", "collected_at").alias("stored"))
-        rows = article_rows(df, F.current_timestamp())
-        before = F.lag("signature").over(W.partitionBy("url").orderBy("collected_at", "signature"))
-        rows = rows.withColumn("before", before).join(latest, "url", "left")
-        rows = rows.filter(~F.col("signature").eqNullSafe(F.coalesce("before", "stored")))
-        rows.select([c.split()[0] for c in VERSION.split(", ")]).write.mode("overwrite").parquet(f"{target}/batch={mine}")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        df.write.mode("overwrite").parquet(f"{target}/batch={run}-{epoch}")
+
+    # the query takes these when it starts; the session has its own again after that
+    own = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        return new.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

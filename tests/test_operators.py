@@ -3,9 +3,11 @@
 import random
 import re
 import time
+from collections import Counter, defaultdict
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import gates, text, urls
@@ -425,3 +427,121 @@ def test_subtitle_documents(spark):
     assert f"Transcript With Timestamp\n\n{subtitles.NO_TIMES}\n\n" in rows["w"]["text"] and rows["w"]["text"].startswith(f"{bar}\nTITLE: \nSOURCE: \nLANGUAGE: id\n")
     shown = {r["video_id"]: r["text"] for r in subtitles.subtitle_documents(videos, plain, timed, include_timestamp=False).collect()}
     assert shown["v"].endswith("My talk\n\nSource: https://v\n\nLanguage: en\n\nTranscript\n\none\ntwo\n\n") and shown["w"].endswith("Transcript\n\n\n\n")
+
+
+def test_versions_by_format_and_store(spark, tmp_path):
+    day, store = lambda k: datetime(2024, 1, k), io.ArticleStore(spark, str(tmp_path / "store"))
+    schema = "site string, slug string, collected_at timestamp, signature string, md string, txt string, json string"
+    runs = [
+        [("s", "a", day(1), "1", "m1", "t1", "j1"), ("s", "b", day(1), "1", "m", "t", "j"), ("u", "c", day(1), "1", "m", "t", "j")],
+        [("s", "a", day(2), "1", "m1 later", "t1 later", "j1 later"), ("s", "b", day(2), "2", "m", "t2", "j2")],  # a: only its date; b: not its Markdown
+        [("s", "a", day(3), "3", "m3", "t1", "j3"), ("v", "d", day(3), "1", "m", None, "j")],
+    ]
+    for k, rows in enumerate(runs):
+        for _ in range(1 + (k > 0)):  # a run that is lost and runs again writes the same
+            store.publish(spark.createDataFrame(rows, schema), f"r{k}")
+    latest = {(r["site"], r["slug"], r["ext"]): (r["content"], r["signature"], r["collected_at"].day) for r in store.latest().collect()}
+    assert latest == {
+        ("s", "a", "md"): ("m3", "3", 3), ("s", "a", "txt"): ("t1", "3", 1), ("s", "a", "json"): ("j3", "3", 3), ("s", "b", "md"): ("m", "2", 1), ("s", "b", "txt"): ("t2", "2", 2), ("s", "b", "json"): ("j2", "2", 2),
+        ("u", "c", "md"): ("m", "1", 1), ("u", "c", "txt"): ("t", "1", 1), ("u", "c", "json"): ("j", "1", 1), ("v", "d", "md"): ("m", "1", 3), ("v", "d", "json"): ("j", "1", 3),
+    }
+    history = sorted((r["run"], r["slug"], r["ext"], r["content"]) for r in store.history().collect())
+    assert [h for h in history if h[0] != "r0"] == [("r1", "b", "json", "j2"), ("r1", "b", "txt", "t2"), ("r2", "a", "json", "j3"), ("r2", "a", "md", "m3"), ("r2", "d", "json", "j"), ("r2", "d", "md", "m")] and len(history) == 15
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    assert len(store.purge("https://S/x")) == 2 and store.latest().filter("site = 's'").isEmpty()
+    assert files() == {p: t for p, t in before.items() if "site=s" not in str(p)} and store.history().count() == 5
+    with pytest.raises(ValueError):
+        store.purge("  ")
+    assert store.purge("ALL") and store.latest().isEmpty() and store.history().isEmpty()
+    store.publish(spark.createDataFrame(runs[0], schema), "again")
+    assert store.latest().count() == 9
+
+
+def test_site_scopes(spark):
+    assert values(spark, versions.site_scope, [" A.b ", "HTTPS://A.b/x", "a.b/x?y", "", None, "all"]) == ["a.b", "a.b", "a.b", None, None, "all"]
+    df = spark.createDataFrame([("a.b",), ("c",), (None,)], "site string")
+    assert [versions.purge_site(df, x).count() for x in ("all", "a.b", "", "https://c/y", "zz")] == [0, 2, 3, 2, 3]
+
+
+def test_history_cuts_against_lists(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("st"), rng.choice("ab"), rng.choice(["md", "txt", "json"]), rng.randrange(12), rng.choice(["", "x\n"]) + f"DATE: {rng.randrange(3)}\n" + rng.choice(["collectedAt: 1", "collectedAt: 2", "text"])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "site string, slug string, ext string, collected_at int, content string")
+    got = Counter(tuple(r) for r in versions.cap_history(df, 5).collect())
+    per = defaultdict(list)
+    for r in rows:
+        per[r[:3]].append(r[3])
+    assert {k: sorted(v, reverse=True)[:5] for k, v in per.items()} == {k: sorted([r[3] for r in got.elements() if r[:3] == k], reverse=True) for k in per} and not got - Counter(rows)
+    same = defaultdict(list)
+    for s, g, e, t, c in rows:
+        masked = re.sub(r"(^|\n)DATE: [^\n]*", r"\1#", c) if e != "json" else c
+        masked = re.sub(r"(^|\n)collectedAt: [^\n]*", r"\1#", masked) if e == "md" else masked
+        same[s, g, e, masked].append(t)
+    left = versions.dedupe_history(df).collect()
+    assert sorted((r["site"], r["slug"], r["ext"], r["collected_at"]) for r in left) == sorted((*k[:3], max(v)) for k, v in same.items())
+    plan = versions.cap_history(df, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("content" in line for line in plan.splitlines() if "Window " in line)
+
+
+def test_walks_with_a_full_queue(spark):
+    """A first-in first-out walk, step by step, where most pages fail and the queue is often full."""
+    for seed, limit, most in ((1, 5, 12), (2, 3, 40), (3, 60, 10)):
+        rng = random.Random(seed)
+        names = [f"https://h.x/{i}" for i in range(400)]
+        rows = [(a, i, b) for a in names for i, b in enumerate(rng.sample(names, 9))]
+        bad = set(rng.sample(names[1:], 330))
+        out = defaultdict(list)
+        for a, _, b in rows:
+            out[a].append(b)
+        want = []
+        for root in names[:2]:
+            queue, queued, got, failed = [root], {root}, [], 0
+            while queue and len(got) < most:
+                u = queue.pop(0)
+                if u in bad:
+                    failed += 1
+                    if u == root:
+                        break
+                    continue
+                got.append(u)
+                for b in out[u]:
+                    if len(queue) >= limit:
+                        break
+                    if b not in queued:
+                        queued.add(b)
+                        queue.append(b)
+            want += [(root, u, k + 1) for k, u in enumerate(got)]
+        pages = spark.createDataFrame([(n, n not in bad) for n in names], "url string, ok boolean")
+        walk = links.crawl_select(pages, spark.createDataFrame(rows, "src string, link_pos int, dst string"), spark.createDataFrame([(n,) for n in names[:2]], "root string"), most, limit)
+        assert sorted(map(tuple, walk.collect())) == sorted(want)
+
+
+def test_queue_bound_by_default(spark):
+    """2 pages to select: 60 places in the queue. The first page's links fill it, so its 61st is passed by until a later page has it."""
+    names = [f"https://h.x/{i:03d}" for i in range(100)]
+    rows = [(names[0], i, n) for i, n in enumerate(names[1:])] + [(names[60], 0, names[99])]
+    pages = spark.createDataFrame([(n, k in (0, 60, 99)) for k, n in enumerate(names)], "url string, ok boolean")
+    walk = lambda many: [r["url"][-3:] for r in links.crawl_select(pages, spark.createDataFrame(rows, "src string, link_pos int, dst string"), spark.createDataFrame([(names[0],)], "root string"), many).orderBy("order").collect()]
+    assert walk(2) == ["000", "060"] and walk(3) == ["000", "060", "099"]
+
+
+def test_reader_region(spark):
+    said, linked = "Words of the story go on, and on, for a while. " * 3, "<a href='/x'>More of the same kind of headline</a> "
+    pages = [
+        # no article, no main: the body would take the teasers, the comments and the footer
+        f"<body><div class='teasers'><p>{linked * 4}</p><p>{linked * 4}</p></div><div><div id='c1'><h2>Head</h2><p>{said}</p><p>{said}</p><ul><li>item</li></ul></div></div><div class='comments'><p>{said}</p><p>{said}</p><p>{said}</p></div><div class='footer'><p>{said}</p></div></body>",
+        # an article element that is a teaser only
+        f"<body><article><p>Short teaser of a text.</p></article><section class='story-content'><h1>T</h1><p>{said}</p><p>{said}</p><p>{said}</p></section><aside><p>{said}</p></aside></body>",
+        # nothing scores: the chosen root
+        "<body><main><h1>Only</h1><li>" + said + said + "</li></main></body>",
+        # equal scores: the first
+        f"<body><table><tr><td><h3>A</h3><p>{said}{said}</p></td><td><h3>B</h3><p>{said}{said}</p></td></tr></table></body>",
+    ]
+    df = spark.createDataFrame([(i, "https://a.b/", f"<title>t</title>{h}") for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["article_title"], r["article_body_text"].count("Words of the story") // 3, r["headings"]) for r in html_nodes.readable_article(html_nodes.parsed_pages(df)).collect()}
+    assert got == {0: ("Head", 2, ["Head"]), 1: ("T", 3, ["T"]), 2: ("Only", 2, ["Only"]), 3: ("A", 2, ["A"])}
+    deep = "<div>" * 20_000 + "<p>" + said + "</p>"
+    began = time.time()
+    html_nodes.parse_page(deep)
+    assert time.time() - began < 20
