@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WHITE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_OTHER = r"\t-\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_WHITE = rf"\s{_OTHER}"
 #: White space as browsers have it; the same pattern works in Java and RE2.
 SPACE = f"[{_WHITE}]+"
 HEADING = "^h[1-6]$"
 
 
 def _runs(more: str = "") -> str:
-    """Runs of white space (and `more`) that are not one blank already; letters and digits are turned away by the first test."""
-    white = rf"[^0-9A-Za-z\x{{a1}}-\x{{167f}}]&&[{_WHITE}{more}]"
-    return f"[{white}]{{2,}}|[{white}&&[^ ]]"
+    """Runs of white space (and `more`) that are not one blank already.
+
+    The first test, of two ranges, turns most characters away; what it lets by is looked at again from behind.
+    """
+    return rf"[[^!-\x{{9f}}\x{{a1}}-\x{{167f}}]{more}](?:(?<=[{_OTHER}{more}])[{_WHITE}{more}]*|(?<= )[{_WHITE}{more}]+)"
 
 
 def collapse(c: Column) -> Column:

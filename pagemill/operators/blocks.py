@@ -91,53 +91,69 @@ def clean_blocks(blocks: DataFrame, skip=SECTION_SKIP, stop=STOP, section_stop=S
 
 
 def render_block_md(tag: Column, text: Column) -> Column:
-    t, c = F.lower(tag), collapse(text)
+    t = F.lower(tag)
     raw = F.trim(F.replace(text, F.lit("\r\n"), F.lit("\n")))
     fence = F.when(F.contains(raw, F.lit("```")), "````").otherwise("```")
     hashes = F.repeat(F.lit("#"), F.greatest(F.lit(2), F.try_to_number(F.substring(t, 2, 1), F.lit("9")).cast("int")))
-    return F.when(t == "hr", "------").when(t == "table", raw).when(t == "pre", F.concat(fence, F.lit("\n"), raw, F.lit("\n"), fence)).when(t.rlike(HEADING), F.concat(hashes, F.lit(" "), c)).when(t == "blockquote", F.concat(F.lit("> "), c)).when(t == "li", F.concat(F.lit("- "), c)).otherwise(c)
+    lead = F.when(t.rlike(HEADING), F.concat(hashes, F.lit(" "))).when(t == "blockquote", "> ").when(t == "li", "- ").otherwise("")
+    return F.when(t == "hr", "------").when(t == "table", raw).when(t == "pre", F.concat(fence, F.lit("\n"), raw, F.lit("\n"), fence)).otherwise(F.concat(lead, collapse(text)))
+
+
+def _noted(caption: Column, plain: bool) -> Column:
+    return caption if plain else F.when(caption.rlike("(?i)^https?://"), F.concat(F.lit("[Sumber gambar]("), caption, F.lit(")"))).otherwise(caption)
 
 
 def blocks_to_markdown(blocks: DataFrame, plain: bool = False, unnamed: str = "img") -> DataFrame:
-    """page_id, markdown: rendered blocks in order, images numbered among those kept; `unnamed` stands for a missing alt text."""
+    """page_id, markdown, rendered (how many blocks it has): rendered blocks in order, images numbered among those kept; `unnamed` stands for a missing alt text."""
+    return blocks_to_both(blocks, unnamed).select("page_id", F.col("plain" if plain else "markdown").alias("markdown"), "rendered")
+
+
+def blocks_to_both(blocks: DataFrame, unnamed: str = "img") -> DataFrame:
+    """page_id, markdown, plain, rendered: as blocks_to_markdown, with captions as links and as plain text, in one pass.
+
+    A block is rendered once; an image's caption is put behind it, in either form, when the page is put together.
+    """
     image = F.col("type") == "image"
     number = F.count_if(image).over(_run())
-    cap = collapse(F.col("caption"))
-    shown = cap if plain else F.when(cap.rlike("(?i)^https?://"), F.concat(F.lit("[Sumber gambar]("), cap, F.lit(")"))).otherwise(cap)
     alt = F.coalesce(F.nullif(collapse(F.col("alt")), F.lit("")), F.replace(F.lit(unnamed), F.lit("{}"), F.col("no").cast("string")))
-    noted = F.concat(F.lit("\n" if plain else "\n\n"), F.lit("_Gambar "), F.col("no").cast("string"), F.lit(": "), shown, F.lit("_"))
-    picture = F.concat(F.lit("!["), alt, F.lit("]("), F.col("src"), F.lit(")"), F.when(cap != "", noted).otherwise(""))
-    df = blocks.withColumn("no", number).withColumn("md", F.when(image, picture).otherwise(render_block_md(F.col("tag"), F.col("text")))).filter(F.col("md") != "")
-    return df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "md"))).alias("b")).select("page_id", F.array_join(F.transform("b", lambda x: x["md"]), "\n\n").alias("markdown"))
+    picture = F.concat(F.lit("!["), alt, F.lit("]("), F.col("src"), F.lit(")"))
+    made = F.when(image, picture).otherwise(render_block_md(F.col("tag"), F.col("text")))
+    rows = blocks.withColumn("no", number).select("page_id", "pos", made.alias("md"), F.when(image, collapse(F.col("caption"))).alias("cap"), "no")
+    all_of = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "md", "cap", "no"))).alias("b"))
+    # empty texts go here, where each text is made already
+    kept = all_of.select("page_id", F.filter("b", lambda x: x["md"] != "").alias("b"))
+    note = lambda x, plain: F.concat(F.lit("\n" if plain else "\n\n"), F.lit("_Gambar "), x["no"].cast("string"), F.lit(": "), _noted(x["cap"], plain), F.lit("_"))
+    joined = lambda plain: F.array_join(F.transform("b", lambda x: F.concat(x["md"], F.when(F.coalesce(x["cap"], F.lit("")) != "", note(x, plain)).otherwise(""))), "\n\n")
+    return kept.filter(F.size("b") > 0).select("page_id", joined(False).alias("markdown"), joined(True).alias("plain"), F.size("b").cast("long").alias("rendered"))
 
 
 _BAR = "=" * 80
 
 
-def _documents(articles: DataFrame, blocks: DataFrame, collected_at: Column, plain: bool) -> DataFrame:
-    """The article's columns with shown (its date), body (rendered blocks) and described (its description lines)."""
-    shown = display_date(F.coalesce(F.col("published_at"), collected_at))
-    described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("_"), "description", F.lit("_\n\n* * *\n\n"))).otherwise("")
-    body = F.coalesce(F.trim("markdown"), F.lit(""))
-    return articles.join(blocks_to_markdown(blocks, plain), "page_id", "left").withColumns({"shown": shown, "described": described, "body": body})
-
-
 def _header() -> Column:
     bar = F.lit(_BAR)
     return F.concat_ws("\n", bar, F.concat(F.lit("TITLE: "), "article_title"), F.concat(F.lit("SOURCE: "), "url"), F.concat(F.lit("DATE: "), "shown"), bar, F.lit("\n"))
 
 
+def article_documents(articles: DataFrame, blocks: DataFrame, collected_at: Column) -> DataFrame:
+    """page_id, markdown, text: both documents of an article, from blocks rendered once.
+
+    Markdown: header, title, source, description and cleaned blocks, without blocks the body's paragraphs. Text: header,
+    description and cleaned blocks with plain captions, without blocks the body as it is.
+    """
+    shown = display_date(F.coalesce(F.col("published_at"), collected_at))
+    described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("_"), "description", F.lit("_\n\n* * *\n\n"))).otherwise("")
+    body = lambda c: F.nullif(F.trim(c), F.lit(""))
+    df = articles.join(blocks_to_both(blocks), "page_id", "left").withColumns({"shown": shown, "described": described})
+    paragraphs = F.filter(F.transform(F.split("article_body_text", "\n\n"), lambda p: collapse(p)), lambda p: p != "")
+    md = F.concat(_header(), F.lit("# "), "article_title", F.lit("\n\nSource: "), "url", F.lit("\n\n"), "described", F.coalesce(body("markdown"), F.array_join(paragraphs, "\n\n"), F.lit("")))
+    txt = F.concat(_header(), "described", F.coalesce(body("plain"), "article_body_text", F.lit("")), F.lit("\n"))
+    return df.select("page_id", F.concat(F.regexp_replace(md, r"\s+\z", ""), F.lit("\n")).alias("markdown"), txt.alias("text"))
+
+
 def article_markdown(articles: DataFrame, blocks: DataFrame, collected_at: Column) -> DataFrame:
-    """page_id, document: header, title, source, description and cleaned blocks; without blocks, the body's paragraphs."""
-    df = _documents(articles, blocks, collected_at, plain=False)
-    paragraphs = F.filter(F.transform(F.split("article_body_text", "\n\n"), collapse), lambda p: p != "")
-    body = F.when(F.col("body") != "", F.col("body")).otherwise(F.coalesce(F.array_join(paragraphs, "\n\n"), F.lit("")))
-    whole = F.concat(_header(), F.lit("# "), "article_title", F.lit("\n\nSource: "), "url", F.lit("\n\n"), "described", body)
-    return df.select("page_id", F.concat(F.regexp_replace(whole, r"\s+\z", ""), F.lit("\n")).alias("document"))
+    return article_documents(articles, blocks, collected_at).select("page_id", F.col("markdown").alias("document"))
 
 
 def article_text(articles: DataFrame, blocks: DataFrame, collected_at: Column) -> DataFrame:
-    """page_id, document: header, description and cleaned blocks with plain captions; without blocks, the body as it is."""
-    df = _documents(articles, blocks, collected_at, plain=True)
-    body = F.when(F.col("body") != "", F.col("body")).otherwise(F.coalesce("article_body_text", F.lit("")))
-    return df.select("page_id", F.concat(_header(), "described", body, F.lit("\n")).alias("document"))
+    return article_documents(articles, blocks, collected_at).select("page_id", F.col("text").alias("document"))

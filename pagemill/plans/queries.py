@@ -405,10 +405,7 @@ def cleaned_blocks(spark, d):
 r AS (SELECT page_id, pos, CASE WHEN type = 'image' THEN '![img](' || src || ')' WHEN c = '' AND NOT starts_with(tag, 'h') AND tag <> 'li' THEN '' WHEN starts_with(tag, 'h') THEN repeat('#', greatest(2, CAST(tag[2] AS INTEGER))) || ' ' || c WHEN tag = 'li' THEN '- ' || c ELSE c END AS md FROM n)
 SELECT page_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY pos)) AS md5, count(*) AS blocks FROM r WHERE md <> '' GROUP BY page_id""")
 def rendered_markdown(spark, d):
-    blocks = lines(spark, d)
-    md = B.blocks_to_markdown(blocks)
-    n = blocks.filter((F.col("type") == "image") | (B.render_block_md(F.col("tag"), F.col("text")) != "")).groupBy("page_id").agg(F.count("*").alias("blocks"))
-    return md.join(n, "page_id").select("page_id", F.md5("markdown").alias("md5"), "blocks")
+    return B.blocks_to_markdown(lines(spark, d)).select("page_id", F.md5("markdown").alias("md5"), F.col("rendered").alias("blocks"))
 
 
 @query(f"WITH {S_LINES} SELECT page_id, count(*) FILTER (type = 'image') AS images, count(*) FILTER (type = 'text') AS texts FROM l GROUP BY page_id")
@@ -438,9 +435,7 @@ def article_documents(spark, d):
     """Each page as a Markdown and a text document; pages are parsed once, into a written table."""
     parsed = L.cut(H.parsed_pages(table(spark, d, "pages")))
     blocks = B.clean_blocks(H.raw_blocks(parsed, inline=True).withColumn("caption", F.lit("")))
-    articles, day = H.article_columns(parsed), F.lit("2024-01-02 03:04:05")
-    md, txt = B.article_markdown(articles, blocks, day), B.article_text(articles, blocks, day)
-    return md.withColumnRenamed("document", "markdown").join(txt.withColumnRenamed("document", "text"), "page_id")
+    return B.article_documents(H.article_columns(parsed), blocks, F.lit("2024-01-02 03:04:05"))
 
 
 # --- versions and runs
