@@ -19,8 +19,9 @@ listing the pairs of a bucket:
    full sets, and a pair leaves its task only as a confirmed link between two components (at the
    first bands that the two share). Then components run again.
 
-No bucket, class or component is gathered in one task, nothing is capped, batches and blocks are
-bounded in bytes, and documents, links and components never pass through the driver.
+No bucket, class or component is gathered in one task, no bucket or list of candidates is cut (the
+second band of step 3 is the one place where a link may be missed beyond the bands' own chance),
+buckets of more than SPREAD rows meet their centre in parts, batches and blocks are bounded in bytes, and documents, links and components never pass through the driver.
 
 Results for odd input: without words the set is empty, n_shingles is 0 and nothing links; a null
 doc_id links with nothing, has a null component_id and stays; rows that share a doc_id are one
@@ -281,12 +282,12 @@ def find_near(docs: DataFrame) -> DataFrame:
 
     rows = classes.select("id", "n", F.posexplode("bands").alias("band", "key")).distinct()
     buckets = written(rows.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    rows = written(rows.join(buckets, ["band", "key"]), "members")
+    rows = written(joined_hot(rows, buckets, ["band", "key"], "size", ["id"], SPREAD), "members")
     weight = written(rows.groupBy("id").agg(F.sum(F.col("size") - 1).alias("weight")), "weight")
-    centre = rows.join(weight, "id").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("c"))
-    centre = written(centre.select("band", "key", (-F.col("c.id")).alias("c")), "centres")
+    centre = rows.join(weight, "id").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("c"), F.first("size").alias("size"))
+    centre = written(centre.select("band", "key", "size", (-F.col("c.id")).alias("c")), "centres")
     # of two classes always the same one is the centre, so a pair comes once
-    star = written(rows.join(centre, ["band", "key"]).filter("id != c").select("c", "id").distinct(), "star")
+    star = written(joined_hot(rows.drop("size"), centre, ["band", "key"], "size", ["id"], SPREAD).filter("id != c").select("c", "id").distinct(), "star")
     links = _linked(star, classes, docs)
     # a doc_id that has several texts links their classes
     several = written(linkable.groupBy("doc_id").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).filter("s0 != s1").select("doc_id"), "several")
