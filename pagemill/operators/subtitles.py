@@ -96,7 +96,7 @@ def subtitle_languages(meta: DataFrame) -> DataFrame:
     df = meta.select("video_id", names("manual").alias("m"), names("auto").alias("a"))
     df = df.select("video_id", "m", "a", F.explode(F.array_union("m", "a")).alias("code"))
     df = df.select("video_id", "code", F.array_contains("m", F.col("code")).alias("has_manual"), F.array_contains("a", F.col("code")).alias("has_auto"))
-    order = W.partitionBy("video_id").orderBy(F.col("has_manual").desc(), F.col("has_auto").desc(), "code")
+    order = W.partitionBy("video_id").orderBy(F.col("has_manual").desc(), "code")
     return df.withColumn("rank", F.row_number().over(order))
 
 
