@@ -122,11 +122,16 @@ def test_zeros_and_long_numeric_texts():
     rng = random.Random(2)
     texts = ["7 " * 100_000, " ".join(str(rng.randrange(10 ** rng.randrange(1, 8))) for _ in range(50_000))]
     for text in texts:
-        tracemalloc.start()
+        # traced code is many times slower, so time is taken of the whole text and memory of a part
         began, added = time.process_time(), pii.spans_of(text, weights)[1]
-        assert tracemalloc.get_traced_memory()[1] < 150 * len(text) and len(added) < 100
+        assert time.process_time() - began < 60 and len(added) < 100
+        part = text[: len(text) // 8]
+        tracemalloc.start()
+        pii.spans_of(part, weights)
+        most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert time.process_time() - began < 60
+        # a number of two characters is a chunk; the scores that are kept have a bound of their own
+        assert most < 400 * len(part) + (32 << 20)
 
 
 #: Written by hand, not by the generator: (text, added or base spans as text).
