@@ -8,12 +8,14 @@ hash-joined to the digests of known license texts. Wrapping and comment signs do
 
 The table of known texts is fixed and small (hundreds of rows), so Spark broadcasts it by its size.
 
-Two bounds lose what is longer: a sentence over line ends has up to 4000 characters, a span up to 100,000
-(the longest known text has 35,000), so that a text that repeats an opening stays cheap to scan.
-
-Results for odd input: a null doc_id is kept; a long text is scanned whole; an empty table gives no
-rows; null or empty text has no license; repeated rows are scanned each on its
-own; other columns are ignored.
+Whole texts are sought in the normalised words: the text is cut behind every closing phrase, and in each part
+every opening begins a candidate that ends with the part. Sentences over line ends are found likewise, between
+ends of sentences. Only as many characters before an end are read as the longest known text has once normalised,
+so marks, comment signs and blanks of any length lose nothing, and a text that repeats an opening stays cheap.
+
+Results for odd input: a null doc_id is kept, and rows that share a doc_id are told apart by their texts; a long
+text is scanned whole; an empty table gives no rows; null or empty text has no license; repeated rows give equal
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,27 +46,64 @@ KNOWN = [
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright holder", "copyright owner"), ("per cent", "percent"), (r"\(c\)|\x{a9}", "copyright"), ("http:", "https:")]
 WANTED = "(?i)licen[cs]e|permission"
 SENTENCE = r"(?i)((?:licen[cs]ed under|released under|this program is licen[cs]ed|permission )[^\n]*?[.:;])(?:[^0-9A-Za-z]|\z)"
-#: The same over line ends; a sentence may also run past a semicolon. Sentences may overlap.
-_OPENING = r"(?is)(?<![A-Za-z0-9])(?=((?:licen[cs]ed\s+under|released\s+under|this\s+program\s+is\s+licen[cs]ed|permission\s).{0,4000}?"
-WRAPPED = [_OPENING + r"[.:;])(?:[^0-9A-Za-z]|\z))", _OPENING + r"[.:])(?:[^0-9A-Za-z]|\z))"]
-#: Whole texts and headers, wherever they are and however they are wrapped; the longest known has 35,000 characters.
-_WORDS = lambda words: "[^A-Za-z0-9]+".join(words.split())
-SPAN = "(?is)(?<![A-Za-z0-9])(?=(" + "|".join(f"{_WORDS(a)}.{{0,100000}}?{_WORDS(b)}" for a, b in SPANS) + "))"
+#: How a sentence over line ends opens, in normalised words; it may also run past a semicolon.
+OPENING = "licensed under|released under|this program is licensed|permission "
+#: Normalised characters of the longest statement and of the longest published text (GPL-3.0 has 33,000).
+LONGEST_STATEMENT, LONGEST_TEXT = max(len(words) for _, words in KNOWN), 40_000
 #: The spellings of several words, which a line end may part.
 WRAPPED_SPELLINGS = [("copyright holder", "copyright owner"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent")]
 HOLDS = f"{WANTED}|redistribution[^A-Za-z0-9]+and[^A-Za-z0-9]+use|cc0 1|altered[^A-Za-z0-9]+from"
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|\x{a9})[^\n]*"
 
 
-def normalised(text: Column, whole: bool = False) -> Column:
-    """Words of a text; without `whole`, lines that begin as copyright lines are dropped."""
-    out = F.lower(text) if whole else F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+def normalised(text: Column) -> Column:
+    """Words of a text without the lines that begin as copyright lines."""
+    return F.trim(F.regexp_replace(_spelled(F.regexp_replace(F.lower(text), COPYRIGHT, "\n")), "[^a-z0-9]+", " "))
+
+
+def _spelled(text: Column) -> Column:
     for pattern, word in SPELLINGS:
-        out = F.regexp_replace(out, pattern, word)
-    out = F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
-    for words, word in WRAPPED_SPELLINGS if whole else []:
-        out = F.replace(out, F.lit(words), F.lit(word))
-    return out
+        text = F.regexp_replace(text, pattern, word)
+    return text
+
+
+def _whole_words(text: Column) -> Column:
+    """Words of a whole text, copyright lines too; ends of sentences become a line feed, or a tab for a semicolon."""
+    out = F.regexp_replace(_spelled(F.lower(text)), r"[\n\t]", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"[.:](?=[^0-9a-z]|\z)", "\n"), r";(?=[^0-9a-z]|\z)", "\t")
+    return _joined(F.regexp_replace(out, r"[^a-z0-9\n\t]+", " "))
+
+
+def _joined(words: Column) -> Column:
+    for parted, word in WRAPPED_SPELLINGS:
+        words = F.replace(words, F.lit(parted), F.lit(word))
+    return words
+
+
+def _openings(parts: Column, opening: str, longest: int) -> Column:
+    """Digests of all texts that begin with an opening inside a part and end with it."""
+    begun = F.lit(f"(?s)(?<![a-z0-9])(?=((?:{opening}).*))")
+    # One character more than the longest: what the cut makes of a word's rest is too long for any known text.
+    tails = lambda p: F.regexp_extract_all(F.right(F.rtrim(p), F.lit(longest + 1)), begun, F.lit(1))
+    return F.flatten(F.transform(parts, lambda p: F.transform(tails(p), lambda s: F.sha2(s, 256))))
+
+
+def _sentences(words: Column, ends: str) -> Column:
+    """Digests of the sentences over line ends; the rest behind the last end is none."""
+    parts = F.split(words, ends, -1)
+    spaced = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
+    return _openings(F.transform(spaced, _joined), OPENING, LONGEST_STATEMENT)
+
+
+def _texts(words: Column) -> Column:
+    """Digests of all spans from a published text's first words to its next last words."""
+    none = F.array().cast("array<string>")
+
+    def of(first: str, last: str) -> Column:
+        parts = F.filter(F.split(words, f"(?<={last})", -1), lambda p: p.endswith(last))
+        return F.when(words.contains(first) & words.contains(last), _openings(parts, first, LONGEST_TEXT)).otherwise(none)
+
+    return F.concat(*(of(first, last) for first, last in SPANS))
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -78,10 +117,12 @@ def scan(docs: DataFrame) -> DataFrame:
     found_by = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
     pieces = F.concat(F.array(t), F.split(t, r"\n\s*\n", -1), F.split(t, "\n", -1), found_by(SENTENCE))
     wanted = F.array_distinct(F.filter(pieces, lambda p: p.rlike(WANTED)))
-    spans = F.array_distinct(F.concat(*map(found_by, [*WRAPPED, SPAN])))
-    df = docs.select("doc_id", text_of().alias("t"))
-    digests = F.array_distinct(F.concat(F.transform(wanted, lambda p: F.sha2(normalised(p), 256)), F.transform(spans, lambda p: F.sha2(normalised(p, whole=True), 256))))
-    df = written(df.select("doc_id", F.when(t.rlike(HOLDS), F.xxhash64(t)).alias("h"), F.when(t.rlike(HOLDS), digests).alias("digests")), "digests")
+    holds, words, plain = F.col("holds"), F.col("words"), F.col("plain")
+    df = docs.select("doc_id", text_of().alias("t")).withColumn("holds", t.rlike(HOLDS)).withColumn("words", F.when(holds, _whole_words(t)))
+    df = df.withColumn("plain", _joined(F.trim(F.regexp_replace(words, "[^a-z0-9]+", " "))))
+    statements = F.transform(wanted, lambda p: F.sha2(normalised(p), 256))
+    digests = F.array_distinct(F.concat(statements, _sentences(words, "[\n\t]"), _sentences(words, "\n"), _texts(plain)))
+    df = written(df.select("doc_id", F.when(holds, F.xxhash64(t)).alias("h"), F.when(holds, digests).alias("digests")), "digests")
     found = df.filter("h is not null").select("doc_id", "h", F.explode("digests").alias("digest")).join(known(docs.sparkSession), "digest")
     found = found.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hh")).agg(F.array_sort(F.collect_set("license")).alias("found"))
     return df.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hh")), "left").select(
