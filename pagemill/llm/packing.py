@@ -13,7 +13,8 @@ ignores case, which a test checks against whole texts; an unknown chunk is thus
 letters and its tail first. The cache is a speed-up only: chunks beyond it are tokenised each time.
 
 Results for odd input: null and empty texts give one piece holding the end id; repeated rows are
-packed once each; an empty table gives no rows.
+packed once each; a null doc_id is kept; a very long text is cut into pieces, in order; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
