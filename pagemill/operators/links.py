@@ -7,7 +7,7 @@ from functools import cache
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,14 +51,18 @@ def _temporary() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in a table in the shared folder; a temporary one serves a single machine only."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; a temporary folder serves a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    df.write.parquet(path := f"{(root or _temporary()).rstrip('/')}/level-{uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{(root or _temporary()).rstrip('/')}/{label}-{uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage ends in a table in the shared folder."""
+    df.write.parquet(path := shared_path(df.sparkSession, "level"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _enqueue(limit: int):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,31 +105,41 @@ def exportable_pages(pages: DataFrame) -> DataFrame:
     return df.filter(F.col("is_article") | (~F.col("__any") & (F.col("__nth") == 1))).drop("__any", "__nth")
 
 
-def assign_article_dirs(pages: DataFrame) -> DataFrame:
-    """Adds dir: the slug, with -2, -3... for repeats inside a run and site, skipping names that are taken.
-
-    Runs and sites in which a numbered name meets another title's slug are solved in order by a
-    small helper; all others need one window.
-    """
-    df = pages.withColumn("slug", slugify(F.col("title")))
-    nth = F.row_number().over(W.partitionBy("run_id", "site", "slug").orderBy("order"))
-    df = df.withColumn("dir", F.when(nth == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), nth.cast("string"))))
-    clash = df.groupBy("run_id", "site").agg((F.count("*") != F.count_distinct("dir")).alias("clash"))
-    df = df.join(clash, ["run_id", "site"])
-    schema = df.drop("clash").schema
-
-    def number(pdf):
-        pdf, taken = pdf.sort_values("order"), set()
-        for k, slug in zip(pdf.index, pdf["slug"], strict=True):
-            name, n = slug, 1
-            while name in taken:
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of sorted families: the slug, or the first number from 2 that makes a free name. Below a slug's last number all are taken."""
+    family, taken, last = None, set(), {}
+    for pdf in batches:
+        names = []
+        for at, slug in zip(pdf["__family"], pdf["slug"], strict=True):
+            if at != family:
+                family, taken, last = at, set(), {}
+            n = last.get(slug, 1)
+            while (name := slug if n == 1 else f"{slug}-{n}") in taken:
                 n += 1
-                name = f"{slug}-{n}"
+            last[slug] = n
             taken.add(name)
-            pdf.at[k, "dir"] = name
-        return pdf.drop(columns="clash")
+            names.append(name)
+        yield pdf[["__family", "slug", "__nth"]].assign(__dir=names)
+
 
-    return df.filter("not clash").drop("clash").unionByName(df.filter("clash").groupBy("run_id", "site").applyInPandas(number, schema))
+def assign_article_dirs(pages: DataFrame) -> DataFrame:
+    """Adds slug and dir: the slug, with -2, -3... for repeats inside a run and site, skipping names that are taken.
+
+    Only slugs that are alike but for numbers at their end can meet: a family. Families in which a numbered name meets another
+    title's slug are named by a small helper that reads their keys as a sorted stream; all others need one window. A null run or
+    site is one of its own. Of pages with equal run, site, slug and order either may be first.
+    """
+    root = F.regexp_replace("slug", "(-[0-9]+)+$", "").alias("root")
+    df = pages.withColumn("slug", slugify(F.col("title"))).withColumn("__family", F.to_json(F.struct("run_id", "site", root), {"ignoreNullFields": "false"}))
+    df = df.withColumn("__nth", F.row_number().over(W.partitionBy("__family", "slug").orderBy("order")))
+    df = df.withColumn("dir", F.when(F.col("__nth") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("__nth").cast("string"))))
+    keys = df.select("__family", "slug", "__nth", "order", "dir")
+    # one slug's names all differ, so a name met twice is a slug that another one's number made
+    clash = keys.groupBy("__family", "dir").agg(F.count("*").alias("n")).filter("n > 1").select("__family").distinct()
+    rows = keys.drop("dir").join(clash, "__family", "left_semi").repartition("__family").sortWithinPartitions("__family", "order", "slug")
+    named = rows.mapInPandas(_named, "__family string, slug string, __nth int, __dir string")
+    rest = [c for c in pages.columns if c not in ("slug", "dir")]
+    return df.join(named, ["__family", "slug", "__nth"], "left").select(*rest, "slug", F.coalesce("__dir", "dir").alias("dir"))
 
 
 def run_record(pages: DataFrame) -> DataFrame:

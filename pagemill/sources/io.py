@@ -30,9 +30,9 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return df.filter("fmt != ''").withColumn("nth", first).filter("nth = 1").drop("nth")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of runs; a missing site is filled from the root URL; anything else gives no rows."""
-    df = spark.read.schema(RUN_SCHEMA).json(path, multiLine=True).filter("id is not null")
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of runs, or with `lines` what write_runs writes; a missing site is filled from the root URL; anything else gives no rows."""
+    df = spark.read.schema(RUN_SCHEMA).json(path, multiLine=not lines).filter("id is not null")
     return df.withColumn("site", F.coalesce(F.nullif("site", F.lit("")), site_folder(F.col("rootUrl"))))
 
 

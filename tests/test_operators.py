@@ -124,6 +124,22 @@ def test_article_dirs(spark):
     assert [r["dir"] for r in versions.assign_article_dirs(df).orderBy("order").collect()] == ["a", "a-2", "a-3", "b"]
 
 
+def test_article_dirs_in_order(spark):
+    """Against names given one by one: null runs and sites, families of numbered titles, an empty table."""
+    pick = random.Random(5)
+    rows = [(pick.choice([1, 2, None]), i, pick.choice(["s", None]), pick.choice(["a", "a-2", "a-2-2", "A 3", "b", "b-2", "", None])) for i in range(300)]
+    pick.shuffle(rows)
+    schema, taken, want = "run_id long, order long, site string, title string", {}, {}
+    for run, i, site, title in sorted(rows, key=lambda r: r[1]):
+        slug, names = (title or "").lower().replace(" ", "-") or "untitled-article", taken.setdefault((run, site), set())
+        want[i] = next(x for x in [slug, *(f"{slug}-{n}" for n in range(2, 400))] if x not in names)
+        names.add(want[i])
+    got = versions.assign_article_dirs(spark.createDataFrame(rows, schema))
+    assert got.columns == ["run_id", "order", "site", "title", "slug", "dir"]
+    assert {r["order"]: r["dir"] for r in got.collect()} == want and got.count() == 300
+    assert versions.assign_article_dirs(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_crawl(spark):
     rng = random.Random(1)
     names = [f"https://h.x/{i}" for i in range(30)]

@@ -1,7 +1,7 @@
 import pytest
 from conftest import DATA
 
-from pagemill.plans import queries as q
+from pagemill.plans import made_pages, queries as q  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
