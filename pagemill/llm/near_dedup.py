@@ -13,14 +13,17 @@ listing the pairs of a bucket:
 3. rest: only buckets that still hold several components are looked at again. One of more than
    BLOCK rows or SHINGLES shingles is dealt into blocks: members of its largest component once, the
    others, which every new link has at one end, to each block. Where the others fill more than a
-   block, a second shared band splits the bucket first (a pair at 0.75 shares fewer than two bands
-   with probability 2.3e-4), and only what is still so large is dealt in blocks of both kinds.
-   Signatures first tell which members have a partner in another component at all; those get their
-   full sets, and a pair leaves its task only as a confirmed link between two components (at the
-   first bands that the two share). Then components run again.
-
-No bucket, class or component is gathered in one task, no bucket or list of candidates is cut (the
-second band of step 3 is the one place where a link may be missed beyond the bands' own chance),
+   block, the bucket is crowded: a second shared band splits it first, and only what is still so
+   large is dealt in blocks of both kinds. Signatures first tell which members have a partner in
+   another component at all; those get their full sets, and a pair leaves its task only as a
+   confirmed link between two components (at the first bands that the two share). Then components
+   run again;
+4. crowded buckets that hold several components still: pairs without a second shared band. Their
+   members are joined by shingles: ordered rarest first, two sets at 0.75 always share one among
+   the first quarter of each. Groups by these shingles are looked at as in step 3, and those that
+   are too large are dealt in blocks of both kinds, so every pair of them is covered.
+
+No bucket, class or component is gathered in one task, no bucket or list of candidates is cut,
 buckets of more than SPREAD rows meet their centre in parts, batches and blocks are bounded in bytes, and documents, links and components never pass through the driver.
 
 Results for odd input: without words the set is empty, n_shingles is 0 and nothing links; a null
@@ -38,13 +41,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import joined_hot, remove, small_batches, text_of, written
 
 SHINGLE, NUM, DEN = 5, 75, 100
 ROWS, BANDS = 6, 56
-CHECKED, BLOCK, SHINGLES, SPREAD, DEPTH = ROWS * BANDS, 512, 1 << 21, 256, 2
+CHECKED, BLOCK, SHINGLES, SPREAD = ROWS * BANDS, 512, 1 << 21, 256
 #: Signatures (the low 8 bits of each minimum) of a pair at 0.75 agree in fewer than 212 of 336 places with probability 4e-7.
 AGREE = 212
 
@@ -109,6 +113,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingle_set(t).tobytes() for t in batch["t"].to_pylist()], pa.binary())], ["id", "data"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of each text: set tells apart the texts of one id, n is the set's size."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch["t"].to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        names = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        columns = [np.repeat(batch["id"].to_numpy(zero_copy_only=False).astype(np.int64), sizes), np.repeat(names, sizes), np.repeat(sizes, sizes), np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "set", "n", "g"])
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets reach the threshold."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -226,25 +242,66 @@ def _dealt(sided: DataFrame) -> DataFrame:
     return left.union(right)
 
 
-def _blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (band, key, id, n, comp) of buckets -> _PLACE: those that can still link components, in groups of bounded size."""
-    now, out = rows.select(F.col("band").cast("string").alias("path"), "key", "id", "n", "comp"), []
-    for depth in range(DEPTH):
-        # a bucket of two was compared by its star
-        groups = now.groupBy("path", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("total")).filter(f"c0 != c1 and size > {1 if depth else 2}")
-        groups = written(groups.drop("c0", "c1"), "groups")
-        mine = written(joined_hot(now, groups, ["path", "key"], "size", ["id"], SPREAD), "grouped")
-        fits = (F.col("size") <= BLOCK) & (F.col("total") <= SHINGLES)
-        whole = {"i": F.lit(0), "j": F.lit(0), "left": F.lit(True), "right": F.lit(True), "major": F.lit(False)}
-        out.append(mine.filter(fits).withColumns(whole).select(_PLACE))
-        sided = _sided(mine.filter(~fits))
-        out.append(_dealt(sided.filter("rights = 1") if depth < DEPTH - 1 else sided))
-        many = sided.filter("rights > 1")
-        if depth == DEPTH - 1 or many.isEmpty():
-            return reduce(DataFrame.union, out)
-        wide = many.join(classes.select("id", "bands"), "id").select("path", "key", "id", "n", "comp", F.posexplode("bands").alias("b", "k"))
-        wide = wide.filter(F.col("b") > F.substring_index("path", ",", -1).cast("int"))
-        now = written(wide.select(F.concat_ws(",", "path", F.col("b").cast("string")).alias("path"), F.xxhash64("key", "k").alias("key"), "id", "n", "comp"), "split")
+def _groups(now: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (path, key, id, n, comp) -> groups of `least` rows and more that hold several components: _PLACE for those that fit a task, _sided rows for the others."""
+    groups = now.groupBy("path", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("total")).filter(f"c0 != c1 and size >= {least}")
+    groups = written(groups.drop("c0", "c1"), "groups")
+    mine = written(joined_hot(now, groups, ["path", "key"], "size", ["id"], SPREAD), "grouped")
+    fits = (F.col("size") <= BLOCK) & (F.col("total") <= SHINGLES)
+    whole = {"i": F.lit(0), "j": F.lit(0), "left": F.lit(True), "right": F.lit(True), "major": F.lit(False)}
+    return mine.filter(fits).withColumns(whole).select(_PLACE), _sided(mine.filter(~fits))
+
+
+def _blocks(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (band, key, id, n, comp) of buckets -> _PLACE: those that can still link components, in groups of bounded size; and the rows of crowded buckets, of which only pairs with a second shared band are among them."""
+    # a bucket of two was compared by its star
+    whole, sided = _groups(rows.select(F.col("band").cast("string").alias("path"), "key", "id", "n", "comp"), 3)
+    out, crowded = [whole, _dealt(sided.filter("rights = 1"))], sided.filter("rights > 1")
+    if not crowded.isEmpty():
+        wide = crowded.join(classes.select("id", "bands"), "id").select("path", "key", "id", "n", "comp", F.posexplode("bands").alias("b", "k"))
+        wide = wide.filter(F.col("b") > F.col("path").cast("int"))
+        whole, sided = _groups(written(wide.select(F.concat_ws(",", "path", F.col("b").cast("string")).alias("path"), F.xxhash64("key", "k").alias("key"), "id", "n", "comp"), "split"), 2)
+        out += [whole, _dealt(sided)]
+    return reduce(DataFrame.union, out), crowded
+
+
+def _apart(crowded: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, n, comp): the members of crowded buckets that hold several components still."""
+    rows = crowded.select("path", "key", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    groups = rows.groupBy("path", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 != c1")
+    groups = written(groups.select("path", "key", "size"), "apart")
+    return written(joined_hot(rows, groups, ["path", "key"], "size", ["id"], SPREAD).select("id", "n", "comp").distinct(), "apart")
+
+
+def _by_shingles(apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (id, n, comp) -> _PLACE: every pair of different components that reaches the threshold shares a group.
+
+    Shingles are ordered by how many of these sets hold them, rarest first. Two sets that share 0.75 of their union share one of
+    the first n - ceil(0.75 n) + 1 shingles of each, n being its size: the first that they share has all others behind it.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("t")).join(written(apart.select("id").distinct(), "need"), "id", "left_semi")
+    with small_batches(docs.sparkSession):
+        shingles = written(text.mapInArrow(_shingles, "id long, set long, n long, g long"), "shingles")
+    # shingles of one set only come before all others and can't be shared
+    shared = written(shingles.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
+    of_set = W.partitionBy("id", "set")
+    ranked = joined_hot(shingles, shared, ["g"], "times", ["id"]).withColumns({"r": F.row_number().over(of_set.orderBy("times", "g")), "k": F.count("*").over(of_set)})
+    first = written(ranked.filter(F.col("r") <= F.col("k") - F.ceil(F.col("n") * NUM / DEN) + 1).select("id", "g").distinct(), "first")
+    remove(shingles, shared)
+    # the path of band 0: no band comes before it
+    whole, sided = _groups(written(first.join(apart, "id").select(F.lit("0").alias("path"), F.col("g").alias("key"), "id", "n", "comp"), "split"), 2)
+    return whole.union(_dealt(sided))
+
+
+def _confirmed(rest: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) between components among rows _PLACE: signatures first, then full sets."""
+    shape, block = classes.select("id", "n", "sig", "bands"), ["path", "key", "i", "j"]
+    places = "path string, key long, i int, j int, left boolean, right boolean, major boolean, id long, comp long"
+    rest = written(rest.join(shape, "id").groupBy(*block).applyInPandas(_with_partner, places), "rest")
+    if rest.isEmpty():
+        return rest.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    full = rest.join(shape, "id").join(_full_sets(rest.select("id"), docs), "id")
+    return written(full.groupBy(*block).applyInPandas(_block_links, "a long, b long").distinct(), "found")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,14 +353,16 @@ def find_near(docs: DataFrame) -> DataFrame:
     comps = written(components(links), "comps")
 
     rows = rows.join(comps, "id", "left").select("band", "key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    rest = _blocks(written(rows, "rows"), classes)
-    shape, block = classes.select("id", "n", "sig", "bands"), ["path", "key", "i", "j"]
-    places = "path string, key long, i int, j int, left boolean, right boolean, major boolean, id long, comp long"
-    rest = written(rest.join(shape, "id").groupBy(*block).applyInPandas(_with_partner, places), "rest")
-    if not rest.isEmpty():
-        full = rest.join(shape, "id").join(_full_sets(rest.select("id"), docs), "id")
-        links = links.union(full.groupBy(*block).applyInPandas(_block_links, "a long, b long"))
+    rest, crowded = _blocks(written(rows, "rows"), classes)
+    found = _confirmed(rest, classes, docs)
+    if not found.isEmpty():
+        links = links.union(found)
         comps = written(components(links), "comps")
+    if not crowded.isEmpty():
+        apart = _apart(crowded, comps)
+        found = _confirmed(_by_shingles(apart, docs), classes, docs)
+        if not found.isEmpty():
+            comps = written(components(links.union(found)), "comps")
 
     named = members.join(comps, "id", "left").select("set_id", "copies", F.coalesce("comp", "id").alias("component_id"))
     found = joined_hot(linkable.select("doc_id", "n_shingles", "set_id"), written(named, "named"), ["set_id"], "copies", ["doc_id"], SPREAD)

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from pagemill.llm import near_dedup
@@ -51,6 +52,42 @@ def test_groups_by_brute_force_for_blocks_of_any_size(spark, monkeypatch, block,
     assert got == expected(rows)
 
 
+def test_a_pair_with_one_shared_band_in_a_crowded_bucket_is_linked(spark):
+    """Two texts at exactly 0.75 share one band only, and more than BLOCK texts that are like no other share it too."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(100_000)]
+    low = lambda text: near_dedup.minima(near_dedup.shingle_set(text)).reshape(near_dedup.BANDS, near_dedup.ROWS)
+    same = []
+    while len(same) != 1:
+        x = rng.sample(words, 109)
+        mins = low(" ".join(x))
+        for _ in range(500):
+            y = list(x)
+            for k in range(3):
+                y[rng.randrange(8 + 35 * k, 30 + 35 * k)] = rng.choice(words)
+            same = [b for b, eq in enumerate((low(" ".join(y)) == mins).all(axis=1)) if eq]
+            if len(same) == 1:
+                break
+    a, b, band = " ".join(x), " ".join(y), mins[same[0]]
+    # where the shingles of the shared minima are: other texts hold these words, and words of their own
+    held = [k for k in range(105) if np.isin(low(" ".join(x[k : k + 5]))[same[0]], band).any()]
+
+    def others(n):
+        while n:
+            text = " ".join(w for k in rng.sample(held, len(held)) for w in [*x[k : k + 5], *rng.sample(words, 2)])
+            if (low(text)[same[0]] == band).all():
+                n -= 1
+                yield text
+
+    family = next(others(1))
+    texts = [family, *(f"{family} {w}" for w in rng.sample(words, 40)), *others(near_dedup.BLOCK + 30)]
+    rows = list(enumerate(t for t in texts if (low(t)[same[0]] == band).all()))
+    assert len(rows) > near_dedup.BLOCK + 50
+    rows += [(9001, a), (9002, b)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9001] == got[9002] == 9001 and got == expected(rows)
+
+
 def test_dealt_blocks_hold_every_pair_between_components(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rng = random.Random(2)
