@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,12 +55,31 @@ def export_page_json(df: DataFrame) -> DataFrame:
 
 
 STORED = "slug string, ext string, collected_at timestamp, content string, signature string, digest string, site string"
+#: Of `latest`: which run's row of `history` holds the content.
+CURRENT = "slug string, ext string, collected_at timestamp, signature string, digest string, run string, site string"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Shuffle files go at the end of each write while this holds, not when the driver next collects garbage: contents are most of the disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 class ArticleStore:
     """Article files as two tables, `latest` (one row per article and format) and `history` (one per version), partitioned by site.
 
-    A run reads of `latest` keys and digests of its own sites only, adds its versions to `history` in a partition of its own name,
+    Contents stand in `history` only, compressed with an article's formats side by side; `latest` names the run whose version is
+    the newest. A run reads of `latest` the rows of its own sites only, adds its versions to `history` in a partition of its own name,
     and replaces the partitions of `latest` that it changes. Run again after a loss it writes the same: its history partition is
     overwritten, and latest is the newest of what stood there and of the run's own versions.
     """
@@ -69,8 +91,14 @@ class ArticleStore:
         self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*("site", "run")[: 1 + (name == "history")]).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def current(self) -> DataFrame:
+        """The rows of latest without contents, and the run that wrote each."""
+        return self._read("latest", CURRENT)
+
     def latest(self) -> DataFrame:
-        return self._read("latest", STORED)
+        keys = ("site", "slug", "ext", "run")
+        held = self.history().select("content", *[F.col(c).alias(f"__{c}") for c in keys])
+        return self.current().join(held, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), keys, F.lit(True))).select(_names(STORED))
 
     def history(self) -> DataFrame:
         return self._read("history", f"{STORED}, run string")
@@ -78,21 +106,27 @@ class ArticleStore:
     def _replace(self, df: DataFrame, name: str) -> None:
         """The site partitions that df has rows of; others stay untouched."""
         by = ["site", "run"] if name == "history" else ["site"]
-        df.repartition(*by, F.pmod(F.xxhash64("slug"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
+        # formats of an article are much alike: side by side they take little more than one
+        rows = df.repartition(*by, F.pmod(F.xxhash64("slug"), F.lit(16))).sortWithinPartitions(*by, "slug", "ext")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
 
     def publish(self, articles: DataFrame, run: str) -> None:
         """articles: site, slug, collected_at, signature, md, txt, json; one row per article. run: a name that no other run has."""
-        sites = articles.select("site").distinct()
-        before = self.history().filter(F.col("run") == run).select("site", "slug", "ext", "collected_at", "signature", "digest")
-        # what this very run has stored before it was lost is no earlier version
-        old = self.latest().join(sites, "site", "left_semi").join(before, ["site", "slug", "ext", "collected_at", "signature", "digest"], "left_anti")
+        with short_shuffles(self.spark):
+            self._publish(articles, run)
+
+    def _publish(self, articles: DataFrame, run: str) -> None:
+        had, mark = self.current().join(articles.select("site").distinct(), "site", "left_semi"), F.col("run") == run
+        # what this very run has stored before it was lost is no earlier version, nor is the signature that it gave to formats that stay
+        again = had.filter(mark).select("site", "slug", F.lit(True).alias("__again")).distinct()
+        old = had.filter(~mark).join(again, ["site", "slug"], "left").withColumn("signature", F.when(F.col("__again").isNull(), F.col("signature")))
         new = format_versions(articles, old.select("site", "slug", "ext", "signature", "digest")).withColumn("digest", F.sha2("content", 256))
-        self._replace(new.withColumn("run", F.lit(run)).select(*[c.split()[0] for c in STORED.split(", ")], "run"), "history")
-        mine = self.history().filter(F.col("run") == run).drop("run")
+        self._replace(new.withColumn("run", F.lit(run)).select(*_names(STORED), "run"), "history")
+        mine = self.history().filter(mark).select(_names(CURRENT))
         touched = mine.select("site").distinct()
         # an article has one signature: of its formats that stay as they are too
         signed = mine.groupBy("site", "slug").agg(F.max("signature").alias("__new"))
-        stay = self.latest().join(touched, "site", "left_semi").join(mine.select("site", "slug", "ext"), ["site", "slug", "ext"], "left_anti")
+        stay = self.current().join(touched, "site", "left_semi").join(mine.select("site", "slug", "ext"), ["site", "slug", "ext"], "left_anti")
         stay = stay.join(signed, ["site", "slug"], "left").withColumn("signature", F.coalesce("__new", "signature")).drop("__new")
         whole = stay.unionByName(mine)
         # Spark can't overwrite what it reads: the new partitions are written aside first

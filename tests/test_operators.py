@@ -561,3 +561,28 @@ def test_reader_region(spark):
     began = time.time()
     html_nodes.parse_page(deep)
     assert time.time() - began < 20
+
+
+def test_store_holds_contents_once(spark, tmp_path):
+    rng, store = random.Random(3), io.ArticleStore(spark, str(tmp_path / "store"))
+    texts = ["".join(rng.choices("0123456789abcdef", k=9000)) for _ in range(40)]
+    rows = [(f"s{i % 3}", f"a{i}", datetime(2024, 1, 1), str(i), t, t, "{}" + t) for i, t in enumerate(texts)]
+    schema, key = "site string, slug string, collected_at timestamp, signature string, md string, txt string, json string", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    store.publish(spark.createDataFrame(rows, schema).coalesce(1), "r0")
+    assert spark.conf.get(key) == before
+    assert {(r["site"], r["slug"], r["ext"], r["content"]) for r in store.latest().collect()} == {(s, a, x, c) for s, a, _, _, *files in rows for x, c in zip(("md", "txt", "json"), files, strict=True)}
+    assert sum(p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet")) < 1.5 * sum(map(len, texts))
+
+
+def test_store_run_again_keeps_versions_of_half_changed_articles(spark, tmp_path):
+    schema = "site string, slug string, collected_at timestamp, signature string, md string, txt string, json string"
+    store, day = io.ArticleStore(spark, str(tmp_path / "store")), lambda k: datetime(2024, 1, k)
+    first = [("s", "x", day(1), "1", "m", "t", "j"), ("s", "y", day(1), "1", "m", "t", "j"), (None, "z", day(1), "1", "m", "t", "j")]
+    second = [("s", "x", day(2), "2", "m2", "t2", "j2"), ("s", "y", day(2), "2", "m", "t2", "j2")]
+    store.publish(spark.createDataFrame(first, schema), "r0")
+    seen = lambda: [sorted(map(str, t.collect())) for t in (store.latest(), store.history())]
+    store.publish(spark.createDataFrame(second, schema), "r1")
+    once = seen()
+    store.publish(spark.createDataFrame(second, schema), "r1")
+    assert seen() == once and (len(once[0]), len(once[1])) == (9, 14)
