@@ -586,3 +586,9 @@ def test_store_run_again_keeps_versions_of_half_changed_articles(spark, tmp_path
     once = seen()
     store.publish(spark.createDataFrame(second, schema), "r1")
     assert seen() == once and (len(once[0]), len(once[1])) == (9, 14)
+
+
+def test_titles_stay_in_their_line(spark):
+    mds = ["a\nTitle:  \nmore", "Title:\n\nTitle: q", "---\ntitle:\nauthor: me\n---\n", "Title: a\u0085b c\rd\r\nx", "---\ntitle: 'a b'\r\n---\n"]
+    assert values(spark, text.line_title, mds) == [None, None, None, "a\u0085b c d", None]
+    assert values(spark, text.frontmatter_title, mds) == [None, None, None, None, "a b"]

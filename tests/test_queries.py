@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from conftest import DATA
 
@@ -18,3 +19,12 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_document_titles_of_odd_first_lines(spark, same, tmp_path):
+    heads = ["", " ", "\t\nnext", "\nnext", None, "Title:  x", "TITLE: 'x", "a\rb", "a\u0085", " a", "x", "'q'", "--- ", "$1\\"]
+    rows = [(5 * i + k, h) for i, h in enumerate(heads) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(q.QUERIES["document_titles"](spark, str(tmp_path)), con.sql(q.ORACLES["document_titles"]))
