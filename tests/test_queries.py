@@ -28,3 +28,12 @@ def test_document_titles_of_odd_first_lines(spark, same, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same(q.QUERIES["document_titles"](spark, str(tmp_path)), con.sql(q.ORACLES["document_titles"]))
+
+
+def test_arbitrate_captures_of_pages_with_one_url(spark, same, tmp_path):
+    page = lambda k, n: f"<html><title>T{k}</title><body><article><h1>H{k}</h1><p>{'word ' * n}</p></article></body></html>"
+    rows = [(i, f"https://a.b/{i // 8}", page(i, 10 + 30 * (i % 5))) for i in range(32)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(q.QUERIES["arbitrate_captures"](spark, str(tmp_path)), con.sql(q.ORACLES["arbitrate_captures"]))
