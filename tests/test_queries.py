@@ -37,3 +37,11 @@ def test_arbitrate_captures_of_pages_with_one_url(spark, same, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     same(q.QUERIES["arbitrate_captures"](spark, str(tmp_path)), con.sql(q.ORACLES["arbitrate_captures"]))
+
+
+def test_readable_articles_of_long_pages(spark, same, tmp_path):
+    page = lambda n: f"<html><title>T</title><body><article><h1>H</h1>{''.join(f'<p>Words of {i} here</p>' for i in range(n))}</article></body></html>"
+    spark.createDataFrame([(n, f"https://a.b/{n}", page(n)) for n in (3, 499, 500, 900)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(q.QUERIES["readable_articles"](spark, str(tmp_path)), con.sql(q.ORACLES["readable_articles"]))
